@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontam
+from gridloom.llm import decontam, simhash
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.query,
     "op2_decontaminate": decontam.query,
 }
 
