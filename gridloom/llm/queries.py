@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontam, packing, simhash, sstable
+from gridloom.llm import decontam, packing, simhash, sstable, substring
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_decontaminate": decontam.query,
+    "op3_substring_dedup": substring.query,
     "op6_best_fit_packing": packing.query,
     "op8_sstable_tokens": sstable.query,
 }
