@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontam, packing, simhash, sstable, substring
+from gridloom.llm import decontam, langid, packing, simhash, sstable, substring
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring.query,
     "op6_best_fit_packing": packing.query,
     "op8_sstable_tokens": sstable.query,
+    "op9_language_id": langid.query,
 }
 
 ORACLE: dict[str, str] = {}
