@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontam, langid, packing, simhash, sstable, substring
+from gridloom.llm import decontam, langid, packing, quality, simhash, sstable, substring
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op8_sstable_tokens": sstable.query,
     "op9_language_id": langid.query,
+    "op10_quality_pu": quality.query,
 }
 
 ORACLE: dict[str, str] = {}
