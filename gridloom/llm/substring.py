@@ -111,6 +111,15 @@ _KINDS = [pa.int8(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary
 _NEW, _OLD, _REPEATS, _RUN, _SETTLED = range(5)
 
 
+def _numbers(d: np.ndarray, n_docs: int) -> bytes:
+    """Places of documents in a chunk's list, in two bytes each where they fit."""
+    return d.astype(np.uint16 if n_docs <= 1 << 16 else np.uint32).tobytes()
+
+
+def _places(data: bytes, ids: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(ids) // 8 <= 1 << 16 else np.uint32)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
@@ -201,8 +210,8 @@ def _settle(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
     if not new:
         return
     hashes, checks = _decoded(new)
-    docs = np.concatenate([np.frombuffer(r[7], np.int64)[np.frombuffer(r[6], np.uint32)] for r in new])
-    locals_ = np.concatenate([np.frombuffer(r[6], np.uint32) for r in new])
+    docs = np.concatenate([np.frombuffer(r[7], np.int64)[_places(r[6], r[7])] for r in new])
+    places = np.concatenate([_places(r[6], r[7]).astype(np.uint32) for r in new])
     chunk = np.repeat(np.arange(len(new)), [r[3] for r in new])
     order = np.lexsort((docs, checks, hashes))
     h, c, d = hashes[order], checks[order], docs[order]
@@ -226,7 +235,7 @@ def _settle(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
         for part in np.split(who, np.flatnonzero(np.diff(chunk[who])) + 1):
             part = part[np.argsort(hashes[part])]
             k = int(chunk[part[0]])
-            yield (_REPEATS, bucket, new[k][2], len(part), _pack(hashes[part]), None, locals_[part].tobytes(), new[k][7])
+            yield (_REPEATS, bucket, new[k][2], len(part), _pack(hashes[part]), None, _numbers(places[part], len(new[k][7]) // 8), new[k][7])
     if not known.all():
         yield (_RUN, bucket, None, int((~known).sum()), _pack(uh[~known]), uc[~known].tobytes(), None, None)
 
@@ -268,8 +277,8 @@ def _entries(docs: DataFrame, id_col: str, text_col: str, buckets: int, window:
             all_ids = known.tobytes()
             for b in np.flatnonzero(np.diff(starts)):
                 s = slice(starts[b], starts[b + 1])
-                rows.append((_NEW, int(b), f"{task}-{number}", int(starts[b + 1] - starts[b]), _pack(h[s]), c[s].tobytes(), d[s].tobytes(), all_ids))
-                if len(rows) >= 256:
+                rows.append((_NEW, int(b), f"{task}-{number}", int(starts[b + 1] - starts[b]), _pack(h[s]), c[s].tobytes(), _numbers(d[s], len(known)), all_ids))
+                if len(rows) >= 64:
                     yield _batch(rows)
                     rows = []
             if rows:
@@ -300,7 +309,7 @@ def _of_documents(rows: DataFrame, parts: int) -> DataFrame:
         held, now = [], None
 
         def out() -> pa.RecordBatch:
-            d = np.concatenate([np.frombuffer(r[6], np.uint32) for r in held])
+            d = np.concatenate([_places(r[6], r[7]) for r in held])
             h = np.concatenate([_unpack(r[4], r[3]) for r in held])
             ids = np.frombuffer(held[0][7], np.int64)
             order = np.lexsort((h, d))
@@ -331,7 +340,7 @@ def _of_documents(rows: DataFrame, parts: int) -> DataFrame:
     return chunks.mapInArrow(each, schema).unionByName(early.mapInArrow(named, schema))
 
 
-def repeats(docs: DataFrame, index: WindowIndex, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_run: bool = True, chunk_windows: int = 2_000_000) -> DataFrame:
+def repeats(docs: DataFrame, index: WindowIndex, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_run: bool = True, chunk_windows: int = 1_500_000) -> DataFrame:
     """Hashes of the repeated windows of one batch of documents (``doc, n, hashes``), written; adds the batch's run to the index."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -353,7 +362,6 @@ def repeats(docs: DataFrame, index: WindowIndex, id_col: str = "doc_id", text_co
         index.append(settled.where(F.col("kind") == _RUN).select(*_NAMES))
         index.compact()
     drop_written(settled)
-    release(spark)
     return out
 
 
@@ -425,6 +433,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if high is not None:
             part = part.where(key <= high)
         found.append(repeats(part, index, id_col, text_col, window, keep_run=bool(index_path) or i < len(cuts)))
+        release(spark)  # the batch's shuffle files; its plans are out of reach by now
     if not index_path:
         delete_path(spark, index.path)
     every = found[0]
