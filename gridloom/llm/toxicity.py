@@ -2,12 +2,15 @@
 
 The ordinary dictionary is a sample of windows of ordinary text.  The toxic one
 has the same base and, nearest to the data, the words that toxic text uses in
-many contexts and ordinary text hardly ever (so that copies of one text do not
-count again).  Every window of 64 bytes of a text (a new one each 48 bytes) is
-compressed with both; a window is toxic by as many bytes as the toxic
-dictionary saves over the ordinary one.  What the windows of a text save gives
-a few features, and a logistic curve fitted on the training rows calibrates
-them to a score whose threshold is one half.
+many contexts and ordinary text hardly ever (contexts, so that copies of one
+text do not count again).  A text is lower-cased, reduced to its words and cut
+into windows of eight words; each window is compressed with both dictionaries
+and is toxic by as many bytes as the toxic dictionary saves over the ordinary
+one.  In dictionaries and windows alike a word is followed by eight bytes of
+its own digest: a match of a whole word then saves far more than what a match
+costs, and syllables that two words share save nothing extra.  The spread of
+the windows' savings gives a few features, and a logistic curve fitted on the
+training rows calibrates them to a score whose threshold is one half.
 
 Training takes at most about ``fit_rows`` labelled rows of each class, chosen
 by a hash of the id, and at most ``fit_chars`` characters of each (documented
@@ -20,25 +23,35 @@ toxic windows; with labels of one class only (or none) the score is that share
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE, STRIDE = 64, 48
-_OTHER = re.compile(rb"[^a-z\x80-\xff]+")
+WORDS = 8
+#: Bytes that are part of words of lower-cased text; all others part them.
+_WORDS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_WORDS).split()
+
+
+def _line(words: list[bytes]) -> bytes:
+    digest = xxhash.xxh3_64_digest
+    return b" " + b" ".join([w + digest(w) for w in words]) + b" "
 
 
 def windows(text: str | None) -> list[bytes]:
-    """All windows of the lower-cased text; one (maybe empty) at least."""
-    b = (text or "").lower().encode("utf-8", "surrogatepass")
-    return [b[i : i + SIZE] for i in range(0, max(1, len(b) - (SIZE - STRIDE)), STRIDE)]
+    """All windows of the text; one (maybe of no words) at least."""
+    words = words_of(text)
+    return [_line(words[i : i + WORDS]) for i in range(0, max(1, len(words)), WORDS)]
 
 
 def _contexts(texts: list[str]) -> tuple[dict[bytes, int], int]:
@@ -46,9 +59,8 @@ def _contexts(texts: list[str]) -> tuple[dict[bytes, int], int]:
     seen: dict[bytes, set] = defaultdict(set)
     size = 0
     for t in texts:
-        data = t.lower().encode("utf-8", "surrogatepass")
-        size += len(data)
-        words = _OTHER.sub(b" ", data).split()
+        words = words_of(t)
+        size += sum(map(len, words))
         for before, w in zip([b"", *words], words):
             if len(w) >= 4:
                 seen[w].add(before)
@@ -64,7 +76,7 @@ def distinctive_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     co, no = _contexts(ordinary)
     odds = {w: np.log((c / max(1, nt)) / ((co.get(w, 0) + 1) / max(1, no))) for w, c in ct.items() if c >= 2}
     heads = {w for w, o in odds.items() if w.endswith(b"*") and o > 3.0 and ct[w] >= 15}
-    chosen = [w for w, o in odds.items() if not w.endswith(b"*") and ((ct[w] >= 4 and o > 2.5) or any(w[:k] + b"*" in heads for k in (5, 6)))]
+    chosen = [w for w, o in odds.items() if not w.endswith(b"*") and ((ct[w] >= 6 and o > 2.5) or any(w[:k] + b"*" in heads for k in (5, 6)))]
     return sorted(chosen, key=lambda w: (ct[w], w))
 
 
@@ -91,8 +103,7 @@ class CompressionModel:
 
     def features(self, text: str | None) -> np.ndarray:
         x = self.saved(windows(text))
-        top = np.sort(x)[-3:]
-        return np.array([np.sqrt(np.maximum(x - 2, 0).mean()), np.sqrt((x >= 4).mean()), np.maximum(top, 0).sum() / 30, x.mean() / 4, np.log1p(len(x)) / 10])
+        return np.array([*(np.sqrt((x >= k).mean()) for k in (1, 2, 4, 7, 10)), *(np.sqrt((x <= -k).mean()) for k in (1, 2, 4)), np.sqrt(np.maximum(x - 1, 0).mean()), np.maximum(np.sort(x)[-3:], 0).sum() / 40, x.mean() / 4, np.log1p(len(x)) / 10])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
@@ -101,13 +112,13 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_texts(toxic: list[str], ordinary: list[str], words_bytes: int = 16384, base_windows: int = 256) -> CompressionModel:
+def fit_texts(toxic: list[str], ordinary: list[str], words_bytes: int = 32768, base_windows: int = 256) -> CompressionModel:
     """Dictionaries and calibration from texts of both classes."""
     if not toxic or not ordinary:
         return CompressionModel(b"", b"", None, 1.0 if toxic else 0.0)
-    marks = (b" " + b" ".join(distinctive_words(toxic, ordinary)) + b" ")[-words_bytes:]
+    marks = _line(distinctive_words(toxic, ordinary))[-words_bytes:]
     rng = np.random.default_rng(11)
-    pool = [w for i in rng.permutation(len(ordinary))[: 4 * base_windows] for w in windows(ordinary[i])[:8]]
+    pool = [w for i in rng.permutation(len(ordinary))[: 4 * base_windows] for w in windows(ordinary[i])[:64]]
     base = b"".join(pool[i] for i in rng.permutation(len(pool))[:base_windows])
     model = CompressionModel(base, base + marks)
     x = np.stack([model.features(t) for t in [*toxic, *ordinary]])
