@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontam, langid, packing, quality, simhash, sstable, substring, toxicity
+from gridloom.llm import ann, decontam, langid, packing, quality, simhash, sstable, substring, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_decontaminate": decontam.query,
     "op3_substring_dedup": substring.query,
+    "op4_kmeans_tree_ann": ann.query,
     "op5_toxicity": toxicity.query,
     "op6_best_fit_packing": packing.query,
     "op8_sstable_tokens": sstable.query,
