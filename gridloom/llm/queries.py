@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import ann, decontam, langid, packing, quality, simhash, sstable, substring, toxicity
+from gridloom.llm import ann, decontam, langid, license_scan, packing, quality, simhash, sstable, substring, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -11,9 +11,10 @@ QUERIES = {
     "op4_kmeans_tree_ann": ann.query,
     "op5_toxicity": toxicity.query,
     "op6_best_fit_packing": packing.query,
+    "op7_license_scan": license_scan.query,
     "op8_sstable_tokens": sstable.query,
     "op9_language_id": langid.query,
     "op10_quality_pu": quality.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_license_scan": license_scan.oracle_sql()}
