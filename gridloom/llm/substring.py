@@ -354,7 +354,7 @@ def repeats(docs: DataFrame, index: WindowIndex, id_col: str = "doc_id", text_co
         if bucket < 0:
             yield from own
         else:
-            yield from _settle(bucket, own)
+            yield from (r for r in _settle(bucket, own) if keep_run or r[0] != _RUN)
 
     settled = written(_by_bucket(dealt, work, parts), "settled", "kind")
     out = written(_of_documents(settled, parts), "repeats")
