@@ -1,11 +1,80 @@
-"""Corpus pipeline (stages are filled in as their operators land)."""
+"""Corpus pipeline: from raw documents to packed training sequences.
 
-STAGES: list = []
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir)
+and returns a DataFrame that is written as Parquet and read again as the next
+one's ``docs``.  All but the last return the columns of ``documents``.
+
+1. quality: documents that the positive-unlabelled classifier rejects go,
+2. near duplicates: of each SimHash group the document with the smallest id stays,
+3. substrings: words of passages that stood in a document with a smaller id go;
+   ``text`` and ``n_chars`` are brought up to date, and a document goes if
+   nothing is left of it,
+4. decontamination: documents with too much benchmark text go,
+5. packing: what is left becomes sequences of at most 1024 tokens.
+
+Rows with a null id pass the stages that need ids to compare; null texts are
+handled as the operators say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontam, packing, quality, simhash, substring
+from gridloom.llm._common import written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches 0.3."""
+    model = quality.fit_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest id."""
+    groups = simhash.near_duplicates(docs)
+    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stood in an earlier document."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    found = substring.deduplicate(docs, keep=["text", "n_chars", *others])
+    found = found.where("not (n_removed > 0 and n_removed = n_words)")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": text, "n_chars": size}).select(docs.columns)
+
+
+def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover less than a twentieth."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    others = [c for c in docs.columns if c != "doc_id"]
+    return decontam.judge(decontam.scan(docs, benchmark, keep=others)).where("not contaminated").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("benchmark decontamination", drop_benchmark_text),
+    ("best-fit packing", pack),
+]
+
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each but the last written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
