@@ -12,9 +12,10 @@ neighbours among *all* vectors are found by brute force, and the number of
 visits widens until their mean recall reaches ``recall`` (up to all leaves,
 where the search is exact).
 
-A leaf's vectors form blocks of bounded size and a leaf's queries are sent to
-each of its blocks, so a leaf that holds a third of all vectors is many tasks.
-Each block returns its best ``k`` of each query; a query's lists are merged.
+Vectors are stored by ranges of (leaf, hash), so a leaf that holds a third of
+all vectors is many tasks.  Queries go to the tasks in blocks of about
+``query_block``; a task keeps the best ``k`` of each query among its rows in
+the leaves that the query visits, and a query's lists are merged.
 
 Scores are double-precision sums of products, summed in one fixed order, so
 equal vectors have equal scores wherever they are stored.
@@ -122,7 +123,7 @@ def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return rows.where(F.size("e") == (size["n"] if size else 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.96, fit_rows: int = 20_000, calibration: int = 120) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.96, fit_rows: int = 20_000, calibration: int = 120, query_block: int = 16_384) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row for which ``is_query`` (over ``id``) holds."""
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
@@ -145,60 +146,83 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held.value.assign(x))], names=["id", "e", "leaf"])
 
-    placed = written(rows.mapInArrow(assign, "id long, e array<double>, leaf int"), "ann")
+    assigned = rows.mapInArrow(assign, "id long, e array<double>, leaf int")
+    # ranges of (leaf, id): a task has whole leaves or, of a leaf that is large, an even part
+    placed = written(assigned.repartitionByRange(parts, "leaf", F.xxhash64("id")), "ann")
     queries = placed.where(is_query).groupBy("id").agg(F.min("e").alias("e"))
-    n_queries = queries.count()
-    if not n_queries:
+    queries = written(queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(max(1, math.ceil(queries.count() / query_block)))).cast("int")), "queries")
+    counts = {r.part: r["count"] for r in queries.groupBy("part").count().collect()}  # a row for each block of queries
+    if not counts:
         return spark.createDataFrame([], schema)
-    limit = _calibrated(placed, queries, n_queries, held, k, recall, calibration)
-    block_rows = max(256, math.ceil(n / (4 * parts)))
-    sizes = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf of the tree
-    n_blocks = spark.sparkContext.broadcast({leaf: math.ceil(c / block_rows) for leaf, c in sizes.items()})
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = b.column(2).to_numpy()
-            ids = b.column(0).to_numpy()
-            of = np.array([n_blocks.value[x] for x in leaf.tolist()], np.int64)
-            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array((mixed.astype(np.int64) % of).astype(np.int32)), b.column(0), b.column(1)], names=["leaf", "block", "id", "e"])
-
-    def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, of = held.value, n_blocks.value
-        for b in batches:
-            for start in range(0, b.num_rows, 128):
-                part = b.slice(start, 128)
-                leaves, blocks, source = [], [], []
-                x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                for i, q in enumerate(x):
-                    for leaf in tree.visits(q, limit):
-                        for block in range(of.get(leaf, 0)):
-                            leaves.append(leaf)
-                            blocks.append(block)
-                            source.append(i)
-                take = pa.array(source, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(blocks, pa.int32()), part.column(0).take(take), part.column(1).take(take)], names=["leaf", "block", "id", "e"])
-
-    fields = "leaf int, block int, id long, e array<double>"
-    blocks = placed.mapInArrow(dealt, fields).groupBy("leaf", "block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("e")).alias("xs"))
-    asked = queries.select("id", "e").repartition(parts).mapInArrow(visiting, fields).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n_queries / 512))))).groupBy("leaf", "block", "part").agg(F.collect_list("id").alias("qs"), F.flatten(F.collect_list("e")).alias("qx"))
-    pairs = blocks.join(asked, ["leaf", "block"]).select("ids", "xs", "qs", "qx")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                ids, qs = (b.column(c)[row].values.to_numpy() for c in (0, 2))
-                x = b.column(1)[row].values.to_numpy().reshape(len(ids), -1)
-                qx = b.column(3)[row].values.to_numpy().reshape(len(qs), -1)
-                found = [_best(ids, x, int(i), q, k) for i, q in zip(qs, qx)]
-                yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
-
-    lists = pairs.mapInArrow(compare, "query_id long, ids array<long>, scores array<double>")
+    limit = _calibrated(placed, queries.select("id", "e"), sum(counts.values()), held, k, recall, calibration)
+    lists = None
+    for part in sorted(counts):
+        own = queries.where(F.col("part") == part).select("id", "e").toPandas()  # about ``query_block`` rows
+        asked = spark.sparkContext.broadcast((own.id.to_numpy(), np.stack(own.e.to_numpy()).astype(np.float64)))
+        found = placed.mapInArrow(_searcher(held, asked, limit, k), "query_id long, ids array<long>, scores array<double>")
+        lists = found if lists is None else lists.unionByName(found)
     hits = F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "scores"), lambda h: F.struct((-h["scores"]).alias("s"), h["ids"].alias("i"))))))
     merged = lists.groupBy("query_id").agg(F.slice(hits, 1, k).alias("hits"))
     return merged.select("query_id", F.posexplode("hits").alias("p", "h")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.i").alias("vec_id"), (-F.col("h.s")).alias("score"))
 
 
+def _searcher(held, asked, limit: int, k: int):
+    """A task's part of the search: the best ``k`` of each query among its rows in leaves that the query visits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, qx = asked.value
+        tree = held.value
+        visiting: dict[int, list[int]] = {}
+        for i, q in enumerate(qx):
+            for leaf in tree.visits(q, limit):
+                visiting.setdefault(leaf, []).append(i)
+        best_s = np.full((len(ids), k), -np.inf)
+        best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            vec, leaf = b.column(0).to_numpy(), b.column(2).to_numpy()
+            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            for number in np.unique(leaf):
+                who = np.array(visiting.get(int(number), []), np.int64)
+                rows = np.flatnonzero(leaf == number)
+                for r in range(0, len(rows), 256) if len(who) else ():
+                    part = rows[r : r + 256]
+                    for q in range(0, len(who), 256):
+                        _merge(best_s, best_i, who[q : q + 256], ids, qx, vec[part], x[part], k)
+        some = np.flatnonzero(best_s[:, 0] > -np.inf)
+        for start in range(0, len(some), 4096):
+            at = some[start : start + 4096]
+            n = (best_s[at] > -np.inf).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([best_i[i, :m] for i, m in zip(at, n)], pa.list_(pa.int64())), pa.array([best_s[i, :m] for i, m in zip(at, n)], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+
+    return run
+
+
+def _merge(best_s: np.ndarray, best_i: np.ndarray, who: np.ndarray, ids: np.ndarray, qx: np.ndarray, vec: np.ndarray, x: np.ndarray, k: int) -> None:
+    """Take some vectors into the sorted best lists of the queries ``who``."""
+    rough = qx[who] @ x.T
+    slack = 1e-9 * (1 + np.abs(rough).max())
+    rough[vec[None, :] == ids[who][:, None]] = -np.inf  # a query's own rows
+    floor = best_s[who, -1]
+    if x.shape[0] > k:
+        floor = np.maximum(floor, np.partition(rough, x.shape[0] - k, axis=1)[:, x.shape[0] - k])
+    a, b = np.nonzero((rough >= floor[:, None] - slack) & (rough > -np.inf))
+    if not len(a):
+        return
+    exact = np.concatenate([(x[b[i : i + 4096]] * qx[who[a[i : i + 4096]]]).sum(axis=1) for i in range(0, len(a), 4096)])
+    touched = np.unique(a)
+    old = who[touched]
+    q = np.concatenate([np.repeat(old, k), who[a]])
+    s = np.concatenate([best_s[old].ravel(), exact])
+    i = np.concatenate([best_i[old].ravel(), vec[b]])
+    order = np.lexsort((i, -s, q))
+    q, s, i = q[order], s[order], i[order]
+    first = np.searchsorted(q, old)
+    take = first[:, None] + np.arange(k)
+    best_s[old], best_i[old] = s[take], i[take]
+
+
 def _calibrated(placed: DataFrame, queries: DataFrame, n_queries: int, held, k: int, recall: float, calibration: int) -> int:
     """The fewest leaves whose visit reaches the mean recall over some queries, against brute force over all vectors."""
     spark = placed.sparkSession
