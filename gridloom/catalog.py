@@ -1,4 +1,5 @@
 """The engine's registered queries and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from gridloom.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
