@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,12 +233,13 @@ def from_ecef(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     """Longitude, latitude, height, by Bowring's formula with one refinement."""
     b = A * (1 - FLAT)
     p = F.sqrt(x * x + y * y)
-    u = F.atan2(z * A, p * b)
-    for _ in range(2):
-        lat = F.atan2(z + EP2 * b * F.sin(u) ** 3, p - E2 * A * F.cos(u) ** 3)
-        u = F.atan2((1 - FLAT) * F.sin(lat), F.cos(lat))
-    n = A / F.sqrt(1 - E2 * F.sin(lat) ** 2)
-    h = p * F.cos(lat) + (z + E2 * n * F.sin(lat)) * F.sin(lat) - n
+
+    def latitude(u: Column) -> Column:
+        return F.atan2(z + EP2 * b * F.sin(u) ** 3, p - E2 * A * F.cos(u) ** 3)
+
+    u0 = F.atan2(z * A, p * b)
+    lat = _let(_let(u0, lambda u: _let(latitude(u), lambda q: F.atan2((1 - FLAT) * F.sin(q), F.cos(q)))), latitude)
+    h = _let(lat, lambda q: p * F.cos(q) + z * F.sin(q) - A * F.sqrt(1 - E2 * F.sin(q) ** 2))
     return F.degrees(F.atan2(y, x)), F.degrees(lat), h
 
 
@@ -277,30 +279,41 @@ def polar_scale(lat: Column) -> Column:
     return 1 / (k * k)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def distance_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 12) -> Column:
     """Ellipsoidal distance by Vincenty's inverse with a fixed number of rounds; NULL where it does not settle (antipodes)."""
     b = A * (1 - FLAT)
     u1, u2 = F.atan((1 - FLAT) * F.tan(F.radians(lat1))), F.atan((1 - FLAT) * F.tan(F.radians(lat2)))
-    big = F.radians(lon_180(lon2 - lon1))
-    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-
-    def parts(lam: Column) -> dict[str, Column]:
-        sin_s = F.sqrt((c2 * F.sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * F.cos(lam)) ** 2)
-        cos_s = s1 * s2 + c1 * c2 * F.cos(lam)
-        sin_a = F.coalesce(c1 * c2 * F.sin(lam) / F.nullif(sin_s, F.lit(0.0)), F.lit(0.0))
-        cos2a = 1 - sin_a * sin_a
-        cos2m = F.coalesce(cos_s - 2 * s1 * s2 / F.nullif(cos2a, F.lit(0.0)), F.lit(0.0))
-        return {"ss": sin_s, "cs": cos_s, "sg": F.atan2(sin_s, cos_s), "sa": sin_a, "ca": cos2a, "cm": cos2m}
-
-    def again(lam: Column, _: Column) -> Column:
-        q = parts(lam)
-        c = FLAT / 16 * q["ca"] * (4 + FLAT * (4 - 3 * q["ca"]))
-        return big + (1 - c) * FLAT * q["sa"] * (q["sg"] + c * q["ss"] * (q["cm"] + c * q["cs"] * (2 * q["cm"] ** 2 - 1)))
-
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), big, again)
-    q = parts(lam)
-    us = q["ca"] * (A * A - b * b) / (b * b)
-    aa = 1 + us / 16384 * (4096 + us * (-768 + us * (320 - 175 * us)))
-    bb = us / 1024 * (256 + us * (-128 + us * (74 - 47 * us)))
-    ds = bb * q["ss"] * (q["cm"] + bb / 4 * (q["cs"] * (2 * q["cm"] ** 2 - 1) - bb / 6 * q["cm"] * (4 * q["ss"] ** 2 - 3) * (4 * q["cm"] ** 2 - 3)))
-    return F.when(F.abs(lam) <= math.pi, b * aa * (q["sg"] - ds) / 1000.0)
+    fixed = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon_180(lon2 - lon1)).alias("big"))
+
+    def parts(k: Column, lam: Column, body: Callable[[Column], Column]) -> Column:
+        """The body of a struct ss, cs, sg (arc), sa, ca (azimuth), cm (midpoint)."""
+        ss = F.sqrt((k["c2"] * F.sin(lam)) ** 2 + (k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam)) ** 2)
+        one = F.struct(ss.alias("ss"), (k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)).alias("cs"), (k["c1"] * k["c2"] * F.sin(lam)).alias("cc"))
+        two = lambda q: F.struct(q["ss"].alias("ss"), q["cs"].alias("cs"), F.coalesce(q["cc"] / F.nullif(q["ss"], F.lit(0.0)), F.lit(0.0)).alias("sa"))
+        three = lambda q: F.struct(q["ss"].alias("ss"), q["cs"].alias("cs"), F.atan2(q["ss"], q["cs"]).alias("sg"), q["sa"].alias("sa"), (1 - q["sa"] * q["sa"]).alias("ca"), F.coalesce(q["cs"] - 2 * k["s1"] * k["s2"] / F.nullif(1 - q["sa"] * q["sa"], F.lit(0.0)), F.lit(0.0)).alias("cm"))
+        return _let(one, lambda q: _let(two(q), lambda q2: _let(three(q2), body)))
+
+    def again(k: Column, lam: Column) -> Column:
+        def step(q: Column) -> Column:
+            c = FLAT / 16 * q["ca"] * (4 + FLAT * (4 - 3 * q["ca"]))
+            return k["big"] + (1 - c) * FLAT * q["sa"] * (q["sg"] + c * q["ss"] * (q["cm"] + c * q["cs"] * (2 * q["cm"] ** 2 - 1)))
+
+        return parts(k, lam, step)
+
+    def length(q: Column) -> Column:
+        us = q["ca"] * ((A * A - b * b) / (b * b))
+        aa = 1 + us / 16384 * (4096 + us * (-768 + us * (320 - 175 * us)))
+        bb = us / 1024 * (256 + us * (-128 + us * (74 - 47 * us)))
+        ds = bb * q["ss"] * (q["cm"] + bb / 4 * (q["cs"] * (2 * q["cm"] ** 2 - 1) - bb / 6 * q["cm"] * (4 * q["ss"] ** 2 - 3) * (4 * q["cm"] ** 2 - 3)))
+        return b * aa * (q["sg"] - ds) / 1000.0
+
+    def whole(k: Column) -> Column:
+        lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k["big"], lambda x, _: again(k, x))
+        return _let(lam, lambda x: F.when(F.abs(x) <= math.pi, parts(k, x, length)))
+
+    return _let(fixed, whole)

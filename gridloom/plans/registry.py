@@ -208,9 +208,9 @@ def stack_stats(spark, sf):
     return rnd(stack.stack_stats(fx.stack(spark, sf)), 6)
 
 
-@query(f"with {fx.STACK}, m as (select r, c, quantile_cont(v, 0.5) as med from stack group by r, c) select r, c, count(v) as n, round(any_value(med), 6) as med, round(quantile_cont(abs(v - med), 0.5) * 1.4826::double, 6) as nmad from stack join m using (r, c) group by r, c")
+@query(f"with {fx.STACK}, m as (select r, c, quantile_cont(v, 0.5) as med from stack group by r, c) select r, c, count(v) as n, round(any_value(med), 6) as med, round(quantile_cont(abs(v - med), 0.5) * 1.4826::double, 3) as nmad from stack join m using (r, c) group by r, c")
 def stack_nmad(spark, sf):
-    return rnd(stack.stack_stats(fx.stack(spark, sf), robust=True).select("r", "c", "n", "med", "nmad"), 6)
+    return rnd(stack.stack_stats(fx.stack(spark, sf), robust=True).select("r", "c", "n", "med", "nmad"), 6, nmad=3)
 
 
 @query(f"with {fx.STACK}, o as (select r, c, {fx.ORD} as t from stack) select r, c, min(t) as dt_min, max(t) as dt_max, nullif(max(t) - min(t), 0) as dt_ptp, min(t) + (max(t) - min(t)) / 2 as dt_center from o group by r, c")
@@ -421,10 +421,10 @@ def julian_date(spark, sf):
     return fx.events(spark, sf).select("event_id", T.julian_day("ts").alias("jd"))
 
 
-@query("select event_id, round(epoch_us(ts)::double / 86400000000.0 + 719163.0, 7) as o, round(epoch_us(ts)::double / 86400000000.0 + 719529.0, 7) as matlab, cast(dayofyear(ts) as integer) as doy, strftime(ts, '%Y%m%d_%H%M') as stamp, date_trunc('day', ts + interval 12 hour) as day from events")
+@query("select event_id, epoch_us(ts)::double / 86400000000.0::double + 719163.0::double as o, epoch_us(ts)::double / 86400000000.0::double + 719163.0::double + 366.0::double as matlab, cast(dayofyear(ts) as integer) as doy, strftime(ts, '%Y%m%d_%H%M') as stamp, date_trunc('day', ts + interval 12 hour) as day from events")
 def time_scales(spark, sf):
     e = fx.events(spark, sf)
-    return e.select("event_id", F.round(T.ordinal("ts"), 7).alias("o"), F.round(T.matlab_day("ts"), 7).alias("matlab"), T.day_of_year("ts").alias("doy"), T.stamp("ts").alias("stamp"), T.round_to_day("ts").alias("day"))
+    return e.select("event_id", T.ordinal("ts").alias("o"), T.matlab_day("ts").alias("matlab"), T.day_of_year("ts").alias("doy"), T.stamp("ts").alias("stamp"), T.round_to_day("ts").alias("day"))
 
 
 @query("select o_orderkey, cast(o_orderdate as timestamp) as gps from orders")
@@ -527,7 +527,7 @@ def points_in_footprints(spark, sf):
     return vector.points_in_boxes(p, fx.footprints(spark, sf), 10.0).select("id", "fid")
 
 
-@query(f"with {fx.RASTER}, {fx.FOOT}, inside as (select distinct r, c from raster join foot on c * 4 + 2 > xmin and c * 4 + 2 < xmax and 500 - r - 0.5 > ymin and 500 - r - 0.5 < ymax) select r, c, v from raster where (r, c) in (select (r, c) from inside)")
+@query(f"with {fx.RASTER}, {fx.FOOT}, inside as (select distinct r, c from raster join foot on c * 4 + 2 >= xmin and c * 4 + 2 < xmax and 500 - r - 0.5 > ymin and 500 - r - 0.5 < ymax) select r, c, v from raster where (r, c) in (select (r, c) from inside)")
 def clip_by_footprints(spark, sf):
     v = vector.boxes_to_vertices(fx.footprints(spark, sf))
     return vector.clip_by_polygons(fx.raster(spark, sf), v, 500, 64, [0.0, 4.0, 0.0, 500.0, 0.0, -1.0])
