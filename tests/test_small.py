@@ -104,21 +104,29 @@ def test_masks(spark):
     assert cellfilters.random_fill(m, 1).where("v is null").count() == 0
 
 
-@pytest.mark.parametrize(
-    ("fn", "want"),
-    [
-        ("20180101_1200_dem.tif", dt.datetime(2018, 1, 1, 12)), ("20180101T1200_dem.tif", dt.datetime(2018, 1, 1, 12)), ("201801011200_dem.tif", dt.datetime(2018, 1, 1, 12)),
-        ("20080101_dem.tif", dt.datetime(2008, 1, 1)), ("WV02_20130315_10300100207D5600_1030010020151700-DEM.tif", dt.datetime(2013, 3, 15, 10, 30)), ("20180101_20190203_x.tif", dt.datetime(2018, 1, 1, 20, 19)),
-        ("20130304_1510_1030010020770600_1030010020CEAB00-DEM_4x.tif", dt.datetime(2013, 3, 4, 15, 10)), ("dem_2018.tif", dt.datetime(2018, 1, 1)), ("03jul67.tif", dt.datetime(2067, 7, 3)), ("nodate.tif", None),
-    ],
-)
-def test_dates_in_names(spark, fn, want):
-    assert one(spark, T.datetime_in_name(F.lit(fn)).alias("d")).d == want
+NAMES = {
+    "20180101_1200_dem.tif": dt.datetime(2018, 1, 1, 12),
+    "20180101T1200_dem.tif": dt.datetime(2018, 1, 1, 12),
+    "201801011200_dem.tif": dt.datetime(2018, 1, 1, 12),
+    "a/20080101_dem.tif": dt.datetime(2008, 1, 1),
+    "WV02_20130315_10300100207D5600_1030010020151700-DEM.tif": dt.datetime(2013, 3, 15, 10, 30),
+    "20180101_20190203_x.tif": dt.datetime(2018, 1, 1, 20, 19),
+    "20130304_1510_1030010020770600_1030010020CEAB00-DEM_4x.tif": dt.datetime(2013, 3, 4, 15, 10),
+    "dem_2018.tif": dt.datetime(2018, 1, 1),
+    "03jul67.tif": dt.datetime(2067, 7, 3),
+    "nodate.tif": None,
+}
+
+
+def test_dates_in_names(spark):
+    df = spark.createDataFrame([(n,) for n in NAMES], "fn string")
+    assert {r.fn: r.d for r in df.select("fn", T.datetime_in_name(F.col("fn")).alias("d")).collect()} == NAMES
 
 
 def test_time_round_trips(spark):
-    ts = F.expr("timestamp_ntz'2016-02-29 13:45:30.25'")
-    r = one(spark, T.from_ordinal(T.ordinal(ts)).alias("o"), T.from_decimal_year(T.decimal_year(ts)).alias("y"), T.from_matlab_day(T.matlab_day(ts)).alias("m"), T.julian_day(ts).alias("jd"), T.from_julian(F.lit(2457448.0)).alias("fj"), T.round_to_day(ts).alias("day"), T.ordinal(F.expr("timestamp_ntz'1970-01-01'")).alias("epoch"))
+    ts = F.col("ts")
+    table = spark.createDataFrame([(dt.datetime(2016, 2, 29, 13, 45, 30, 250000),)], "ts timestamp_ntz")
+    r = table.select(T.from_ordinal(T.ordinal(ts)).alias("o"), T.from_decimal_year(T.decimal_year(ts)).alias("y"), T.from_matlab_day(T.matlab_day(ts)).alias("m"), T.julian_day(ts).alias("jd"), T.from_julian(F.lit(2457448.0)).alias("fj"), T.round_to_day(ts).alias("day"), T.ordinal(F.expr("timestamp_ntz'1970-01-01'")).alias("epoch")).first()
     want = dt.datetime(2016, 2, 29, 13, 45, 30, 250000)
     assert abs(r.o - want) < dt.timedelta(milliseconds=1) and abs(r.y - want) < dt.timedelta(seconds=1) and abs(r.m - want) < dt.timedelta(milliseconds=1)
     assert r.jd == 2457448 and r.fj == dt.datetime(2016, 2, 29, 12) and r.day == dt.datetime(2016, 3, 1) and r.epoch == 719163.0
@@ -237,3 +245,13 @@ def test_streams(spark, tmp_path):
     assert spark.table("cellstats").first()["mean"] == 2.0
     e = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), 1.0) for m in (0, 1, 30)], "ts timestamp, value double")
     assert live.live_clusters(e, "10 minutes").count() == 2
+
+
+def test_command_line(spark, tmp_path):
+    from gridloom import cli
+
+    cells, out = str(tmp_path / "cells"), str(tmp_path / "out")
+    raster(spark, RING).write.parquet(cells)
+    assert cli.run(spark, ["filter", cells, "-filt", "range", "-param", "0", "2", "--out", out]).where("v is not null").count() == 19
+    assert cli.run(spark, ["proj_select", "--", "49", "-123"]).first().epsg == 32610
+    assert cli.run(spark, ["warp", cells, "-src", "5,5,0,5,1", "-dst", "5,5,0,5,1", "-r", "near", "--out", out + "2"]).count() == 19
