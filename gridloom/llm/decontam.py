@@ -188,18 +188,23 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """Rows of the contract by plain comparison of every window; for tests."""
+    """Rows of the contract by looking every run of words up among all windows; for tests."""
+    windows: dict[tuple, set] = {}
+    for item, item_text in items:
+        iw = words_of(item_text)
+        m = min(window, len(iw))
+        for i in range(len(iw) - m + 1) if m else ():
+            windows.setdefault(tuple(iw[i : i + m]), set()).add(str(item))
+    lengths = {len(w) for w in windows}
     out = []
     for doc, text in docs:
         words = words_of(text)
         hit, which = set(), set()
-        for item, item_text in items:
-            iw = words_of(item_text)
-            m = min(window, len(iw))
-            for i in range(len(iw) - m + 1) if m else ():
-                for j in range(len(words) - m + 1):
-                    if words[j : j + m] == iw[i : i + m]:
-                        hit.update(range(j, j + m))
-                        which.add(str(item))
+        for m in lengths:
+            for j in range(len(words) - m + 1):
+                found = windows.get(tuple(words[j : j + m]))
+                if found:
+                    hit.update(range(j, j + m))
+                    which |= found
         out.append((doc, len(words), len(hit), len(which), hashlib.sha256(",".join(sorted(which)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)))
     return out
