@@ -187,7 +187,8 @@ def _fit(docs: DataFrame, marks: DataFrame, seen: DataFrame, id_col: str, text_c
     limit = {k: int(min(1.0, fit_rows / max(1, n)) * million) + 1 for k, n in {**sizes, -1: max(1, n_docs - sum(sizes.values()))}.items()}
     keys = marks.where(F.col("kind").isin(0, 1)).where(at < F.when(F.col("kind") == 1, limit.get(1, million)).otherwise(limit.get(0, million)))
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("t"))
-    labelled = text.join(keys, "_i").select("kind", F.col("_i").cast("string").alias("i"), "t")
+    # the chosen ids are about ``2 * fit_rows`` at most, so they go to the texts
+    labelled = text.join(F.broadcast(keys), "_i").select("kind", F.col("_i").cast("string").alias("i"), "t")
     free = text.where(at < limit[-1]).join(seen, "_i", "left_anti").select(F.lit(-1).alias("kind"), F.col("_i").cast("string").alias("i"), "t")
     found = _feature_table(labelled.unionByName(free)).toPandas().sort_values(["kind", "i"], ignore_index=True)
     of = lambda k: np.stack([np.frombuffer(f, np.float32) for f in found.f[found.kind == k]]).astype(np.float64) if (found.kind == k).any() else np.empty((0, N_FEATURES))

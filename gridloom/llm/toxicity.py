@@ -141,9 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     million = 1_000_000
     limit = {k: int(min(1.0, fit_rows / max(1, sizes.get(k, 1))) * million) + 1 for k in (0, 1)}
     some = marks.where(F.pmod(F.xxhash64(F.col("_i").cast("string"), F.lit("toxic")), F.lit(million)) < F.when(F.col("y") == 1, limit[1]).otherwise(limit[0]))
+    # the chosen ids are about ``2 * fit_rows`` at most, so they go to the texts and not the texts to them
     text = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     cut = F.expr(f"substring(t, 1 + cast(pmod(xxhash64(_i), greatest(1, length(t) - {fit_chars})) as int), {fit_chars})")
-    found = text.join(some, "_i").select("y", F.col("_i").cast("string").alias("i"), cut.alias("t")).toPandas().sort_values(["y", "i", "t"])
+    found = text.join(F.broadcast(some), "_i").select("y", F.col("_i").cast("string").alias("i"), cut.alias("t")).toPandas().sort_values(["y", "i", "t"])
     return fit_texts(found.t[found.y == 1].tolist(), found.t[found.y == 0].tolist())
 
 
