@@ -55,9 +55,15 @@ def default_min_span(date_stats_: DataFrame, factor: float = 0.20) -> DataFrame:
 def trend(cells: DataFrame, layers: DataFrame, min_n: int = 2, min_span: float | None = None, remove_outliers: bool = False) -> DataFrame:
     """Per cell: n, slope per year of 365.25 days, intercept at ordinal zero, NMAD of residuals, R squared.
 
-    All layers of a cell meet in one shuffle, as an array; fits run on it, so
-    outlier removal (up to two rounds of |residual| >= 3 NMAD) needs no more.
+    All layers of a cell meet in one shuffle, as an array of at most as many
+    entries as there are layers.  ``remove_outliers`` drops |residual| >= 3 NMAD
+    and fits again, twice; each round joins the fits back to the cells.
     """
+    for _ in range(2 if remove_outliers else 0):
+        line = trend(cells, layers, min_n, min_span).select(*CELL, F.col("slope").alias("_m"), F.col("intercept").alias("_k"), F.col("detrended_std").alias("_d"))
+        dated = cells.join(layers.where("dt is not null").select("layer", ordinal(F.col("dt")).alias("_o")), "layer").join(line, CELL)
+        away = F.abs(F.col("v") - F.col("_k") - F.col("_m") / 365.25 * F.col("_o"))
+        cells = dated.where((F.col("_d") == 0) | (away < 3 * F.col("_d"))).select(*cells.columns)
     o = ordinal(F.col("dt"))
     obs = cells.where("v is not null").join(layers.where("dt is not null").select("layer", o.alias("o")), "layer").groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct(F.col("o").alias("t"), "v"))).alias("p"))
     obs = obs.withColumn("t0", F.col("p")[0]["t"]).withColumn("_all", F.size("p"))
@@ -80,9 +86,6 @@ def trend(cells: DataFrame, layers: DataFrame, min_n: int = 2, min_span: float |
     if min_span is not None:
         ok = ok & (F.element_at("p", -1)["t"] - F.col("t0") >= min_span)
     obs = fit(obs.where(ok & (F.size("p") >= 2)))
-    for _ in range(2 if remove_outliers else 0):
-        kept = F.filter("p", lambda s: (F.col("_nmad") == 0) | (F.abs(s["v"] - F.col("_mv") - F.col("_b") * (s["t"] - F.col("t0") - F.col("_mt"))) < 3 * F.col("_nmad")))
-        obs = fit(obs.withColumn("p", kept).where(F.size("p") >= max(2, min_n)).select(*CELL, "p", "t0", "_all"))
     slope = F.col("_b") * 365.25
     intercept = F.col("_mv") - F.col("_b") * (F.col("_mt") + F.col("t0"))
     r2 = F.col("_sxy") * F.col("_sxy") / F.nullif(F.col("_sxx") * F.col("_syy"), F.lit(0.0))
