@@ -140,6 +140,8 @@ def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarra
     half = np.arange(len(positive)) % 2 == 0 if len(positive) > 1 else np.array([True])
     first = PuModel(mean, scale, _fit_risk(z(positive[half]), z(unlabelled), None), 0.5)
     prior = estimate_prior(first.raw(positive[~half] if (~half).any() else positive), first.raw(unlabelled))
+    if good_share is None and negative is not None and len(negative):
+        good_share = len(positive) / (len(positive) + len(negative))
     if good_share is not None:
         prior = min(prior, good_share)
     model = PuModel(mean, scale, _fit_risk(z(positive), z(unlabelled), prior), prior)

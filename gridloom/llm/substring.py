@@ -134,7 +134,17 @@ class WindowIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = 4):
         if buckets & (buckets - 1):
             raise ValueError("buckets must be a power of two")
-        self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
+        self.spark, self.path, self.fanout = spark, path, fanout
+        # an index keeps the buckets it was made with
+        self.buckets = next((int(n[8:]) for n in self._names() if n.startswith("buckets-")), buckets)
+
+    def _fs(self):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _names(self) -> list[str]:
+        fs, top = self._fs()
+        return [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
 
     def runs(self) -> list[tuple[int, int, str]]:
         """(level, number, path) of each complete run."""
@@ -155,6 +165,8 @@ class WindowIndex:
         return self.spark.read.schema(_ENTRY).parquet(*paths).withColumn("kind", F.lit(_OLD).cast("tinyint")) if paths else None
 
     def append(self, run: DataFrame, level: int = 0) -> None:
+        fs, _ = self._fs()
+        fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/buckets-{self.buckets}"))
         number = 1 + max((n for _, n, _ in self.runs()), default=-1)
         run.select(*_NAMES).coalesce(shuffle_partitions(self.spark)).write.parquet(f"{self.path}/run-{level}-{number}")
 
