@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ def raster(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("r", F.col("c").cast("int").alias("c"), F.when(F.abs(x) >= 0.005, x).alias("v"))
 
 
+def raster_shape(spark: SparkSession, sf: str) -> tuple[int, int]:
+    """Rows and columns of :func:`raster`, from the table."""
+    row = table(spark, sf, "embeddings").agg(F.max("vec_id").alias("r"), F.max(F.size("embedding")).alias("n")).first()
+    return (int(row.r) + 1, int(row.n)) if row.r is not None else (0, 0)
+
+
 RASTER = "raster as (select r, c, case when abs(x) >= 0.005 then x end as v from (select cast(vec_id as integer) as r, cast(generate_subscripts(embedding, 1) - 1 as integer) as c, cast(unnest(embedding) as double) as x from embeddings))"
 
 
@@ -25,6 +33,21 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select((F.col("l_partkey") + 0.5).cast("double").alias("x"), (F.col("l_suppkey") + 0.5).cast("double").alias("y"), F.col("l_extendedprice").alias("z"))
 
 
+def limits(points: DataFrame, dx: float, dy: float, x1: float, y1: float) -> tuple[float, float, float, float]:
+    """0 to x1 by 0 to y1, extended by whole cells of dx by dy until every point is inside: x0, x1, y0, y1."""
+    b = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    low = lambda v, d: min(0.0, math.floor(v / d) * d) if v is not None else 0.0
+    high = lambda v, d, least: max(least, math.ceil(v / d) * d) if v is not None else least
+    return low(b.x0, dx), high(b.x1, dx, x1), low(b.y0, dy), high(b.y1, dy, y1)
+
+
+def frame(points: DataFrame, res: float, x1: float, y1: float) -> tuple[float, float, float, int, int]:
+    """Left, top, cell size, rows and columns of a north-up grid over :func:`limits`; points on its open edges get a cell more."""
+    left, right, bottom, top = limits(points, res, res, x1, y1)
+    edge = points.agg(F.max(F.col("x") == right).alias("x"), F.max(F.col("y") == bottom).alias("y")).first()
+    return left, top, res, round((top - bottom) / res) + bool(edge.y), round((right - left) / res) + bool(edge.x)
+
+
 POINTS = "points as (select cast(l_partkey as double) + 0.5 as x, cast(l_suppkey as double) + 0.5 as y, l_extendedprice as z from lineitem)"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,12 +166,14 @@ def common_mask(spark, sf):
 
 @query(f"with {fx.POINTS} select cast(floor((200.0 - y) / 20) as integer) as r, cast(floor(x / 20) as integer) as c, floor(x / 20) * 20 + 10 as x, 200 - (floor((200.0 - y) / 20) * 20 + 10) as y, count(z) as n, round(quantile_cont(z, 0.5), 4) as v from points where floor(x / 20) between 0 and 99 and floor((200.0 - y) / 20) between 0 and 9 group by all")
 def block_stats_median(spark, sf):
-    return rnd(points.block_stats(fx.points(spark, sf), 0.0, 200.0, 20.0, 10, 100, "median"), 4)
+    p = fx.points(spark, sf)
+    return rnd(points.block_stats(p, *fx.frame(p, 20.0, 2000.0, 200.0), "median"), 4)
 
 
 @query(f"with {fx.POINTS}, g as (select cast(a.range as integer) as r, cast(b.range as integer) as c from range(20) a, range(50) b), s as (select cast(floor((200.0 - y) / 10) as integer) as r, cast(floor(x / 40) as integer) as cc, cast(floor(x / 10) as integer) as c, avg(z) as v from points group by all), t as (select r, c, avg(v) as dummy from s group by all), m as (select cast(floor((200.0 - y) / 10) as integer) as r, cast(floor(x / 10) as integer) as c, avg(z) as v from points group by all) select g.r, g.c, round(m.v, 4) as v from g left join m on g.r = m.r and g.c = m.c")
 def block_stats_full_grid(spark, sf):
-    return rnd(points.block_stats_grid(fx.points(spark, sf), 0.0, 200.0, 10.0, 20, 50, "mean"), 4)
+    p = fx.points(spark, sf)
+    return rnd(points.block_stats_grid(p, *fx.frame(p, 10.0, 500.0, 200.0), "mean"), 4)
 
 
 @query(f"with {fx.POINTS}, b as (select floor(y / 10) * 10 as edge, z as v from points), m as (select edge, quantile_cont(v, 0.5) as med from b group by edge), d as (select edge, quantile_cont(abs(v - med), 0.5) * 1.4826::double as nmad from b join m using (edge) group by edge) select edge, count(v) as n, round(avg(v), 4) as mean, round(stddev_pop(v), 4) as std, round(any_value(med), 4) as med, round(any_value(nmad), 4) as nmad, edge + 5 as center from b join m using (edge) join d using (edge) group by edge")
@@ -185,7 +188,9 @@ def equal_bin_stats(spark, sf):
 
 @query(f"with {fx.POINTS}, q as (select * from points where x between 0 and 2048 and y between 0 and 128) select least(cast(floor(x / 64) as bigint) + 1, 32) as bx, least(cast(floor(y / 8) as bigint) + 1, 16) as by, count(*) as n from q group by all")
 def hist2d(spark, sf):
-    return stats.hist2d(fx.points(spark, sf), "x", "y", 32, 16, (0.0, 2048.0, 0.0, 128.0))
+    p = fx.points(spark, sf)
+    x0, x1, y0, y1 = fx.limits(p, 64.0, 8.0, 2048.0, 128.0)
+    return stats.hist2d(p, "x", "y", round((x1 - x0) / 64), round((y1 - y0) / 8), (x0, x1, y0, y1))
 
 
 @query(f"with {fx.POINTS}, p as (select floor(quantile_cont(z, 0.0001) / 5000) as a, ceil(quantile_cont(z, 0.9999) / 5000) as b from points) select cast(unnest(range(cast(a as bigint), cast(b as bigint) + 1)) * 5000 as double) as edge from p")
@@ -281,7 +286,7 @@ def rolling_median(spark, sf):
 
 @query(f"with {fx.RASTER}, {NEAR.format(n=2, m=5)}, s as (select r - i as r, c - j as c, v from raster, off where v is not null and i * i + j * j <= 4) select s.r, s.c, max(s.v) as v from s where s.r between 0 and 499 and s.c between 0 and 63 group by all")
 def rolling_max_disc(spark, sf):
-    return neighbourhood.rolling(fx.raster(spark, sf), F.max, 5, circular=True, keep_mask=False, shape=(500, 64))
+    return neighbourhood.rolling(fx.raster(spark, sf), F.max, 5, circular=True, keep_mask=False, shape=fx.raster_shape(spark, sf))
 
 
 @query(f"with {fx.RASTER}, {NEAR.format(n=3, m=7)}, s as (select r - i as r, c - j as c, v from raster, off where v is not null) select t.r, t.c, case when t.v is not null then round(avg(s.v), 8) end as v from raster t left join s on s.r = t.r and s.c = t.c group by t.r, t.c, t.v")
@@ -304,7 +309,7 @@ def gauss_smooth(spark, sf):
 
 @query(f"with {fx.RASTER}, {_GAUSS} select raster.r, raster.c, round(coalesce(v, s / w), 8) as v from raster left join g2 on raster.r = g2.r and raster.c = g2.c")
 def gauss_fill(spark, sf):
-    return rnd(neighbourhood.gaussian_fill(fx.raster(spark, sf), 1.0, (500, 64)), 8)
+    return rnd(neighbourhood.gaussian_fill(fx.raster(spark, sf), 1.0, fx.raster_shape(spark, sf)), 8)
 
 
 @query(f"with {fx.RASTER}, {_GAUSS}, h as (select raster.r, raster.c, v - s / w as v from raster join g2 on raster.r = g2.r and raster.c = g2.c where v is not null) select r, c, round(v - (select least(min(v), 0) from h), 8) as v from h")
@@ -372,17 +377,16 @@ def ruggedness(spark, sf):
 # --- morphology --------------------------------------------------------------------
 
 _BALL = "ball as (select cast(a.range - 2 as integer) as i, cast(b.range - 2 as integer) as j from range(5) a, range(5) b where abs(a.range - 2) + abs(b.range - 2) <= 2)"
-SHAPE = (500, 64)
 
 
 @query(f"with {fx.RASTER}, {_BALL} select distinct r + i as r, c + j as c from raster, ball where v > 0.2 and r + i between 0 and 499 and c + j between 0 and 63")
 def mask_dilate(spark, sf):
-    return morphology.dilate_valid(cellfilters.in_range(fx.raster(spark, sf), 0.2000000001, 9.0), 2, SHAPE)
+    return morphology.dilate_valid(cellfilters.in_range(fx.raster(spark, sf), 0.2000000001, 9.0), 2, fx.raster_shape(spark, sf))
 
 
 @query(f"with {fx.RASTER}, {_BALL}, g as (select distinct r + i as r, c + j as c from raster, ball where v is null) select r, c, v from raster where v is not null and (r, c) not in (select (r, c) from g)")
 def erode_edge(spark, sf):
-    return morphology.grow_mask(fx.raster(spark, sf), 2, SHAPE).select("r", "c", "v")
+    return morphology.grow_mask(fx.raster(spark, sf), 2, fx.raster_shape(spark, sf)).select("r", "c", "v")
 
 
 @query(f"with {fx.RASTER}, v as (select r, c from raster where v > 0.2), a as (select r, unnest([min(c), max(c)]) as c from v group by r), b as (select unnest([min(r), max(r)]) as r, c from v group by c) select r, c from a union select r, c from b")
@@ -400,7 +404,7 @@ select r, c from m where gap and (r in (0, 499) or c in (0, 63)) union select m.
 select r, c from m where gap and (r, c) not in (select (r, c) from h)""")
 def enclosed_holes(spark, sf):
     cells = cellfilters.in_abs_range(fx.raster(spark, sf), 0.04, 9.0)
-    return morphology.holes(cells, SHAPE).select(F.col("r").cast("int").alias("r"), "c")
+    return morphology.holes(cells, fx.raster_shape(spark, sf)).select(F.col("r").cast("int").alias("r"), "c")
 
 
 # --- time --------------------------------------------------------------------------
@@ -597,29 +601,34 @@ def bilinear_samples(spark, sf):
     return rnd(points.bilinear(fx.raster(spark, sf), p, fx.GT), 8)
 
 
-_SRC = warp.Grid(500, 64, tuple(fx.GT), "EPSG:32610")
+def _warped(spark, sf, res: float, algorithm: str):
+    """The raster on a grid of cells of ``res`` that covers all of it."""
+    src = warp.Grid(*fx.raster_shape(spark, sf), tuple(fx.GT), "EPSG:32610")
+    xmin, ymin, xmax, ymax = src.extent
+    rows, cols = math.ceil((ymax - ymin) / res), math.ceil((xmax - xmin) / res)
+    return warp.warp(fx.raster(spark, sf), src, warp.Grid(rows, cols, (xmin, res, 0.0, ymax, 0.0, -res), src.srs), algorithm)
 
 
 @query(f"with {fx.RASTER} select cast(r // 4 as integer) as r, cast(c // 4 as integer) as c, round(avg(v), 8) as v from raster where v is not null group by all")
 def warp_average(spark, sf):
-    return rnd(warp.warp(fx.raster(spark, sf), _SRC, warp.grid_for(_SRC.extent, 120.0, _SRC.srs), "average"), 8)
+    return rnd(_warped(spark, sf, 120.0, "average"), 8)
 
 
 @query(f"with {fx.RASTER} select cast(r * 3 + i as integer) as r, cast(c * 3 + j as integer) as c, v from raster, (select a.range as i, b.range as j from range(3) a, range(3) b) where v is not null")
 def warp_nearest(spark, sf):
-    return warp.warp(fx.raster(spark, sf), _SRC, warp.grid_for(_SRC.extent, 10.0, _SRC.srs), "near")
+    return _warped(spark, sf, 10.0, "near")
 
 
 @query(f"""with {fx.RASTER}, g as (select cast(a.range as integer) as r, cast(b.range as integer) as c, (a.range + 0.5::double) / 2 - 0.5 as y, (b.range + 0.5::double) / 2 - 0.5 as x from range(1000) a, range(128) b),
 k as (select g.r, g.c, v, (1 - abs(x - t.c)) * (1 - abs(y - t.r)) as w from g, (select a.range as i, b.range as j from range(2) a, range(2) b), lateral (select floor(y) + i as rr, floor(x) + j as cc) join raster t on t.r = rr and t.c = cc where v is not null)
 select r, c, round(sum(w * v) / sum(w), 8) as v from k where w <> 0 group by r, c""")
 def warp_bilinear(spark, sf):
-    return rnd(warp.warp(fx.raster(spark, sf), _SRC, warp.grid_for(_SRC.extent, 15.0, _SRC.srs), "bilinear"), 8)
+    return rnd(_warped(spark, sf, 15.0, "bilinear"), 8)
 
 
 @query()
 def warp_cubic(spark, sf):
-    return warp.warp(fx.raster(spark, sf), _SRC, warp.grid_for(_SRC.extent, 20.0, _SRC.srs), "cubic")
+    return _warped(spark, sf, 20.0, "cubic")
 
 
 @query(f"with {fx.RASTER} select cast(r // 5 as integer) as r, cast(c // 5 as integer) as c, v from raster where r % 5 = 0 and c % 5 = 0")
