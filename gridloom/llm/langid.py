@@ -7,9 +7,10 @@ As the input is one-hot, a filter is a sum of table look-ups, so inference adds
 rows of small tables for pairs of classes.  All windows of the whole text are
 scored; the text's language is that of the highest mean log-probability.
 
-Training takes a sample of labelled rows whose size is bounded by
-``fit_rows`` (a parameter of :func:`fit`), chosen by a hash of the id, and runs
-on the driver; the model is a few hundred kB.
+Training takes about ``fit_rows`` rows (a parameter of :func:`fit`) of each
+language, chosen by a hash of the id, and all rows of a language that has no
+more, and runs on the driver: a language is learned however few of the rows are
+its own.  The model is a few hundred kB.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 null languages are not learned from; with no labelled rows at all every text is
@@ -144,19 +145,21 @@ class ByteConvNet:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 6000, windows: int = 4) -> ByteConvNet | None:
-    """A network from at most about ``fit_rows`` rows, with up to ``windows`` windows of each; None without labels.
+    """A network from at most about ``fit_rows`` rows of each language, with up to ``windows`` windows of each; None without labels.
 
-    The rows are those with the smallest hashes of their ids, a share that is
-    set by the number of rows.
+    The rows are those with the smallest hashes of their ids (of their texts, where the id is null), a share that is
+    set for each language by the number of its rows.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null and t rlike '\\\\p{L}'")
-    n = rows.count()
-    if not n:
+    sizes = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}  # a row for each language
+    if not sizes:
         return None
-    share = min(1.0, fit_rows / n)
-    at = F.pmod(F.xxhash64("i", F.lit("langid")), F.lit(1_000_000))
+    steps = 1 << 40
+    large = {l: int(fit_rows / n * steps) + 1 for l, n in sizes.items() if n > fit_rows}
+    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in large.items() for x in pair]), F.col("l")), F.lit(steps)) if large else F.lit(steps)
+    at = F.pmod(F.xxhash64(F.coalesce("i", "t"), F.lit("langid")), F.lit(steps))
     length = WINDOW * windows
-    some = rows.where(at < int(share * 1_000_000) + 1).select("i", F.expr(f"substring(t, 1 + cast(pmod(xxhash64(i), greatest(1, length(t) - {length})) as int), {length})").alias("t"), "l").sort("i").toPandas()
+    some = rows.where(at < limit).select("i", F.expr(f"substring(t, 1 + cast(pmod(xxhash64(i), greatest(1, length(t) - {length})) as int), {length})").alias("t"), "l").sort("i", "l", "t").toPandas()
     languages = sorted(some["l"].unique())
     x, counts = windows_of(some["t"].tolist())
     y = np.repeat(np.searchsorted(languages, some["l"]), counts)

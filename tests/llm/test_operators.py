@@ -240,6 +240,14 @@ def test_language(spark, sf):
     assert net.predict(["bbb aaa aaa", "1", None, "yyy zzz"])[0] == ["a", "und", "und", "b"]
 
 
+def test_small_language_is_learned(spark):
+    rows = [(i, "aaa bbb abba baab " * 5, "a") for i in range(4000)] + [(None if i % 2 else 5000 + i, "zzz yyy zyzy yzzy " * 5, "z") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.fit(docs, fit_rows=20)
+    assert net.languages == ["a", "z"]
+    assert net.predict(["zyzy zzz", "abba aaa"])[0] == ["z", "a"]
+
+
 def test_quality_and_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
