@@ -10,7 +10,8 @@ visited in the order in which they come out.
 How many leaves a query visits is calibrated: for some of the queries the true
 neighbours among *all* vectors are found by brute force, and the number of
 visits widens until their mean recall reaches ``recall`` (up to all leaves,
-where the search is exact).
+where the search is exact).  A query whose leaves hold too few vectors goes on
+until they hold ``k`` besides its own, or no leaf is left.
 
 Vectors are stored by ranges of (leaf, hash), so a leaf that holds a third of
 all vectors is many tasks.  Queries go to the tasks in blocks of about
@@ -91,16 +92,17 @@ class KMeansTree:
             todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node]) if (near == k).any()]
         return out
 
-    def visits(self, q: np.ndarray, limit: int | None = None) -> list[int]:
-        """Leaves, best bin first."""
-        heap, found = [(0.0, 0)], []
-        while heap and (limit is None or len(found) < limit):
+    def visits(self, q: np.ndarray, limit: int | None = None, sizes: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """Leaves, best bin first: ``limit`` of them, and more until they hold ``need`` vectors by the ``sizes`` of leaves."""
+        heap, found, held = [(0.0, 0)], [], 0
+        while heap and (limit is None or len(found) < limit or held < need):
             _, node = heapq.heappop(heap)
             if self.children[node]:
                 for s, child in zip((self.matrix[node] @ q).tolist(), self.children[node]):
                     heapq.heappush(heap, (-s, child))
             else:
                 found.append(self.leaf[node])
+                held += 0 if sizes is None else int(sizes[self.leaf[node]])
         return found
 
 
@@ -149,32 +151,35 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     assigned = rows.mapInArrow(assign, "id long, e array<double>, leaf int")
     # ranges of (leaf, id): a task has whole leaves or, of a leaf that is large, an even part
     placed = written(assigned.repartitionByRange(parts, "leaf", F.xxhash64("id")), "ann")
-    queries = placed.where(is_query).groupBy("id").agg(F.min("e").alias("e"))
+    queries = placed.where(is_query).groupBy("id").agg(F.min("e").alias("e"), F.count("*").alias("own"))
     queries = written(queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(max(1, math.ceil(queries.count() / query_block)))).cast("int")), "queries")
     counts = {r.part: r["count"] for r in queries.groupBy("part").count().collect()}  # a row for each block of queries
     if not counts:
         return spark.createDataFrame([], schema)
     limit = _calibrated(placed, queries.select("id", "e"), sum(counts.values()), held, k, recall, calibration)
+    sizes = np.zeros(tree.n_leaves, np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # a row for each leaf
+        sizes[r.leaf] = r["count"]
     lists = None
     for part in sorted(counts):
-        own = queries.where(F.col("part") == part).select("id", "e").toPandas()  # about ``query_block`` rows
-        asked = spark.sparkContext.broadcast((own.id.to_numpy(), np.stack(own.e.to_numpy()).astype(np.float64)))
-        found = placed.mapInArrow(_searcher(held, asked, limit, k), "query_id long, ids array<long>, scores array<double>")
+        own = queries.where(F.col("part") == part).select("id", "e", "own").toPandas()  # about ``query_block`` rows
+        asked = spark.sparkContext.broadcast((own.id.to_numpy(), np.stack(own.e.to_numpy()).astype(np.float64), k + own.own.to_numpy()))
+        found = placed.mapInArrow(_searcher(held, asked, limit, k, sizes), "query_id long, ids array<long>, scores array<double>")
         lists = found if lists is None else lists.unionByName(found)
     hits = F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "scores"), lambda h: F.struct((-h["scores"]).alias("s"), h["ids"].alias("i"))))))
     merged = lists.groupBy("query_id").agg(F.slice(hits, 1, k).alias("hits"))
     return merged.select("query_id", F.posexplode("hits").alias("p", "h")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.i").alias("vec_id"), (-F.col("h.s")).alias("score"))
 
 
-def _searcher(held, asked, limit: int, k: int):
+def _searcher(held, asked, limit: int, k: int, sizes: np.ndarray):
     """A task's part of the search: the best ``k`` of each query among its rows in leaves that the query visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, qx = asked.value
+        ids, qx, need = asked.value
         tree = held.value
         visiting: dict[int, list[int]] = {}
         for i, q in enumerate(qx):
-            for leaf in tree.visits(q, limit):
+            for leaf in tree.visits(q, limit, sizes, int(need[i])):
                 visiting.setdefault(leaf, []).append(i)
         best_s = np.full((len(ids), k), -np.inf)
         best_i = np.full((len(ids), k), np.iinfo(np.int64).max)

@@ -134,6 +134,16 @@ def test_ann_recall_ties_and_bad_vectors(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_ann_lists_are_full_where_leaves_are_small(spark, monkeypatch):
+    monkeypatch.setattr(ann, "_calibrated", lambda *a: 1)
+    x = np.random.default_rng(6).normal(size=(23, 16))
+    rows = [(100 * j + i, x[j].tolist()) for j in range(20) for i in range(100)] + [(10_000 + 20 * j + i, x[20 + j].tolist()) for j in range(3) for i in range(5)]
+    rows += [(10_000, x[20].tolist())] * 30  # its own rows are no candidates
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.query_id: r["count"] for r in ann.search(df, F.col("id") % 20 == 0, 20).groupBy("query_id").count().collect()}
+    assert len(found) == 103 and set(found.values()) == {20}
+
+
 def test_tokens_are_the_librarys(rows):
     e = tokens.CachedEncoder(entries=50)
     for t in [*(t for _, t in rows if t), "a  b", "\n\n x", " lead", "tail ", "don't I'll 12ab ² ñ \x85 z", "<|endoftext|> x", "a.\nB c!! d,"]:
