@@ -3,7 +3,8 @@
 A text is made canonical: lower case, copyright lines out, anything but
 letters and digits a single space, equivalent spellings made one.  Its SHA-256
 is hash-joined to the digests of known licences, which are made the same way.
-So is each single line that mentions a licence, to find notices inside texts.
+So is each single line that starts as a known text does, to find notices inside
+texts; no spelling rule touches the first three letters of a text.
 
 The registry is a DataFrame of ``license_id, text``; :func:`builtin_registry`
 gives short public licences and usual notices.  A registry of at most
@@ -34,7 +35,10 @@ SPELLINGS = [
     (r"(^| )judgement", r"$1judgment"),
     (r"(^| )wilful", r"$1willful"),
 ]
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A notice: copyright with a sign or a year, (c) with a year, a sign, or the reservation of rights alone; after a comment's mark or not.
+COPYRIGHT = r"(^|\n)[ \t]*((#+|//+|/?\*+|--+|;+|%+|<!--)[ \t]*)?(copyright[ \t]*(\(c\)|©|&copy;)[^\n]*|copyright\b[^\n]*\b(19|20)[0-9][0-9]\b[^\n]*|\(c\)[^\n]*\b(19|20)[0-9][0-9]\b[^\n]*|©[^\n]*|all rights reserved[^\p{L}\p{N}\n]*(?=\n|$))"
+#: The patterns of :func:`oracle_sql`, which has only notices at the start of a line and lines with one of these words.
+SQL_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 MENTION = "(?i)licen[cs]|permission"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -103,9 +107,9 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(registry: DataFrame) -> DataFrame:
-    """``_d, _l``: a row for each digest."""
+    """``_d, _l, _p``: a row for each digest, with up to three letters that its text starts with."""
     rows = registry.select(canonical(F.col("text").cast("string")).alias("c"), F.col("license_id").cast("string").alias("l")).where("c <> ''")
-    return rows.groupBy(F.sha2("c", 256).alias("_d")).agg(F.min("l").alias("_l"))
+    return rows.groupBy(F.sha2("c", 256).alias("_d")).agg(F.min("l").alias("_l"), F.min(F.regexp_extract("c", "^[^ ]{1,3}", 0)).alias("_p"))
 
 
 def scan(docs: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 20_000) -> DataFrame:
@@ -116,8 +120,13 @@ def scan(docs: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_col:
     """
     text = F.col(text_col).cast("string")
     known = known_digests(registry)
-    small = len(known.limit(broadcast_rows + 1).collect()) <= broadcast_rows  # digests only
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(MENTION)), digest)
+    some = known.limit(broadcast_rows + 1).collect()  # digests and first letters only
+    small = len(some) <= broadcast_rows
+    lines = F.split(text, "\n")
+    if small:
+        starts = r"^[^\p{L}\p{N}]*(" + "|".join(sorted({r._p for r in some})) + ")" if some else r"^\b\B"
+        lines = F.filter(lines, lambda x: F.lower(x).rlike(starts))
+    lines = F.transform(lines, digest)
     rows = docs.select(F.col(id_col).alias("_id"), digest(text).alias("digest"), F.coalesce(lines, F.array().cast("array<string>")).alias("_lines"))
     if small:
         held = known.agg(F.map_from_entries(F.collect_list(F.struct("_d", "_l"))).alias("_m"))
@@ -138,7 +147,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(x: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    out = f"regexp_replace(lower({x}), {quoted(COPYRIGHT)}, chr(10), 'g')"
+    out = f"regexp_replace(lower({x}), {quoted(SQL_COPYRIGHT)}, chr(10), 'g')"
     out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for pattern, replacement in SPELLINGS:
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(replacement.replace('$', chr(92)))}, 'g')"

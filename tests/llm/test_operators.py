@@ -198,6 +198,17 @@ def test_licenses(spark):
         assert got == [(1, "MIT", ""), (2, None, "Apache-2.0"), (3, None, ""), (4, None, ""), (5, "MIT", ""), (5, "MIT", ""), (6, None, "")]
 
 
+def test_licenses_wrapped_commented_and_without_their_words(spark):
+    wrapped = license_scan.ISC.replace("above copyright notice", "above\ncopyright notice")
+    marked = "# Copyright 2021 Some One\n// (c) 2020 Another\n * © A Third\n" + license_scan.ISC
+    bsd = " ".join((license_scan._BSD_HEAD + license_scan._BSD_TAIL).split())
+    docs = table(spark, [(1, wrapped), (2, marked), (3, f"prose\n  * {bsd}\nmore"), (4, "x\nSPDX: Z-1\ny"), (5, license_scan.ISC.replace("copyright notice", "\nnotice"))])
+    known = license_scan.builtin_registry(spark).unionByName(spark.createDataFrame([("Z-1", "SPDX: Z-1")], "license_id string, text string"))
+    for limit in (20_000, 1):
+        got = sorted((r.doc_id, r.license_id, r.notices) for r in license_scan.scan(docs, known, broadcast_rows=limit).collect())
+        assert got == [(1, "ISC", ""), (2, "ISC", ""), (3, None, "BSD-2-Clause"), (4, None, "Z-1"), (5, None, "")]
+
+
 def test_license_sql(spark, sf):
     import duckdb
 
