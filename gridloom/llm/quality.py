@@ -20,7 +20,9 @@ Fitting takes at most about ``fit_rows`` rows of each kind, chosen by a hash of
 the id (a documented bound); scoring takes every row.
 
 Defined cases: null text counts as empty; an empty text gets the score of the
-all-zero features; without positives every score is 0.5; repeated rows are
+all-zero features; without positives every score is 0.5; where no unlabelled row
+is drawn (labels cover every document), all documents, their labels unseen, are
+the unlabelled text; repeated rows are
 scored one by one; only id and text are read.
 """
 
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,7 +195,11 @@ def _fit(docs: DataFrame, marks: DataFrame, seen: DataFrame, id_col: str, text_c
     # the chosen ids are about ``2 * fit_rows`` at most, so they go to the texts
     labelled = text.join(F.broadcast(keys), "_i").select("kind", F.col("_i").cast("string").alias("i"), "t")
     free = text.where(at < limit[-1]).join(seen, "_i", "left_anti").select(F.lit(-1).alias("kind"), F.col("_i").cast("string").alias("i"), "t")
-    found = _feature_table(labelled.unionByName(free)).toPandas().sort_values(["kind", "i"], ignore_index=True)
+    found = _feature_table(labelled.unionByName(free)).toPandas()
+    if not (found.kind == -1).any():
+        every = text.where(at < int(min(1.0, fit_rows / max(1, n_docs)) * million) + 1).select(F.lit(-1).alias("kind"), F.col("_i").cast("string").alias("i"), "t")
+        found = pd.concat([found, _feature_table(every).toPandas()])
+    found = found.sort_values(["kind", "i"], ignore_index=True)
     of = lambda k: np.stack([np.frombuffer(f, np.float32) for f in found.f[found.kind == k]]).astype(np.float64) if (found.kind == k).any() else np.empty((0, N_FEATURES))
     return fit_arrays(of(1), of(-1), of(0), sizes[1] / (sizes[1] + sizes[0]) if sizes.get(0) and sizes.get(1) else None)
 

@@ -281,6 +281,14 @@ def test_quality_and_toxicity_held_out(spark):
     assert (order[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n)) >= 0.8
 
 
+def test_quality_where_every_row_is_labelled(spark, words):
+    docs = table(spark, [(i, words(80, i) if i % 2 else f"$$$ ### {i} " * 40) for i in range(120)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert min(got[i] for i in range(1, 120, 2)) > 0.5 > max(got[i] for i in range(0, 120, 2))
+
+
 def test_scores_of_odd_rows(spark):
     docs = table(spark, [(1, None), (2, ""), (2, ""), (3, "a " * 50_000)])
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
