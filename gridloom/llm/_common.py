@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ _KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a temporary folder set.
+    Only where the session names none and all of it is one local process (tests,
+    a laptop) is a temporary folder set; a cluster without the setting is an error.
     """
     path = spark.conf.get(_KEY, None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set(_KEY, path)
     return path.rstrip("/")

@@ -80,7 +80,7 @@ def test_decontamination_matches_brute_force(spark, rows, words, block_bytes):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.judge(decontam.scan(table(spark, docs), bench, block_bytes=block_bytes, keep=["TextOther"]))
     want = {r[0]: r[1:] for r in decontam.brute_force(docs, items)}
-    assert got.columns[:4] == ["doc_id", "n_words", "spans", "items"] and "TextOther" in got.columns
+    assert got.columns[:5] == ["doc_id", "n_words", "spans", "items", "row"] and got.select("row.*").columns == ["TextOther"]
     for r in got.collect():
         assert (r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) == want[r.doc_id]
     none = decontam.judge(decontam.scan(table(spark, docs), bench.limit(0)))

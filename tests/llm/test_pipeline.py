@@ -54,8 +54,28 @@ def test_substrings(kept):
 def test_benchmark(spark, kept):
     rows = pairs(kept["substring dedup"])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    want = {r[0] for r in decontam.brute_force(rows, items) if not r[-1]}
-    assert {i for i, _ in pairs(kept["benchmark decontamination"])} == want
+    judged = {r[0]: r for r in decontam.brute_force(rows, items)}
+    got = dict(pairs(kept["benchmark decontamination"]))
+    assert set(got) == {i for i, r in judged.items() if not r[-1]}
+    for i, text in rows:
+        if i in got and not judged[i][2]:
+            assert got[i] == text
+    assert not any(r[2] for r in decontam.brute_force(list(got.items()), items))
+
+
+def test_benchmark_is_cut_out_of_long_documents(spark, words):
+    item, long = words(30, 1), words(2000, 2)
+    part = " ".join(item.split()[5:25])
+    rows = [(1, f"{long}\n{item}. {long}"), (2, f"Before, {item}! after"), (3, long), (4, None), (5, f"{long} {part[:80]}{item}{part[80:]} {long}")]
+    docs = spark.createDataFrame([(i, t, "x", [1], 5, 6, 7) for i, t in rows], "doc_id long, text string, items string, spans array<int>, n_words int, n_chars int, row long")
+    bench = spark.createDataFrame([("a", item), ("b", part)], "item_id string, text string")
+    for size in (16 << 20, 50):
+        got = {r.doc_id: r for r in decontam.remove(docs, bench, size_col="n_chars", block_bytes=size).collect()}
+        assert set(got) == {1, 3, 4, 5} and got[3].text == long and got[4].text is None and got[3].n_chars == 6
+        assert got[1].text == f"{long}\n. {long}" and got[1].n_chars == len(got[1].text)
+        assert decontam.brute_force([(5, got[5].text)], [("a", item), ("b", part)])[0][2] == 0
+        assert decontam.remove(docs.limit(0), bench, block_bytes=size).count() == 0
+        assert decontam.remove(docs, bench.limit(0), block_bytes=size).count() == 5
 
 
 def test_packing_takes_all(kept):
