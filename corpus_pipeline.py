@@ -9,7 +9,9 @@ one's ``docs``.  All but the last return the columns of ``documents``.
 3. substrings: words of passages that stood in a document with a smaller id go;
    ``text`` and ``n_chars`` are brought up to date, and a document goes if
    nothing is left of it,
-4. decontamination: documents with too much benchmark text go,
+4. decontamination: documents of which benchmark windows cover a twentieth or
+   more go; in all others these passages are cut out of ``text``, and ``n_chars``
+   is brought up to date,
 5. packing: what is left becomes sequences of at most 1024 tokens.
 
 Rows with a null id pass the stages that need ids to compare; null texts are
@@ -49,10 +51,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    others = [c for c in docs.columns if c != "doc_id"]
-    return decontam.judge(decontam.scan(docs, benchmark, keep=others)).where("not contaminated").select(docs.columns)
+    """Documents without benchmark windows: cut out where they cover less than a twentieth of a document, else the document goes."""
+    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
