@@ -6,11 +6,12 @@ web text with the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 
 so unlabelled text is neither taken as bad nor trusted as good.  The class
-prior is estimated by best bins: the least ratio of the share of unlabelled to
-the share of held-back positive texts above a score of a first fit, or the
-share of good texts among the labelled ones if that is smaller.  Scores
-are then placed on a scale with labelled rows of both classes (Platt), where
-there are any labelled bad ones.
+prior is estimated from positives and unlabelled text alone: models that tell
+one from the other are cross-fitted, and above each of many scores the ratio of
+the share of unlabelled to the share of positive texts is taken, with one
+standard error of its own added; the least is the estimate (the median over a
+few seeds).  Labelled bad rows, where there are any, do nothing but place the
+scores on a scale (Platt), so that a score can be read as a probability.
 
 Features describe the whole text and no language: shares of kinds of bytes,
 repeated neighbours, word and line shapes.  They are computed in one pass over
@@ -34,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".", b",", b"!", b"?", b"|", b"#", b"$", b"%", b"&", b"*", b"<>", b"()[]{}", b"'\"", b"-_", b":;", b"/\\", b"@", b"=+~^`", b"\t\r\x0b\x0c", bytes(range(128, 192)), bytes(range(192, 256))]
@@ -123,30 +124,38 @@ def _fit_risk(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 50
     return w
 
 
-def estimate_prior(p_scores: np.ndarray, u_scores: np.ndarray) -> float:
-    """Best-bin estimate of the share of positives among the unlabelled."""
-    best = 1.0
-    for t in np.quantile(p_scores, np.linspace(0.0, 0.95, 40)):
-        qp, qu = (p_scores >= t).mean(), (u_scores >= t).mean()
-        slack = np.sqrt(np.log(20) / 2 / len(p_scores)) + np.sqrt(np.log(20) / 2 / len(u_scores))
-        best = min(best, (qu + slack) / qp)
-    return float(np.clip(best, 0.05, 0.98))
-
-
-def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray | None = None, good_share: float | None = None) -> PuModel | None:
-    """``good_share``: the share of good texts among labelled ones, an upper bound of the prior where it is known."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2, seeds: int = 5) -> float:
+    """Share of positives among the unlabelled rows of features, from cross-fitted scores."""
+    levels = np.linspace(0.0, 0.95, 96)
+    folds = min(folds, len(positive), len(unlabelled))
+    if folds < 2:
+        return 0.5
+    found = []
+    for seed in range(seeds):
+        rng = np.random.default_rng(seed)
+        p_fold, u_fold = rng.permutation(len(positive)) % folds, rng.permutation(len(unlabelled)) % folds
+        above_p, above_u = np.zeros(len(levels)), np.zeros(len(levels))
+        for k in range(folds):
+            w1, b1, w2, _ = _fit_risk(positive[p_fold != k], unlabelled[u_fold != k], None, seed=seed)
+            p, u = (np.tanh(x @ w1 + b1) @ w2 for x in (positive[p_fold == k], unlabelled[u_fold == k]))
+            t = np.quantile(p, levels)
+            above_p += len(p) - np.searchsorted(np.sort(p), t)
+            above_u += len(u) - np.searchsorted(np.sort(u), t)
+        qp, qu = above_p / len(positive), np.maximum(above_u, 0.5) / len(unlabelled)
+        ratio = qu / qp
+        error = ratio * np.sqrt((1 - qu) / (qu * len(unlabelled)) + (1 - qp) / (qp * len(positive)))
+        found.append((ratio + error).min())
+    return float(np.clip(np.median(found), 0.02, 0.98))
+
+
+def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray | None = None) -> PuModel | None:
+    """A model from rows of features; ``negative`` rows only set its scale."""
     if not len(positive) or not len(unlabelled):
         return None
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
     z = lambda x: np.clip((x - mean) / scale, -6, 6)
-    half = np.arange(len(positive)) % 2 == 0 if len(positive) > 1 else np.array([True])
-    first = PuModel(mean, scale, _fit_risk(z(positive[half]), z(unlabelled), None), 0.5)
-    prior = estimate_prior(first.raw(positive[~half] if (~half).any() else positive), first.raw(unlabelled))
-    if good_share is None and negative is not None and len(negative):
-        good_share = len(positive) / (len(positive) + len(negative))
-    if good_share is not None:
-        prior = min(prior, good_share)
+    prior = estimate_prior(z(positive), z(unlabelled))
     model = PuModel(mean, scale, _fit_risk(z(positive), z(unlabelled), prior), prior)
     if negative is not None and len(negative):
         raw = np.concatenate([model.raw(positive), model.raw(negative)])
@@ -175,16 +184,16 @@ def _feature_table(rows: DataFrame) -> DataFrame:
     return rows.select("kind", "i", "t").mapInArrow(compute, "kind int, i string, f binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 8000) -> PuModel | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 8000, learn: Column | None = None) -> PuModel | None:
     """A model from ``labels`` (id, 1 for a trusted good text, 0 for a known bad one) and the unlabelled rest of ``docs``.
 
-    ``labels`` must hold only rows to learn from.  About ``fit_rows`` rows of each kind are used at most.
+    Where ``learn`` (over the columns of ``labels``) does not hold, a label is
+    not learned from, and its document is not unlabelled text either.  About
+    ``fit_rows`` rows of each kind are used at most.
     """
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_i")).agg(F.max(label_col).cast("int").alias("kind"))
-    return _fit(docs, marks, labels.select(F.col(id_col).alias("_i")).distinct(), id_col, text_col, fit_rows)
-
-
-def _fit(docs: DataFrame, marks: DataFrame, seen: DataFrame, id_col: str, text_col: str, fit_rows: int) -> PuModel | None:
+    named = labels.where(F.col(id_col).isNotNull()).withColumn("_i", F.col(id_col))
+    seen = named.select("_i").distinct()
+    marks = named.where(F.col(label_col).isNotNull() & (F.lit(True) if learn is None else learn)).groupBy("_i").agg(F.max(label_col).cast("int").alias("kind"))
     sizes = {r.kind: r["count"] for r in marks.groupBy("kind").count().collect()}  # two rows
     n_docs = docs.count()
     million = 1_000_000
@@ -201,7 +210,7 @@ def _fit(docs: DataFrame, marks: DataFrame, seen: DataFrame, id_col: str, text_c
         found = pd.concat([found, _feature_table(every).toPandas()])
     found = found.sort_values(["kind", "i"], ignore_index=True)
     of = lambda k: np.stack([np.frombuffer(f, np.float32) for f in found.f[found.kind == k]]).astype(np.float64) if (found.kind == k).any() else np.empty((0, N_FEATURES))
-    return fit_arrays(of(1), of(-1), of(0), sizes[1] / (sizes[1] + sizes[0]) if sizes.get(0) and sizes.get(1) else None)
+    return fit_arrays(of(1), of(-1), of(0))
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model: PuModel | None, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -241,14 +250,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame) -> PuModel | None:
-    """The model of op10: labels of rows that are not held out; rows without a label are the unlabelled text."""
-    marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_i")).agg(F.max("quality").cast("int").alias("kind"))
-    return _fit(docs, marks.where(~F.coalesce(F.crc32(F.col("_i").cast("string").cast("binary")) % 5 == 0, F.lit(False))), labels.select(F.col("doc_id").alias("_i")).distinct(), "doc_id", "text", 8000)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: the quality of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=~held_out())
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
