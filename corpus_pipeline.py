@@ -29,7 +29,7 @@ from gridloom.llm._common import written
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.3."""
-    model = quality.fit_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=~quality.held_out())
     return quality.keep(docs, model)
 
 
