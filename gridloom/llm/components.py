@@ -4,6 +4,7 @@ Each round is a few aggregates and joins; results of a round are written to
 the shared folder, so lineage stays short and lost executors cost one round.
 A hub with very many links is a hot key of a join only, never of a window or a
 collected group, so adaptive execution can split it.  Nothing is collected.
+Rounds go on until one changes nothing (some log n of them).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return int(r[0]), int(r[1] or 0)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` (the smallest node reachable) for every node of ``edges(u, v)``.
 
     Repeated links, both directions and links of a node to itself are fine (a
@@ -29,7 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     links = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = written(links.distinct(), "cc")
     state = _state(now)
-    for _ in range(max_rounds if state[0] else 0):
+    while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")

@@ -8,21 +8,22 @@ Finding the links:
 
 1. Equal fingerprints become one node (an aggregate with map-side combine), so
    a group of exact copies, however large, is one row from here on.
-2. The 64 bits are cut into blocks.  Two fingerprints with at most
-   ``max_bits`` differences agree on at least ``blocks - max_bits`` of them, so
-   each choice of that many blocks is a *masked pattern* that forms the root
-   level of the index: fingerprints go to the task of their pattern.  The
-   number of blocks grows with the number of fingerprints, which keeps the
-   expected patterns small; no link can be missed.
-3. Under a root, fingerprints are sorted by Gray rank.  Neighbours in that
-   order share many bits; runs of 256 and of 16 fingerprints are the upper and
-   lower nodes, each with the mask and pattern of the bits all its members
-   share.  A search adds up differences from node to node (each level counts
-   only bits its parents have not counted) and prunes a whole group as soon as
-   the sum exceeds ``max_bits``.
-4. A root with more members than a task should hold is dealt in chunks, and
-   every pair of chunks is one task.  No root is dropped or capped.
-5. Each task emits a spanning star of the links it has found rather than all
+2. *Upper nodes* are shared masked patterns.  The root fixes no bit.  A node
+   with more than ``NODE`` members is replaced by finer ones: the bits it does
+   not fix are cut into ``max_bits + 1`` blocks, and each child also fixes one
+   of these, because two fingerprints within ``max_bits`` bits agree on one
+   block at least.  So hot patterns are split by more bits, only as many copies
+   are made as a node has children, and no link is missed.  (Nodes that are
+   still larger after ``DEPTH`` levels are dealt in chunks, a task for each pair
+   of chunks.)
+3. Under an upper node the fingerprints are sorted by Gray rank, in which
+   neighbours share many bits.  Runs of 2, 8, 32 ... of them are the inner
+   nodes, each with the mask and pattern of the bits that all its members
+   share.  A search goes down with the differences added up so far (each level
+   counts only bits that no level above has counted) and prunes a whole group
+   as soon as they exceed ``max_bits``, or when it is known to be of the
+   searcher's component already.
+4. Each task emits a spanning star of the links it has found rather than all
    pairs; the stars meet in :func:`gridloom.llm.components.connected_components`.
 
 Defined cases: null, empty and word-free texts have fingerprint zero and are
@@ -33,13 +34,13 @@ text columns are read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,10 @@ from gridloom.llm._common import drop_written, shuffle_partitions, written
 from gridloom.llm.components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-_UPPER, _LOWER = 256, 16
-#: Members of one root that a task always takes whole.
-LEAST_CHUNK = 1024
+#: Members of an upper node from which it is split, how often, and how many a task takes of one that cannot be split.
+NODE, DEPTH, CHUNK = 4096, 5, 65_536
+#: Pairs of a searcher and an inner node that a task looks at together.
+_FRONTIER = 400_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -84,20 +86,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return base.mapInArrow(hashed, schema)
 
 
-def _masks(n_blocks: int, agree: int) -> list[int]:
-    """Masks, as signed longs, of each choice of ``agree`` of ``n_blocks`` blocks of the 64 bits."""
-    edges = [64 * i // n_blocks for i in range(n_blocks + 1)]
-    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    masks = [sum(x) for x in combinations(blocks, agree)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _blocks(free: int, n: int) -> list[int]:
+    """Masks of ``n`` blocks of about equally many of the bits of ``free``, from high to low."""
+    bits = [1 << i for i in range(63, -1, -1) if free >> i & 1]
+    cuts = [len(bits) * i // n for i in range(n + 1)]
+    return [sum(bits[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def _blocks_for(n: int, max_bits: int) -> int:
-    """Fewest blocks with which a root of random fingerprints is expected to have at most 64 members."""
-    k = max_bits + 1
-    while k < 12 and n / 2 ** (64 * (k - max_bits) / k) > 64:
-        k += 1
-    return k
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -122,88 +119,115 @@ class _Forest:
                 return r
             r = up
 
-    def union(self, members: np.ndarray) -> None:
-        roots = np.unique(self.find(members))
-        self.parent[roots] = roots[0]
-
-
-def _shared(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mask of the bits shared within each run of ``width`` codes, pattern of those bits)."""
-    at = np.arange(0, len(codes), width)
-    every, some = np.bitwise_and.reduceat(codes, at), np.bitwise_or.reduceat(codes, at)
-    mask = ~(every ^ some)
-    return mask, every & mask
-
-
-def link_groups(codes: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """For distinct codes (uint64), the place of the smallest-placed member of each one's linked group."""
-    n = len(codes)
-    if n <= 64:
-        near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= max_bits
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the trees of each pair; a root is always the smallest of its tree."""
+        while len(a):
+            ra, rb = self.find(a), self.find(b)
+            apart = ra != rb
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+
+
+class GrayIndex:
+    """Inner nodes over the members of some upper nodes.
+
+    ``codes`` are uint64, distinct within an upper node, and ordered by upper
+    node and Gray rank; ``starts`` has where each upper node begins, and the end.
+    ``pruned`` counts the pairs of a searcher and a group below which nothing
+    was looked at because the differences were too many.
+    """
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray):
+        self.codes, self.pruned = codes, 0
+        n = len(codes)
+        place = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
+        largest = int(np.diff(starts).max(initial=0))
+        #: From the members up: (first member, one past the last, mask, pattern, first node below).
+        self.levels = [(np.arange(n), np.arange(1, n + 1), np.full(n, np.uint64(2**64 - 1)), codes, None)]
+        width = 2
+        while True:
+            at = np.flatnonzero(place % width == 0)
+            every, some = np.bitwise_and.reduceat(codes, at), np.bitwise_or.reduceat(codes, at)
+            mask = ~(every ^ some)
+            below = np.searchsorted(self.levels[-1][0], at)
+            self.levels.append((at, np.r_[at[1:], n], mask, every & mask, np.r_[below, len(self.levels[-1][0])]))
+            if width >= largest:
+                return
+            width *= 4
+
+    def components(self, max_bits: int) -> np.ndarray:
+        """For each member the first member of its linked group."""
+        n = len(self.codes)
         forest = _Forest(n)
-        for i in np.flatnonzero(near.sum(axis=1) > 1):
-            forest.union(np.flatnonzero(near[i]))
+        top = np.searchsorted(self.levels[-1][0], np.arange(n), side="right") - 1
+        step = max(16, min(n, _FRONTIER // max(1, int((self.levels[-1][1] - self.levels[-1][0]).max(initial=1)))))
+        own, same, changed = np.arange(n), None, True
+        for a in range(0, n, step):
+            if changed:  # the component of each node's members, or -1 where they have several
+                own = forest.find(np.arange(n))
+                same = []
+                for first, *_ in self.levels:
+                    low, high = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+                    same.append(np.where(low == high, low, -1))
+            q = np.arange(a, min(n, a + step))
+            i, j = self._search(q, top[q], max_bits, own, same)
+            changed = len(i) > 0
+            forest.unite(i, j)
         return forest.find(np.arange(n))
-    order = np.argsort(gray_rank(codes))
-    c = codes[order]
-    upper_mask, upper = _shared(c, _UPPER)
-    lower_mask, lower = _shared(c, _LOWER)
-    per = _UPPER // _LOWER
-    forest = _Forest(n)
-    inner = np.arange(_LOWER)
-    for a in range(len(upper)):
-        begin = a * _UPPER
-        own = c[begin : begin + _UPPER]
-        both = upper_mask[a:] & upper_mask[a]
-        rest = a + np.flatnonzero(np.bitwise_count((upper[a:] ^ upper[a]) & both) <= max_bits)
-        for b in rest:  # groups that the shared bits of both cannot rule out
-            summed = np.bitwise_count((own ^ upper[b]) & upper_mask[b])
-            q = np.flatnonzero(summed <= max_bits)
-            if not len(q):
-                continue
-            low = slice(b * per, min((b + 1) * per, len(lower)))
-            extra = lower_mask[low] & ~upper_mask[b]
-            acc = summed[q, None] + np.bitwise_count((own[q, None] ^ lower[None, low]) & extra[None, :])
-            qi, li = np.nonzero(acc <= max_bits)
-            if not len(qi):
-                continue
-            member = (b * per + li)[:, None] * _LOWER + inner[None, :]
-            inside = member < n
-            member = np.where(inside, member, 0)
-            left = acc[qi, li][:, None] + np.bitwise_count((own[q[qi]][:, None] ^ c[member]) & ~lower_mask[b * per + li][:, None])
-            hit = inside & (left <= max_bits)
-            who, place = np.nonzero(hit)
-            source, target = begin + q[qi[who]], member[who, place]
-            apart = source != target
-            source, target = source[apart], target[apart]
-            if not len(source):
-                continue
-            by = np.argsort(source, kind="stable")
-            source, target = source[by], target[by]
-            cut = np.flatnonzero(np.diff(source)) + 1
-            for s, t in zip(source[np.r_[0, cut]], np.split(target, cut)):
-                forest.union(np.r_[s, t])
-    roots = forest.find(np.arange(n))
-    first = np.full(n, n)
-    np.minimum.at(first, roots, order)
-    out = np.empty(n, dtype=np.int64)
-    out[order] = first[roots]
-    return out
-
-
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``u, v``: links that connect every two of the distinct longs ``fp`` within ``max_bits`` bits."""
+
+    def _search(self, q: np.ndarray, node: np.ndarray, max_bits: int, own: np.ndarray, same: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the searchers ``q`` to later members, from the nodes of the top level down."""
+        mask, pattern = self.levels[-1][2], self.levels[-1][3]
+        total = np.bitwise_count((self.codes[q] ^ pattern[node]) & mask[node])
+        for depth in range(len(self.levels) - 1, 0, -1):
+            above, below = self.levels[depth], self.levels[depth - 1]
+            first = above[4][node]
+            width = above[4][node + 1] - first
+            up = np.repeat(np.arange(len(q)), width)
+            child = np.arange(len(up)) - np.repeat(np.cumsum(width) - width, width) + first[up]
+            ahead = (below[1][child] > q[up] + 1) & (same[depth - 1][child] != own[q[up]])
+            up, child = up[ahead], child[ahead]
+            added = (self.codes[q[up]] ^ below[3][child]) & below[2][child] & ~above[2][node[up]]
+            sums = total[up] + np.bitwise_count(added)
+            near = sums <= max_bits
+            self.pruned += int(len(near) - near.sum()) if depth > 1 else 0
+            q, node, total = q[up[near]], child[near], sums[near]
+        return q, node
+
+
+def _upper_nodes(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``t, p, s, fp``: each fingerprint under its upper nodes (mask ``t``, pattern ``p``); ``s`` chunks where a node is too large."""
     spark = nodes.sparkSession
-    n, parts = nodes.count(), shuffle_partitions(spark)
-    k = _blocks_for(n, max_bits)
-    masks = _masks(k, k - max_bits)
-    roots = F.explode(F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("p")) for t, m in enumerate(masks)]))
-    bands = nodes.select("fp", roots.alias("r")).select("r.t", "r.p", "fp")
-    chunk = max(LEAST_CHUNK, math.ceil(n * len(masks) / parts))
-    large = written(bands.groupBy("t", "p").count().where(F.col("count") > chunk).select("t", "p", F.ceil(F.col("count") / chunk).cast("int").alias("s")), "roots")
-    dealt = bands.join(large, ["t", "p"], "left").withColumn("c", F.when(F.col("s").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")))
-    others = F.when(F.col("s").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda o: o != F.col("c")))
-    dealt = dealt.withColumn("o", F.explode(others)).select("t", "p", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
+    masks = {1: 0}
+    level = nodes.select(F.lit(1).alias("t"), F.lit(0).cast("long").alias("p"), "fp")
+    done = None
+    for depth in range(DEPTH + 1):
+        large = written(level.groupBy("t", "p").count().where(F.col("count") > (NODE if depth < DEPTH else CHUNK)), "roots")
+        some = large.groupBy("t").count().select("t").collect()  # a row for each mask
+        whole = (level.join(large, ["t", "p"], "left_anti") if some else level).select("t", "p", F.lit(1).alias("s"), "fp")
+        done = whole if done is None else done.unionByName(whole)
+        if not some:
+            break
+        rest = level.join(large, ["t", "p"])
+        if depth == DEPTH:
+            done = done.unionByName(rest.select("t", "p", F.ceil(F.col("count") / CHUNK).cast("int").alias("s"), "fp"))
+            break
+        finer = [(r.t, r.t * 8 + c, _signed(masks[r.t] | b)) for r in some for c, b in enumerate(_blocks(~masks[r.t] & (2**64 - 1), max_bits + 1))]
+        masks = {t: m & (2**64 - 1) for _, t, m in finer}
+        to = spark.createDataFrame(finer, "t int, child int, mask long")
+        level = rest.join(F.broadcast(to), "t").select(F.col("child").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("p"), "fp")
+    return done
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, pruned: Accumulator | None = None) -> DataFrame:
+    """``u, v``: links that connect every two of the distinct longs ``fp`` within ``max_bits`` bits.
+
+    ``pruned``, if given, is increased by the number of groups that searches have pruned.
+    """
+    parts = shuffle_partitions(nodes.sparkSession)
+    placed = _upper_nodes(nodes, max_bits).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
+    others = F.when(F.col("s") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda o: o != F.col("c")))
+    dealt = placed.withColumn("o", F.explode(others)).select("t", "p", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
     dealt = dealt.repartition(parts, "t", "p", "i", "j").sortWithinPartitions("t", "p", "i", "j")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,39 +246,32 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield from emit(held[4], np.array([held.shape[1]]))
 
     def emit(fp: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.r_[0, ends[:-1]]
-        sizes = ends - starts
-        u, v = [], []
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= 24)]):  # small roots of one size, together
-            at = starts[sizes == size]
-            for part in range(0, len(at), max(1, 500_000 // int(size * size))):
-                own = fp[at[part : part + max(1, 500_000 // int(size * size))][:, None] + np.arange(size)].view(np.uint64)
-                g, i, j = np.nonzero(np.triu(np.bitwise_count(own[:, :, None] ^ own[:, None, :]) <= max_bits, 1))
-                u.append(own[g, i].view(np.int64))
-                v.append(own[g, j].view(np.int64))
-        for b, e in zip(starts[sizes > 24], ends[sizes > 24]):
-            codes = fp[b:e].view(np.uint64)
-            root = link_groups(codes, max_bits)
-            apart = root != np.arange(len(codes))
-            u.append(codes[apart].view(np.int64))
-            v.append(codes[root[apart]].view(np.int64))
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+        starts = np.r_[0, ends]
+        codes = fp.view(np.uint64)
+        codes = codes[np.lexsort((gray_rank(codes), np.repeat(np.arange(len(ends)), np.diff(starts))))]
+        index = GrayIndex(codes, starts)
+        root = index.components(max_bits)
+        if pruned is not None:
+            pruned.add(index.pruned)
+        apart = np.flatnonzero(root != np.arange(len(codes)))
+        if len(apart):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[apart].view(np.int64)), pa.array(codes[root[apart]].view(np.int64))], names=["u", "v"])
 
     return dealt.mapInArrow(stars, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
-    """``id_col, fingerprint, component_id`` for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED, pruned: Accumulator | None = None) -> DataFrame:
+    """``id_col, fingerprint, component_id`` for each row of ``docs``; ``pruned`` as for :func:`links`."""
     own = written(fingerprints(docs, id_col, text_col, shingle, seed), "fp")
     nodes = written(own.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    linked = written(links(nodes.select("fp"), max_bits), "links")
+    linked = written(links(nodes.select("fp"), max_bits, pruned), "links")
     comp = written(connected_components(linked), "comp")
     drop_written(linked)
     tagged = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = written(tagged.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = written(tagged.join(least, "root").select("fp", "component_id"), "named")
-    drop_written(nodes)
+    for gone in (nodes, comp, least):
+        drop_written(gone)
     out = own.join(named, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -34,21 +34,44 @@ def test_simhash_matches_brute_force(spark, rows):
     assert got[400][0] == "0" * 16 and got[401][1] == got[400][1] == 400
 
 
-def test_simhash_index_finds_every_link():
-    rng = np.random.default_rng(1)
+def clusters(n, size, spread, seed=1):
+    rng = np.random.default_rng(seed)
     codes = []
-    for b in rng.integers(0, 2**63, size=25, dtype=np.uint64):
-        for _ in range(40):
+    for b in rng.integers(0, 2**63, size=n, dtype=np.uint64):
+        for _ in range(size):
             x = int(b)
-            for k in rng.choice(64, size=rng.integers(0, 7), replace=False):
+            for k in rng.choice(64, size=rng.integers(0, spread), replace=False):
                 x ^= 1 << int(k)
             codes.append(x)
-    codes = np.unique(np.array(codes, dtype=np.uint64))
-    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 4
+    return np.unique(np.array(codes, dtype=np.uint64))
+
+
+def groups_of(codes, max_bits=4):
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= max_bits
     want = simhash._Forest(len(codes))
-    for i in range(len(codes)):
-        want.union(np.flatnonzero(near[i]))
-    assert (want.find(np.arange(len(codes))) == simhash.link_groups(codes)).all()
+    want.unite(*np.nonzero(near))
+    return want.find(np.arange(len(codes)))
+
+
+@pytest.mark.parametrize("frontier", [400_000, 300])
+def test_simhash_index_finds_every_link_and_prunes(monkeypatch, frontier):
+    monkeypatch.setattr(simhash, "_FRONTIER", frontier)
+    codes = clusters(25, 40, 7)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    starts = np.array([0, 1, 3, 300, len(codes)])
+    index = simhash.GrayIndex(codes, starts)
+    got = index.components(4)
+    for a, b in zip(starts, starts[1:]):
+        assert (got[a:b] == a + groups_of(codes[a:b])).all()
+    assert index.pruned > len(codes)
+
+
+def test_simhash_prunes_on_the_documents(spark, sf):
+    pruned = spark.sparkContext.accumulator(0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, pruned=pruned).collect()}
+    assert got == {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.query(spark, sf).collect()}
+    assert pruned.value > len({f for f, _ in got.values()})
 
 
 def test_simhash_empty_repeated_and_null_ids(spark):
@@ -57,13 +80,17 @@ def test_simhash_empty_repeated_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got if r.component_id) == [(0, 1), (1, 1), (1, 1)]
 
 
-def test_simhash_large_root_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAST_CHUNK", 8)
+@pytest.mark.parametrize(("node", "depth", "chunk"), [(4096, 4, 65_536), (40, 4, 65_536), (8, 1, 20), (8, 0, 8)])
+def test_simhash_large_nodes_are_split(spark, monkeypatch, node, depth, chunk):
+    for name, value in (("NODE", node), ("DEPTH", depth), ("CHUNK", chunk)):
+        monkeypatch.setattr(simhash, name, value)
     base = 0x0123456789ABCDEF
-    codes = sorted({base ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)})
-    nodes = spark.createDataFrame([(c,) for c in codes], "fp long")
-    got = components.connected_components(simhash.links(nodes)).select("root").distinct().count()
-    assert got == 1
+    codes = np.unique(np.concatenate([clusters(6, 30, 7, seed=2), np.array([base ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(12)], np.uint64)]))
+    nodes = spark.createDataFrame([(c,) for c in codes.view(np.int64).tolist()], "fp long")
+    found = {r.node: r.root for r in components.connected_components(simhash.links(nodes)).collect()}
+    got = np.array([found.get(c, c) for c in codes.view(np.int64).tolist()])
+    want = groups_of(codes)
+    assert all(len(set(got[want == w])) == 1 for w in set(want)) and len(set(got)) == len(set(want))
 
 
 def test_components(spark):
