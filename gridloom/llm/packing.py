@@ -4,17 +4,21 @@ Only the number of pieces of each length matters to a packing, and there are at
 most ``capacity`` lengths, so the plan is made from a histogram whose size does
 not depend on the corpus:
 
-1. pieces longer than ``small`` are cut into groups of about equal cardinality
-   by descending length, and each is rounded up to its group's longest,
+1. pieces longer than ``small`` are large; those of them that can share a
+   sequence with another large one are cut into groups of about equal
+   cardinality by descending length, and each is rounded up to its group's
+   longest (large ones that cannot share need no rounding: each opens a
+   sequence),
 2. the few sizes give a configuration linear program (fewest sequences), solved
-   by column generation with a knapsack; whole numbers of its sequences are kept,
-3. actual lengths take the places of the rounded ones; what they leave free
-   counts as free,
+   to the optimum by column generation with a knapsack; whole numbers of its
+   sequences are kept,
+3. actual lengths take the places of the rounded ones, in the last place of a
+   sequence the longest that fits what the others really leave; what is still
+   free counts as free,
 4. what is left of the large ones, then the small ones, go best-fit in
    descending order into the sequences with the least room that suffices.
 
-Plain best-fit decreasing is planned as well and used where it needs fewer
-sequences.  The plan is a run-length list: (lengths, number of sequences with
+The plan is a run-length list: (lengths, number of sequences with
 exactly those lengths).  A piece finds its place from its length and its rank
 among the pieces of that length, which come from per-task counts, so no task
 ever holds all pieces of a length.
@@ -29,6 +33,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -84,28 +89,29 @@ class _Open:
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
+    """Plain best-fit decreasing: a yardstick for tests."""
     room = _Open(capacity)
     for length in sorted(counts, reverse=True):
         room.best_fit(length, counts[length])
     return room.runs()
 
 
-def _configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
-    """A basic solution of: fewest sequences of at most ``capacity`` that hold ``demand`` pieces of each size."""
+def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
+    """A basic optimum of: fewest sequences of at most ``capacity`` that hold ``demand`` pieces of each size (descending)."""
     g = len(sizes)
-    basis = np.diag([float(capacity // s) for s in sizes])
-    d, s = np.array(demand, float), np.array(sizes)
-    order = np.arange(g)
-    for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
+    s, d = np.array(sizes), np.array(demand, float)
+    basis = np.diag([float(capacity // x) for x in sizes])
+    inverse = np.linalg.inv(basis)
+    steps = 0
+    while True:
         price = inverse.sum(axis=0)
         best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for w in range(int(s.min()), capacity + 1):
-            fits = order[s <= w]
-            value = best[w - s[fits]] + price[fits]
-            k = int(value.argmax())
-            if value[k] > best[w - 1] + 1e-12:
-                best[w], last[w] = value[k], fits[k]
+        for w in range(int(s[-1]), capacity + 1):
+            k = int(np.searchsorted(-s, -w))  # the sizes from here on fit
+            value = best[w - s[k:]] + price[k:]
+            j = int(value.argmax())
+            if value[j] > best[w - 1] + 1e-12:
+                best[w], last[w] = value[j], k + j
             else:
                 best[w] = best[w - 1]
         if best[capacity] <= 1 + 1e-7:
@@ -119,66 +125,66 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int, rounds:
             w -= s[last[w]]
         x, step = inverse @ d, inverse @ column
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
+        out = int(ratio.argmin())
+        basis[:, out] = column
+        steps += 1
+        if steps % 100:  # exchange one column
+            inverse[out] /= step[out]
+            rest = np.arange(g) != out
+            inverse[rest] -= np.outer(step[rest], inverse[out])
+        else:
+            inverse = np.linalg.inv(basis)
     x = np.linalg.solve(basis, d)
     return [(basis[:, j].astype(int), float(x[j])) for j in range(g) if x[j] >= 1]
 
 
-def linear_grouping(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 96, small: int | None = None) -> list[Run]:
-    small = capacity // 8 if small is None else small
+def linear_grouping(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 160, small: int | None = None) -> list[Run]:
+    """The plan: runs of (lengths, sequences with these lengths)."""
+    small = capacity * 43 // 100 if small is None else small
     left = Counter({k: v for k, v in counts.items() if v})
     room = _Open(capacity)
-    if left[capacity]:
-        room.add((capacity,), left.pop(capacity))
-    large = sorted((k for k in left if k > small), reverse=True)
-    total = sum(left[k] for k in large)
-    members: list[list[list[int]]] = []  # of each group: [length, pieces left], descending
-    if total:
-        per, seen = math.ceil(total / groups), 0
-        for length in large:
-            if not members or seen >= per * len(members):
-                members.append([])
-            members[-1].append([length, left[length]])
+    large = sorted(k for k in left if k > small)
+    for length in [k for k in large if k > capacity - large[0]]:
+        room.add((length,), left.pop(length))
+        large.remove(length)
+    if large:
+        per, seen = math.ceil(sum(left[k] for k in large) / groups), 0
+        sizes: list[int] = []
+        demand: list[int] = []
+        for length in reversed(large):
+            if not sizes or seen >= per * len(sizes):
+                sizes.append(length)
+                demand.append(0)
+            demand[-1] += left[length]
             seen += left[length]
-        sizes = [m[0][0] for m in members]
-        demand = [sum(n for _, n in m) for m in members]
         for config, x in _configurations(sizes, demand, capacity):
+            slots = [sizes[j] for j, k in enumerate(config) for _ in range(k)]
             wanted = math.floor(x + 1e-9)
-            need = [(j, int(k)) for j, k in enumerate(config) if k]
             while wanted:
-                if any(sum(n for _, n in members[j]) < k for j, k in need):
-                    break
-                lengths, times = [], wanted
-                for j, k in need:  # each place takes the longest that is left of its group
-                    run = next(m for m in members[j] if m[1])
-                    if run[1] >= k:
-                        times = min(times, run[1] // k)
-                        lengths += [run[0]] * k
-                    else:
-                        times, k0 = 1, k
-                        for m in members[j]:
-                            take = min(m[1], k0)
-                            lengths += [m[0]] * take
-                            k0 -= take
-                for length, k in Counter(lengths).items():
-                    left[length] -= k * times
-                    for m in (m for j, _ in need for m in members[j] if m[0] == length):
-                        m[1] -= k * times
-                room.add(tuple(sorted(lengths, reverse=True)), times)
-                wanted -= times
+                used: Counter = Counter()
+                free = capacity
+                for i, size in enumerate(slots):
+                    at = bisect_right(large, free if i == len(slots) - 1 else size)
+                    while at and left[large[at - 1]] <= used[large[at - 1]]:
+                        at -= 1
+                    if not at:
+                        break
+                    used[large[at - 1]] += 1
+                    free -= large[at - 1]
+                else:
+                    times = min([wanted, *(left[k] // n for k, n in used.items())])
+                    room.add(tuple(sorted(used.elements(), reverse=True)), times)
+                    for k, n in used.items():
+                        left[k] -= n * times
+                    large = [k for k in large if left[k]]
+                    wanted -= times
+                    continue
+                break
     for length in sorted((k for k, v in left.items() if v), reverse=True):
         room.best_fit(length, left[length])
     return room.runs()
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
-    """The best of linear groupings of several finenesses and best-fit decreasing, as runs of (lengths, sequences)."""
-    counts = {k: v for k, v in counts.items() if v}
-    found = [linear_grouping(counts, capacity, groups, capacity * part // 100) for groups, part in ((48, 12), (96, 12), (96, 43))]
-    found.append(best_fit_decreasing(counts, capacity))
-    return min(found, key=lambda runs: sum(n for _, n in runs))
-
-
 def places(runs: list[Run]) -> dict[int, np.ndarray]:
     """Length -> rows (first rank, first sequence, offset), by rank: where the pieces of that length go."""
     used: Counter = Counter()
@@ -238,7 +244,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     cut = written(pieces(docs, id_col, text_col, tokenizer_path, capacity, end_id, with_ids), "pieces")
     by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     counts = {int(r.length): int(r.n) for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    held = spark.sparkContext.broadcast(places(plan(counts, capacity)))
+    held = spark.sparkContext.broadcast(places(linear_grouping(counts, capacity)))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).select("task", "length", "first")
     ranked = cut.join(first, ["task", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("rank"), *(["ids"] if with_ids else []))

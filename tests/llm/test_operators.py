@@ -205,16 +205,24 @@ def test_packing(spark, rows):
 
 def test_packing_plans_are_whole_and_tight():
     rng = np.random.default_rng(3)
-    for n, lo, hi in ((3000, 1, 1024), (500, 400, 700), (7, 1000, 1024)):
-        counts = dict(zip(*(x.tolist() for x in np.unique(rng.integers(lo, hi, n), return_counts=True))))
-        for runs in (packing.linear_grouping(counts), packing.best_fit_decreasing(counts), packing.plan(counts)):
+    bent = np.clip(np.exp(rng.normal(5.8, 0.7, 60_000)).astype(int), 1, 1024)
+    for lengths in (rng.integers(1, 1025, 60_000), rng.integers(400, 700, 500), rng.integers(1000, 1024, 7), rng.integers(1, 30, 900), bent, np.full(90, 512), np.full(91, 513), np.full(3, 1024)):
+        counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
+        for runs in (packing.linear_grouping(counts), packing.linear_grouping(counts, groups=7, small=100), packing.best_fit_decreasing(counts)):
             used: dict = {}
-            for lengths, m in runs:
-                assert sum(lengths) <= 1024 and m > 0
-                for x in lengths:
+            for own, m in runs:
+                assert sum(own) <= 1024 and m > 0
+                for x in own:
                     used[x] = used.get(x, 0) + m
             assert used == counts
-        assert sum(m for _, m in packing.plan(counts)) <= sum(m for _, m in packing.best_fit_decreasing(counts))
+        n = sum(m for _, m in packing.linear_grouping(counts))
+        assert n <= 1.001 * sum(m for _, m in packing.best_fit_decreasing(counts)) + 1
+    assert packing.linear_grouping({}) == []
+
+
+def test_packing_nears_the_bound(spark):
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("length", "sequence_id").toPandas()
+    assert rows.sequence_id.nunique() <= 1.003 * np.ceil(rows.length.sum() / 1024)
 
 
 def test_licenses(spark):
