@@ -346,6 +346,20 @@ def test_quality_without_labels_and_with_one_class(spark, words):
     assert quality.score(docs, quality.fit(docs, good)).where("score >= 0 and score <= 1").count() == docs.count()
 
 
+def test_toxicity_learns_from_whole_texts(spark, words):
+    plain = [(i, words(300, i)) for i in range(120)]
+    # the marks stand beyond the first 12,000 characters, after other words each time
+    bad = [(1000 + i, words(4000, 300 + i) + " " + " ".join(w + " zquuxly " + v for w, v in zip(words(9, i).split(), words(9, 50 + i).split()))) for i in range(25)]
+    long = [(2000 + i, words(4100, 700 + i)) for i in range(25)]
+    docs = table(spark, plain + bad + long)
+    labels = spark.createDataFrame([(i, int(1000 <= i < 2000)) for i, _ in plain + bad + long], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    fresh = table(spark, [(1, words(50, 9001) + " zquuxly zquuxly " + words(40, 9002) + " zquuxly"), (2, words(90, 9003)), (3, None), (4, "")])
+    got = {r.doc_id: r.score for r in toxicity.score(fresh, model).collect()}
+    assert b"zquuxly" in model.toxic and b"zquuxly" not in model.ordinary
+    assert got[1] > max(got[2], got[3], got[4]) and got[3] == got[4]
+
+
 def test_quality_where_every_row_is_labelled(spark, words):
     docs = table(spark, [(i, words(80, i) if i % 2 else f"$$$ ### {i} " * 40) for i in range(120)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
@@ -357,8 +371,13 @@ def test_quality_where_every_row_is_labelled(spark, words):
 def test_scores_of_odd_rows(spark):
     docs = table(spark, [(1, None), (2, ""), (2, ""), (3, "a " * 50_000)])
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
-    model = toxicity.fit_texts([], ["some text"])
-    assert {r.score for r in toxicity.score(docs, model).collect()} == {0.0}
+    for y in (0, 1):
+        one = spark.createDataFrame([(1, y), (2, y), (3, y), (None, 1 - y), (3, None)], "doc_id long, toxic int")
+        model = toxicity.fit(docs, one)
+        assert {r.score for r in toxicity.score(docs, model).collect()} == {float(y)}
+    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, one.limit(0))).collect()} == {0.0}
+    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs.limit(0), one)).collect()} == {0.0}
+    assert toxicity.score(docs.limit(0), model).count() == 0
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 0.3, (60, quality.N_FEATURES)), rng.normal(-1, 0.3, (60, quality.N_FEATURES))
     m = quality.fit_arrays(good, np.concatenate([good[:40], bad[:20]]), bad[20:])
