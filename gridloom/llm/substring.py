@@ -1,31 +1,41 @@
 """Substring deduplication with a log-structured index of window hashes.
 
 A window is 13 consecutive words of one document.  A window is a repeat if the
-same words already stood in an earlier document; every word that a repeated
-window covers is removed.  "Earlier" means: in an earlier batch, or in the same
-batch with a smaller id.
+same words also start in a document with a smaller id; every word that a
+repeated window covers is removed.
 
 The index (:class:`WindowIndex`) is a folder of *runs*.  A run is an immutable
 table with one row for each bucket (a range of the hash): the bucket's window
-hashes, sorted, delta-coded and compressed.  A batch is processed like this:
+hashes, sorted, delta-coded and compressed, and for each the first document
+that has it.  Hashes have 20 bits more than it takes to number the windows, so
+an entry needs some five bytes at any size, and about one window in a million
+meets a false candidate.  A table is taken in ``batches`` of ascending ids:
 
 1. each task hashes its windows and keeps, for each hash, the smallest id; the
-   windows of larger ids are repeats already and are settled in the task, so a
-   passage that a third of all documents share leaves a task as one entry,
+   windows of larger ids are candidates already and are set apart in the task,
+   so a passage that a third of all documents share leaves a task as one entry,
 2. the entries go, sorted and packed, to the task of their bucket, where they
-   are merge-joined with the bucket's historical runs and with each other,
-3. a match is *verified*: besides the 64-bit sort key an entry carries 16 bits
-   of a second, independent hash, and both must agree (80 bits: at 10^10
-   windows the chance of any false match is below 10^-4),
-4. windows that are new make the batch's run,
-5. when ``fanout`` runs of one level have gathered, they are *compacted*: merged
+   are merge-joined with the bucket's historical runs and with each other: that
+   gives candidates (document, hash) and, for each hash of them, its holder,
+3. what is new is written as the batch's run,
+4. when ``fanout`` runs of one level have gathered, they are *compacted*: merged
    into one run of the next level.
 
-Repeats then return to their documents, which are read a second time.
+After all batches the candidates are *verified* by their words.  Candidates
+return to their documents; neighbouring ones leave together as a stretch of
+text, to the task of the least four-word hash inside the window (so equal words
+always meet, whatever their hash), where windows are compared word by word.  A
+candidate whose words stand in no earlier document is a false one and stays.
+
+An index may be kept and serve later tables (``index_path``): their ids must be
+larger than all ids before, and the earlier documents are passed as ``history``,
+because their texts, which the index does not hold, are compared.
 
 Defined cases: null text has no words; a null id neither removes nor loses
-anything; rows with the same id count as one document for what is earlier; an
-empty table gives no rows; only id, text and ``keep`` columns are read.
+anything; ids are whole numbers (others fail when they are cast); rows with the
+same id count as one document for what is earlier; an empty table gives no
+rows; only id, text and ``keep`` columns are read, and ``keep`` columns travel in
+one struct, so they may have any names.
 """
 
 from __future__ import annotations
@@ -43,6 +53,8 @@ from pyspark.sql import functions as F
 from gridloom.llm._common import delete_path, drop_written, fresh_path, release, shuffle_partitions, written
 
 WINDOW = 13
+#: Bits of a hash beyond those that number all windows.
+SPARE_BITS = 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -75,18 +87,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def window_hashes(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit sort key, 16-bit check) of each window that starts at a word; for ``len - window + 1`` starts."""
+def window_hashes(words: np.ndarray, window: int = WINDOW, bits: int = 64) -> np.ndarray:
+    """Hash of each window by the word it starts at; for ``len - window + 1`` starts."""
     n = len(words) - window + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint16)
-    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        return np.empty(0, np.uint64)
+    a = np.zeros(n, np.uint64)
     for j in range(window):
-        w = words[j : j + n]
-        a = a * _K1 + w
-        b = (b ^ w) * _K2
-        b ^= b >> np.uint64(31)
-    return _mixed(a), (b >> np.uint64(48)).astype(np.uint16)
+        a = a * _K1 + words[j : j + n]
+    return _mixed(a) >> np.uint64(64 - bits)
+
+
+def _least_grams(words: np.ndarray, window: int) -> np.ndarray:
+    """For each window the least hash of four neighbouring words in it."""
+    gram = min(4, window)
+    n = len(words) - gram + 1
+    g = np.zeros(n, np.uint64)
+    for j in range(gram):
+        g = (g ^ words[j : j + n]) * _K2
+        g ^= g >> np.uint64(29)
+    out = g[: n - (window - gram)].copy()
+    for j in range(1, window - gram + 1):
+        np.minimum(out, g[j : j + len(out)], out=out)
+    return out
 
 
 def _pack(hashes: np.ndarray) -> bytes:
@@ -104,308 +127,482 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-_ENTRY = "kind tinyint, bucket int, chunk string, n int, hashes binary, checks binary, docs binary, ids binary"
-_NAMES = ["kind", "bucket", "chunk", "n", "hashes", "checks", "docs", "ids"]
-_KINDS = [pa.int8(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-#: What a row holds: entries of a chunk of documents, history, repeats of a chunk, a run's bucket, repeats of a document.
-_NEW, _OLD, _REPEATS, _RUN, _SETTLED = range(5)
+def _pack_numbers(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed byte planes."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    used = 4 - next((i for i in range(4) if planes[3 - i].any()), 4)
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
+
+
+def _unpack_numbers(data: bytes, n: int) -> np.ndarray:
+    planes = np.zeros((4, n), np.uint8)
+    if data[0]:
+        planes[: data[0]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
 
+_SIGN = np.uint64(1 << 63)
+_ROW = "kind tinyint, key int, n int, hashes binary, n_ids int, ids binary, docs binary"
+_NAMES = ["kind", "key", "n", "hashes", "n_ids", "ids", "docs"]
+_KINDS = [pa.int8(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+#: What a row holds (hashes, ascending, each with a document): entries of a batch, a run's bucket, history, candidates, their holders.
+_NEW, _RUN, _OLD, _REPEAT, _HOLD = range(5)
 
-def _numbers(d: np.ndarray, n_docs: int) -> bytes:
-    """Places of documents in a chunk's list, in two bytes each where they fit."""
-    return d.astype(np.uint16 if n_docs <= 1 << 16 else np.uint32).tobytes()
 
+def _row(kind: int, key: int, h: np.ndarray, d: np.ndarray) -> tuple:
+    """A row of hashes in ascending order and their documents."""
+    ids, place = np.unique(d, return_inverse=True)
+    return (kind, key, len(h), _pack(h), len(ids), _pack(ids.view(np.uint64) ^ _SIGN), _pack_numbers(place))
 
-def _places(data: bytes, ids: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if len(ids) // 8 <= 1 << 16 else np.uint32)
+
+def _read(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, documents) of a row."""
+    ids = (_unpack(row[5], row[4]) ^ _SIGN).view(np.int64)
+    return _unpack(row[3], row[2]), ids[_unpack_numbers(row[6], row[2])]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
 
+def _part_of(docs: np.ndarray, parts: int) -> np.ndarray:
+    """The part in which all that concerns a document meets."""
+    return (_mixed(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _by_document(kind: int, first_key: int, parts: int, h: np.ndarray, d: np.ndarray) -> Iterator[tuple]:
+    """Rows of (hash, document) pairs, dealt into parts by document."""
+    part = _part_of(d, parts)
+    order = np.lexsort((h, part))
+    h, d, part = h[order], d[order], part[order]
+    cut = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cut], [*cut, len(h)]):
+        if b > a:
+            yield _row(kind, first_key + int(part[a]), h[a:b], d[a:b])
+
+
 class WindowIndex:
     """A log-structured set of window hashes in a shared folder.
 
-    ``buckets`` (a power of two) is fixed when the index is made; a bucket of a
-    run should stay below a few million hashes.
+    ``bits`` of a hash and ``buckets`` (a power of two) are fixed when the index
+    is made; a bucket of a run should stay below a few million hashes.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = 4):
+    def __init__(self, spark: SparkSession, path: str, bits: int, buckets: int, fanout: int = 4):
         if buckets & (buckets - 1):
             raise ValueError("buckets must be a power of two")
         self.spark, self.path, self.fanout = spark, path, fanout
-        # an index keeps the buckets it was made with
-        self.buckets = next((int(n[8:]) for n in self._names() if n.startswith("buckets-")), buckets)
+        # an index keeps the layout it was made with
+        made = next((re.fullmatch(r"layout-(\d+)-(\d+)", n) for n in self._names() if n.startswith("layout-")), None)
+        self.bits, self.buckets = (int(made[1]), int(made[2])) if made else (bits, buckets)
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _at(self, name: str = ""):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _names(self) -> list[str]:
-        fs, top = self._fs()
+        fs, top = self._at()
         return [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
 
+    def _mark(self, name: str) -> None:
+        fs, p = self._at(name)
+        fs.mkdirs(p)
+
+    def largest_id(self) -> int | None:
+        """The largest id of the tables that the index has seen."""
+        return max((int(n[4:]) for n in self._names() if n.startswith("top-")), default=None)
+
+    def seen(self, largest: int) -> None:
+        self._mark(f"top-{largest}")
+
     def runs(self) -> list[tuple[int, int, str]]:
         """(level, number, path) of each complete run."""
-        jvm = self.spark._jvm
-        top = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(top):
-            return []
         found = []
-        for s in fs.listStatus(top):
-            m = re.fullmatch(r"run-(\d+)-(\d+)", s.getPath().getName())
-            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                found.append((int(m[1]), int(m[2]), s.getPath().toString()))
+        for name in self._names():
+            m = re.fullmatch(r"run-(\d+)-(\d+)", name)
+            if m and (lambda at: at[0].exists(at[1]))(self._at(f"{name}/_SUCCESS")):
+                found.append((int(m[1]), int(m[2]), f"{self.path}/{name}"))
         return sorted(found)
 
+    def _of_runs(self, paths: list[str]) -> DataFrame:
+        # a run without any new window has no such folder
+        paths = [p for p in (f"{p}/kind={_RUN}" for p in paths) if (lambda at: at[0].exists(at[1]))(self._at(p[len(self.path) + 1 :]))]
+        schema = _ROW.split(", ", 1)[1]
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows.select(F.lit(_OLD).cast("tinyint").alias("kind"), *_NAMES[1:])
+
     def history(self) -> DataFrame | None:
         paths = [p for _, _, p in self.runs()]
-        return self.spark.read.schema(_ENTRY).parquet(*paths).withColumn("kind", F.lit(_OLD).cast("tinyint")) if paths else None
+        return self._of_runs(paths) if paths else None
 
-    def append(self, run: DataFrame, level: int = 0) -> None:
-        fs, _ = self._fs()
-        fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/buckets-{self.buckets}"))
+    def append(self, rows: DataFrame, level: int = 0) -> str:
+        """Write a run (and what else ``rows`` holds beside it, by kind); its path."""
+        self._mark(f"layout-{self.bits}-{self.buckets}")
         number = 1 + max((n for _, n, _ in self.runs()), default=-1)
-        run.select(*_NAMES).coalesce(shuffle_partitions(self.spark)).write.parquet(f"{self.path}/run-{level}-{number}")
+        path = f"{self.path}/run-{level}-{number}"
+        rows.select(*_NAMES).write.partitionBy("kind").parquet(path)
+        return path
 
-    def compact(self) -> None:
-        """Merge the runs of each level that has ``fanout`` of them into one of the next level."""
+    def compact(self) -> int:
+        """Merge the runs of each level that has ``fanout`` of them into one of the next level; how often."""
+        done = 0
         while True:
             runs = self.runs()
             full = next((level for level, _, _ in runs if sum(x == level for x, _, _ in runs) >= self.fanout), None)
             if full is None:
-                return
+                return done
             paths = [p for level, _, p in runs if level == full]
-            rows = self.spark.read.schema(_ENTRY).parquet(*paths)
-            self.append(_by_bucket(rows, _merged, shuffle_partitions(self.spark)), full + 1)
+            self.append(_by_key(self._of_runs(paths), _merged, shuffle_partitions(self.spark)), full + 1)
             for p in paths:
                 delete_path(self.spark, p)
+            done += 1
 
 
-def _by_bucket(rows: DataFrame, work, parts: int) -> DataFrame:
-    """``work(bucket, list of rows)`` yields rows, for each bucket."""
+def _by_key(rows: DataFrame, work, parts: int, schema: str = _ROW, batch=_batch) -> DataFrame:
+    """``work(groups)`` over a task's (key, list of rows) yields rows."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
         held, now = [], None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[1] != now and held:
-                    if out := list(work(now, held)):
-                        yield _batch(out)
+                    yield now, held
                     held = []
                 now = row[1]
                 held.append(row)
-        if held and (out := list(work(now, held))):
-            yield _batch(out)
-
-    return rows.select(*_NAMES).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(each, _ENTRY)
-
-
-def _decoded(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    hashes = [_unpack(r[4], r[3]) for r in rows]
-    checks = [np.frombuffer(r[5], np.uint16) for r in rows]
-    return (np.concatenate(hashes), np.concatenate(checks)) if rows else (np.empty(0, np.uint64), np.empty(0, np.uint16))
-
-
-def _merged(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-    """One row with all hashes of some runs' rows of a bucket."""
-    hashes, checks = _decoded(rows)
-    order = np.lexsort((checks, hashes))
-    yield (_RUN, bucket, None, len(hashes), _pack(hashes[order]), checks[order].tobytes(), None, None)
-
+        if held:
+            yield now, held
 
-def _settle(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-    """The merge join of a bucket: repeats of each chunk, and what is new."""
-    new = [r for r in rows if r[0] == _NEW]
-    if not new:
-        return
-    hashes, checks = _decoded(new)
-    docs = np.concatenate([np.frombuffer(r[7], np.int64)[_places(r[6], r[7])] for r in new])
-    places = np.concatenate([_places(r[6], r[7]).astype(np.uint32) for r in new])
-    chunk = np.repeat(np.arange(len(new)), [r[3] for r in new])
-    order = np.lexsort((docs, checks, hashes))
-    h, c, d = hashes[order], checks[order], docs[order]
-    first = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for row in work(groups(batches)):
+            out.append(row)
+            size += sum(len(x) for x in row if isinstance(x, bytes))
+            if size > 4 << 20 or len(out) >= 1000:
+                yield batch(out)
+                out, size = [], 0
+        if out:
+            yield batch(out)
+
+    return rows.select(*_NAMES).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(each, schema)
+
+
+def _merged(groups: Iterator[tuple[int, list[tuple]]]) -> Iterator[tuple]:
+    """One row for each bucket with all hashes of some runs, which have none in common."""
+    for bucket, rows in groups:
+        h, d = map(np.concatenate, zip(*map(_read, rows)))
+        order = np.argsort(h, kind="stable")
+        yield _row(_RUN, bucket, h[order], d[order])
+
+
+def _settle(rows: list[tuple]) -> tuple:
+    """The merge join of a bucket: candidates (h, d), holders (h, d), what is new (h, d)."""
+    h, d = map(np.concatenate, zip(*(_read(r) for r in rows if r[0] == _NEW)))
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    first = np.r_[True, h[1:] != h[:-1]]
     group = np.cumsum(first) - 1
-    repeat = d > d[first][group]
-    uh, uc = h[first], c[first]
-    known = np.zeros(len(uh), bool)
+    unique, holder, known = h[first], d[first].copy(), np.zeros(int(first.sum()), bool)
     for r in rows:
-        if r[0] != _OLD:
-            continue
-        oh, oc = _unpack(r[4], r[3]), np.frombuffer(r[5], np.uint16)
-        left, right = np.searchsorted(oh, uh), np.searchsorted(oh, uh, side="right")
-        for k in range(int((right - left).max(initial=0))):
-            at = np.minimum(left + k, len(oh) - 1)
-            known |= (left + k < right) & (oc[at] == uc)
-    repeat |= known[group]
-    if repeat.any():
-        who = order[repeat]
-        who = who[np.argsort(chunk[who], kind="stable")]
-        for part in np.split(who, np.flatnonzero(np.diff(chunk[who])) + 1):
-            part = part[np.argsort(hashes[part])]
-            k = int(chunk[part[0]])
-            yield (_REPEATS, bucket, new[k][2], len(part), _pack(hashes[part]), None, _numbers(places[part], len(new[k][7]) // 8), new[k][7])
-    if not known.all():
-        yield (_RUN, bucket, None, int((~known).sum()), _pack(uh[~known]), uc[~known].tobytes(), None, None)
-
-
-def _entries(docs: DataFrame, id_col: str, text_col: str, buckets: int, window: int, chunk_windows: int) -> DataFrame:
-    """Packed entries of each chunk of documents by bucket, and the repeats a chunk settles itself."""
-    bits = buckets.bit_length() - 1
+        if r[0] == _OLD:
+            oh, od = _read(r)
+            at = np.minimum(np.searchsorted(oh, unique), len(oh) - 1)
+            same = oh[at] == unique
+            holder[same] = np.where(known[same], np.minimum(holder[same], od[at[same]]), od[at[same]])
+            known |= same
+    repeat = d > holder[group]
+    asked = np.zeros(len(unique), bool)
+    asked[group[repeat]] = True
+    return (h[repeat], d[repeat]), (unique[asked], holder[asked]), (unique[~known], holder[~known])
+
+
+def _entries(docs: DataFrame, id_col: str, text_col: str, index: WindowIndex, window: int, chunk_windows: int, parts: int) -> DataFrame:
+    """Packed entries of each chunk of documents by bucket, and the candidates that a chunk finds in itself."""
+    bits, buckets = index.bits, index.buckets
+    shift = np.uint64(bits - (buckets.bit_length() - 1))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, number = TaskContext.get().partitionId(), 0
         ids: list[int] = []
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        held: list[np.ndarray] = []
+        n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, held
-            if not held:
+            nonlocal n
+            if not n:
                 return
-            known, place = np.unique(np.array(ids, np.int64), return_inverse=True)
-            by = np.argsort(place, kind="stable")
-            h = np.concatenate([parts[i][0] for i in by])
-            c = np.concatenate([parts[i][1] for i in by])
-            d = np.repeat(place[by].astype(np.uint32), [len(parts[i][0]) for i in by])
-            order = np.lexsort((d, c, h))
-            h, c, d = h[order], c[order], d[order]
-            first = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-            later = np.flatnonzero(d > d[first][np.cumsum(first) - 1])
-            rows = []
-            if len(later):
-                later = later[np.lexsort((h[later], d[later]))]
-                for own in np.split(later, np.flatnonzero(np.diff(d[later])) + 1):
-                    u = np.unique(h[own])
-                    rows.append((_SETTLED, 0, None, len(u), _pack(u), None, None, known[d[own[0]] : d[own[0]] + 1].tobytes()))
-            h, c, d = h[first], c[first], d[first]
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-            starts = np.searchsorted(bucket, np.arange(buckets + 1))
-            all_ids = known.tobytes()
+            h, d = np.concatenate(held), np.repeat(np.array(ids, np.int64), [len(x) for x in held])
+            ids.clear()
+            held.clear()
+            n = 0
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            first = np.r_[True, h[1:] != h[:-1]]
+            group = np.cumsum(first) - 1
+            uh, ud = h[first], d[first]
+            later = d > ud[group]
+            asked = np.zeros(len(uh), bool)
+            asked[group[later]] = True
+            # a document that repeats a window has it once
+            once = later & np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
+            rows = [*_by_document(_REPEAT, buckets, parts, h[once], d[once]), *_by_document(_HOLD, buckets, parts, uh[asked], ud[asked])]
+            del h, d, group, later, once
+            starts = np.searchsorted((uh >> shift).astype(np.int64), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(starts)):
-                s = slice(starts[b], starts[b + 1])
-                rows.append((_NEW, int(b), f"{task}-{number}", int(starts[b + 1] - starts[b]), _pack(h[s]), c[s].tobytes(), _numbers(d[s], len(known)), all_ids))
+                own = slice(starts[b], starts[b + 1])
+                rows.append(_row(_NEW, int(b), uh[own], ud[own]))
                 if len(rows) >= 64:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
-            ids.clear()
-            parts.clear()
-            number, held = number + 1, 0
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = word_hashes(text.as_py())
-                if len(words) >= window:
+                h = window_hashes(word_hashes(text.as_py()), window, bits)
+                if len(h):
                     ids.append(key)
-                    parts.append(window_hashes(words, window))
-                    held += len(parts[-1][0])
-                    if held >= chunk_windows:
+                    held.append(h)
+                    n += len(h)
+                    if n >= chunk_windows:
                         yield from flush()
         yield from flush()
 
     base = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).where("k is not null and t is not null")
-    return base.mapInArrow(hashed, _ENTRY)
+    return base.mapInArrow(hashed, _ROW)
 
 
-def _of_documents(rows: DataFrame, parts: int) -> DataFrame:
-    """``doc, n, hashes`` from the repeats of chunks (of all buckets) and those settled early."""
+_ASKED = "doc long, n int, repeats binary, n_held int, held binary"
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
 
-        def out() -> pa.RecordBatch:
-            d = np.concatenate([_places(r[6], r[7]) for r in held])
-            h = np.concatenate([_unpack(r[4], r[3]) for r in held])
-            ids = np.frombuffer(held[0][7], np.int64)
+def _of_documents(rows: DataFrame, parts: int) -> DataFrame:
+    """``doc, n, repeats, n_held, held``: hashes of a document's candidates, and those that it holds for others."""
+
+    def work(groups: Iterator[tuple[int, list[tuple]]]) -> Iterator[tuple]:
+        for _, own in groups:
+            read = [(*_read(r), r[0] == _REPEAT) for r in own]
+            h, d = np.concatenate([x[0] for x in read]), np.concatenate([x[1] for x in read])
+            repeat = np.repeat([x[2] for x in read], [len(x[0]) for x in read])
             order = np.lexsort((h, d))
-            d, h = d[order], h[order]
+            h, d, repeat = h[order], d[order], repeat[order]
             cut = np.flatnonzero(np.diff(d)) + 1
-            of, sets = ids[d[np.r_[0, cut]]], [np.unique(x) for x in np.split(h, cut)]
-            return pa.RecordBatch.from_arrays([pa.array(of), pa.array([len(x) for x in sets], pa.int32()), pa.array([_pack(x) for x in sets], pa.binary())], names=["doc", "n", "hashes"])
+            for a, b in zip([0, *cut], [*cut, len(d)]):
+                mine, held = np.unique(h[a:b][repeat[a:b]]), np.unique(h[a:b][~repeat[a:b]])
+                yield (int(d[a]), len(mine), _pack(mine), len(held), _pack(held))
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[2] != now and held:
-                    yield out()
-                    held = []
-                now = row[2]
-                held.append(row)
-        if held:
-            yield out()
-
-    chunks = rows.where(F.col("kind") == _REPEATS).select(*_NAMES).repartition(parts, "chunk").sortWithinPartitions("chunk")
-    early = rows.where(F.col("kind") == _SETTLED).select("ids", "n", "hashes")
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+    batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc", "n", "repeats", "n_held", "held"])
+    return _by_key(rows, work, parts, _ASKED, batch)
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = np.array([int.from_bytes(x, "little", signed=True) for x in b.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), b.column(1), b.column(2)], names=["doc", "n", "hashes"])
 
-    schema = "doc long, n int, hashes binary"
-    return chunks.mapInArrow(each, schema).unionByName(early.mapInArrow(named, schema))
+def candidates(docs: DataFrame, index: WindowIndex, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_windows: int = 1_000_000, most: int = 500_000) -> DataFrame:
+    """Candidates of one batch of documents and their holders (by document, written); adds the batch's run to the index.
 
-
-def repeats(docs: DataFrame, index: WindowIndex, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_run: bool = True, chunk_windows: int = 1_500_000) -> DataFrame:
-    """Hashes of the repeated windows of one batch of documents (``doc, n, hashes``), written; adds the batch's run to the index."""
+    The batch's ids must be larger than those the index has seen.
+    """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    entries = _entries(docs, id_col, text_col, index.buckets, window, chunk_windows)
+    tasks = shuffle_partitions(spark)
+    parts = 4 * tasks
+    entries = _entries(docs, id_col, text_col, index, window, chunk_windows, parts)
     history = index.history()
-    # what a chunk has settled passes by the merge: it goes through the same table, in buckets dealt by chance
-    rows = entries if history is None else entries.unionByName(history.select(*_NAMES))
-    dealt = rows.withColumn("bucket", F.when(F.col("kind") == _SETTLED, -1 - F.pmod(F.xxhash64("ids"), F.lit(4 * parts)).cast("int")).otherwise(F.col("bucket")))
-
-    def work(bucket: int, own: list[tuple]) -> Iterator[tuple]:
-        if bucket < 0:
-            yield from own
-        else:
-            yield from (r for r in _settle(bucket, own) if keep_run or r[0] != _RUN)
-
-    settled = written(_by_bucket(dealt, work, parts), "settled", "kind")
-    out = written(_of_documents(settled, parts), "repeats")
-    if keep_run:
-        index.append(settled.where(F.col("kind") == _RUN).select(*_NAMES))
-        index.compact()
-    drop_written(settled)
+    buckets = index.buckets
+
+    def work(groups: Iterator[tuple[int, list[tuple]]]) -> Iterator[tuple]:
+        asked: dict[int, list] = {_REPEAT: [], _HOLD: []}
+        n = 0
+        for key, rows in groups:
+            if key >= buckets:  # what a chunk has found in itself passes by the merge
+                yield from rows
+                continue
+            if not any(r[0] == _NEW for r in rows):
+                continue
+            repeat, held, new = _settle(rows)
+            asked[_REPEAT].append(repeat)
+            asked[_HOLD].append(held)
+            n += len(repeat[0]) + len(held[0])
+            if len(new[0]):
+                yield _row(_RUN, key, *new)
+            if n >= most:
+                yield from dealt(asked)
+                n = 0
+        yield from dealt(asked)
+
+    def dealt(asked: dict[int, list]) -> Iterator[tuple]:
+        for kind, pairs in asked.items():
+            if pairs:
+                yield from _by_document(kind, buckets, parts, *map(np.concatenate, zip(*pairs)))
+                pairs.clear()
+
+    path = index.append(_by_key(entries if history is None else entries.unionByName(history), work, tasks))
+    beside = [f"{path}/kind={k}" for k in (_REPEAT, _HOLD)]
+    rows = spark.read.schema(_ROW).parquet(path).where(F.col("kind").isin(_REPEAT, _HOLD))
+    out = written(_of_documents(rows, tasks), "candidates")
+    for p in beside:
+        delete_path(spark, p)
+    index.compact()
     return out
 
 
-def apply_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """``id, n_words, n_removed, spans, kept_text`` and the ``keep`` columns of each document.
+def _sets(asked: list[DataFrame]) -> DataFrame:
+    """``doc, _sets``: a row for each document; a set for each batch at most."""
+    every = asked[0]
+    for a in asked[1:]:
+        every = every.unionByName(a)
+    return every.groupBy("doc").agg(F.collect_list(F.struct("n", "repeats", "n_held", "held")).alias("_sets"))
+
+
+def _united(sets: list[dict], n: str, hashes: str) -> np.ndarray:
+    own = [_unpack(s[hashes], s[n]) for s in sets if s[n]]
+    return np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _compared(texts: list[bytes], docs: np.ndarray, repeat: np.ndarray, window: int) -> list[tuple[int, bytes]]:
+    """(document, words) of windows whose first document has them as candidates: words that no document before has."""
+    split = [t.split() for t in texts]
+    words = [w for own in split for w in own]
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    size = np.array([len(own) for own in split])
+    per = size - window + 1
+    begin = np.cumsum(size) - size
+    at = np.repeat(begin, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    of = np.repeat(np.arange(len(texts)), per)
+    f = np.zeros(len(ids), np.uint64)
+    hashes = window_hashes(_mixed(ids.astype(np.uint64) + np.uint64(1)), window)
+    f[: len(hashes)] = hashes
+    f = f[at]
+    order = np.lexsort((~repeat[of], docs[of], f))
+    at, of, f = at[order], of[order], f[order]
+    same = f[1:] == f[:-1]
+    equal = same.copy()
+    for j in range(window):  # word by word
+        equal &= ids[at[1:] + j] == ids[at[:-1] + j]
+    if (same & ~equal).any():  # different words with one hash: sort by the words themselves
+        order = np.lexsort((~repeat[of], docs[of], *(ids[at + j] for j in range(window))))
+        at, of = at[order], of[order]
+        equal = np.ones(len(at) - 1, bool)
+        for j in range(window):
+            equal &= ids[at[1:] + j] == ids[at[:-1] + j]
+    first = np.flatnonzero(np.r_[True, ~equal])
+    false = first[repeat[of[first]]]
+    return [(int(docs[of[k]]), b" ".join(words[at[k] : at[k] + window])) for k in false]
+
+
+def false_candidates(tagged: DataFrame, window: int, bits: int, flush_bytes: int = 24 << 20) -> DataFrame:
+    """``doc, words`` of candidates that no earlier document confirms, from rows ``doc, _text, _sets``."""
+    tasks = shuffle_partitions(tagged.sparkSession)
+    parts = 8 * tasks
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[int, bool, bytes], int] = {}
+        size = 0
 
-    ``spans`` are the removed ranges of words (start, end); ``kept_text`` is the
-    rest, joined by single spaces, or null for a null text.
-    """
-    keep = list(keep or [])
-    kept = [docs.schema[c] for c in keep]
-    sets = found.groupBy("doc").agg(F.collect_list(F.struct("n", "hashes")).alias("_sets"))
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
-    base = base.join(sets, F.col("_id").cast("long") == F.col("doc"), "left").drop("doc")
-    fields = [f"_id {docs.schema[id_col].dataType.simpleString()}", *(f"_k{i} {f.dataType.simpleString()}" for i, f in enumerate(kept))]
-    schema = ", ".join([*fields, "_n long", "_removed long", "_spans array<int>", "_kept string"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            by: dict[int, list] = {}
+            for (part, repeat, text), doc in least.items():
+                by.setdefault(part, []).append((text, doc, repeat))
+            least.clear()
+            size = 0
+            pack = zstandard.ZstdCompressor(level=1).compress
+            keys = sorted(by)
+            for a in range(0, len(keys), 500):
+                own = [by[k] for k in keys[a : a + 500]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 500], pa.int32()), pa.array([pack(b"\n".join(t for t, _, _ in x)) for x in own], pa.binary()), pa.array([[d for _, d, _ in x] for x in own], pa.list_(pa.int64())), pa.array([[r for _, _, r in x] for x in own], pa.list_(pa.bool_()))], names=["part", "texts", "docs", "repeat"])
+
+        for batch in batches:
+            for doc, text, sets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                text, sets = text.as_py(), sets.as_py()
+                hashed = word_hashes(text)
+                h = window_hashes(hashed, window, bits)
+                if not len(h):
+                    continue
+                repeat = _among(h, _united(sets, "n", "repeats"))
+                asked = np.flatnonzero(repeat | _among(h, _united(sets, "n_held", "held")))
+                if not len(asked):
+                    continue
+                gram, repeat = _least_grams(hashed, window)[asked], repeat[asked]
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                cut = np.flatnonzero((np.diff(asked) != 1) | (gram[1:] != gram[:-1]) | (repeat[1:] != repeat[:-1])) + 1
+                part = (gram % np.uint64(parts)).astype(np.int64)
+                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(asked)]):
+                    key = (int(part[a]), bool(repeat[a]), b" ".join(words[asked[a] : asked[b - 1] + window]))
+                    before = least.get(key)
+                    if before is None:
+                        least[key] = doc
+                        size += len(key[2]) + 200
+                    elif doc < before:
+                        least[key] = doc
+                if size >= flush_bytes:
+                    yield from flush()
+        yield from flush()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+        docs: list[int] = []
+        repeat: list[bool] = []
+        now = None
+
+        def out() -> pa.RecordBatch:
+            found = _compared(texts, np.array(docs, np.int64), np.array(repeat, bool), window)
+            texts.clear()
+            docs.clear()
+            repeat.clear()
+            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([w for _, w in found], pa.binary())], names=["doc", "words"])
+
+        for batch in batches:
+            for part, blob, d, r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
+                if part != now and texts:
+                    yield out()
+                now = part
+                texts += zstandard.ZstdDecompressor().decompress(blob.as_py()).split(b"\n")
+                docs += d.as_py()
+                repeat += r.as_py()
+        if texts:
+            yield out()
+
+    base = tagged.where("_sets is not null").select("doc", "_text", "_sets")
+    dealt = base.mapInArrow(stretches, "part int, texts binary, docs array<long>, repeat array<boolean>")
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(compare, "doc long, words binary")
+
+
+def _tagged(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, keep: list[str], how: str = "left") -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("_")]).alias("_row")
+    base = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("_text"), row)
+    return base.join(sets, "doc", how)
+
+
+def _cut(tagged: DataFrame, false: DataFrame | None, window: int, bits: int) -> DataFrame:
+    """``_id, _row, _text, _n, _removed, _spans, _kept`` of each row of ``tagged``."""
+    if false is None:
+        rows = tagged.withColumn("_false", F.lit(None).cast("array<binary>"))
+    else:
+        rows = tagged.join(false.groupBy("doc").agg(F.collect_set("words").alias("_false")), "doc", "left")
+    rows = rows.select("_id", "_row", "_text", "_sets", "_false")
+    out_schema = rows.select("_id", "_row", "_text", F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_removed"), F.array().cast("array<int>").alias("_spans"), F.col("_text").alias("_kept")).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
             counts, removed, spans, texts = [], [], [], []
-            for text, sets in zip(batch.column(names.index("_text")), batch.column(names.index("_sets"))):
-                text, sets = text.as_py(), sets.as_py()
+            for text, sets, false in zip(batch.column(2), batch.column(3), batch.column(4)):
+                text, sets, false = text.as_py(), sets.as_py(), false.as_py()
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 counts.append(len(words))
                 own: list[int] = []
-                if sets:
-                    h, _ = window_hashes(word_hashes(text), window)
-                    hit = np.isin(h, np.concatenate([_unpack(s["hashes"], s["n"]) for s in sets]))
+                repeats = _united(sets, "n", "repeats") if sets else ()
+                if len(repeats) and len(words) >= window:
+                    hit = _among(window_hashes(word_hashes(text), window, bits), repeats)
+                    for k in np.flatnonzero(hit).tolist() if false else ():
+                        if b" ".join(words[k : k + window]) in false:
+                            hit[k] = False
                     edge = np.zeros(len(words) + 1, np.int32)
-                    edge[: len(h)] += hit
-                    edge[window : window + len(h)] -= hit
+                    edge[: len(hit)] += hit
+                    edge[window : window + len(hit)] -= hit
                     gone = np.r_[False, np.cumsum(edge[:-1]) > 0, False]
                     own = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
                     left, at = [], 0
@@ -416,42 +613,87 @@ def apply_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
                 removed.append(counts[-1] - len(words))
                 spans.append(own)
                 texts.append(None if text is None else b" ".join(words).decode("utf-8", "surrogatepass"))
-            columns = [batch.column(names.index("_id")), *(batch.column(names.index(f"_k{i}")) for i in range(len(kept)))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["_id", *(f"_k{i}" for i in range(len(kept))), "_n", "_removed", "_spans", "_kept"])
-
-    out = base.mapInArrow(cut, schema)
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), F.col("_removed").alias("n_removed"), F.expr("transform(filter(_spans, (x, i) -> i % 2 = 0), (x, i) -> struct(x as start, element_at(_spans, 2 * i + 2) as end))").alias("spans"), F.col("_kept").alias("kept_text"), *[F.col(f"_k{i}").alias(f.name) for i, f in enumerate(kept)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["_id", "_row", "_text", "_n", "_removed", "_spans", "_kept"])
 
+    return rows.mapInArrow(cut, out_schema)
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = 2, index_path: str | None = None, bucket_windows: int = 2_000_000, keep: list[str] | None = None) -> DataFrame:
-    """A whole table, as ``batches`` ranges of ascending ids over one index; rows as :func:`apply_repeats`.
 
-    With ``index_path`` the index stays there for later tables, whose documents
-    count as later than all that it has seen; else it is deleted and the last
-    run is never written.
-    """
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str, window: int, batches: int, index_path: str | None, history: DataFrame | None, bucket_windows: int, fanout: int, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     key = F.col(id_col).cast("long")
     quantiles = [i / batches for i in range(1, batches)]
-    r = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes"), F.percentile_approx(key, F.array(*map(F.lit, quantiles)), 10_000).alias("cuts") if quantiles else F.lit(None).alias("cuts")).first()
-    buckets = 1 << max(2 * shuffle_partitions(spark) - 1, int((r["bytes"] or 0) / 6 / bucket_windows)).bit_length()
-    index = WindowIndex(spark, index_path or fresh_path(spark, "windows"), min(buckets, 1 << 20))
+    r = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes"), F.min(key).alias("least"), F.max(key).alias("most"), F.percentile_approx(key, F.array(*map(F.lit, quantiles)), 10_000).alias("cuts") if quantiles else F.lit(None).alias("cuts")).first()
+    windows = (r["bytes"] or 0) // 6 + 1
+    buckets = min(1 << max(2 * shuffle_partitions(spark) - 1, windows // bucket_windows).bit_length(), 1 << 20)
+    bits = max(40, min(63, windows.bit_length() + SPARE_BITS))
+    index = WindowIndex(spark, index_path or fresh_path(spark, "windows"), bits, buckets, fanout)
+    before = index.largest_id()
+    if before is not None and r["least"] is not None:
+        if history is None:
+            raise ValueError("an index that has seen documents needs them as history, to compare words")
+        if r["least"] <= before:
+            raise ValueError(f"ids must be larger than those of earlier tables: {r['least']} after {before}")
     cuts = sorted(set(r["cuts"] or []))
-    found = []
-    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+    asked = []
+    for low, high in zip([None, *cuts], [*cuts, None]):
         part = docs
         if low is not None:
             part = part.where(key > low)
         if high is not None:
             part = part.where(key <= high)
-        found.append(repeats(part, index, id_col, text_col, window, keep_run=bool(index_path) or i < len(cuts)))
+        asked.append(candidates(part, index, id_col, text_col, window))
         release(spark)  # the batch's shuffle files; its plans are out of reach by now
-    if not index_path:
+    bits = index.bits
+    if index_path:
+        if r["most"] is not None:
+            index.seen(r["most"])
+    else:
         delete_path(spark, index.path)
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return apply_repeats(docs, every, id_col, text_col, window, keep)
+    sets = _sets(asked)
+    tagged = written(_tagged(docs, sets, id_col, text_col, keep), "tagged")
+    rows = tagged.select("doc", "_text", "_sets")
+    if history is not None:
+        rows = rows.unionByName(_tagged(history, sets, id_col, text_col, [], "inner").select("doc", "_text", "_sets"))
+    false = written(false_candidates(rows, window, bits), "false")
+    for a in asked:
+        drop_written(a)
+    return _cut(tagged, false if false.head(1) else None, window, bits)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = 4, index_path: str | None = None, history: DataFrame | None = None, bucket_windows: int = 2_000_000, fanout: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """A whole table, as ``batches`` ranges of ascending ids over one index.
+
+    Returns ``id, n_words, n_removed, spans, kept_text`` and, if any are given,
+    the ``keep`` columns as one struct ``row``.  ``spans`` are the removed ranges
+    of words (start, end); ``kept_text`` is the rest, joined by single spaces, or
+    null for a null text.  With ``index_path`` the index stays there for later
+    tables; else it is deleted when the last batch is through.
+    """
+    found = _deduplicated(docs, id_col, text_col, window, batches, index_path, history, bucket_windows, fanout, list(keep or []))
+    spans = F.expr("transform(filter(_spans, (x, i) -> i % 2 = 0), (x, i) -> struct(x as start, element_at(_spans, 2 * i + 2) as end))")
+    return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), F.col("_removed").alias("n_removed"), spans.alias("spans"), F.col("_kept").alias("kept_text"), *([F.col("_row").alias("row")] if keep else []))
+
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, window: int = WINDOW, batches: int = 4) -> DataFrame:
+    """``docs`` without the words of repeated windows, and without documents of which nothing is left.
+
+    Columns are those of ``docs``; texts that lose nothing stay as they are;
+    ``size_col`` is set to the characters of a text that was cut.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    found = _deduplicated(docs, id_col, text_col, window, batches, None, None, 2_000_000, 3, others).where("not (_removed > 0 and _removed = _n)")
+
+    def value(c: str):
+        if c == id_col:
+            return F.col("_id")
+        own = F.col("_text") if c == text_col else F.col("_row").getField(c)
+        if c == text_col:
+            return F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(own)
+        if c == size_col:
+            return F.when(F.col("_removed") > 0, F.length("_kept")).otherwise(own).cast(docs.schema[c].dataType)
+        return own
+
+    return found.select(*[value(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -114,21 +114,49 @@ def test_decontamination_matches_brute_force(spark, rows, words, block_bytes):
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(docs)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_substring_dedup_matches_brute_force(spark, rows, batches):
+@pytest.mark.parametrize(("batches", "bits"), [(1, 20), (4, 20), (4, 6), (4, -6)])
+def test_substring_dedup_matches_brute_force(spark, rows, monkeypatch, batches, bits):
+    """With few bits nearly every window meets false candidates: only comparing words tells them apart."""
+    if bits < 20:
+        made = substring.WindowIndex.__init__
+
+        def narrow(self, spark, path, b, buckets, fanout=4):
+            made(self, spark, path, 16 + bits, 16, fanout)
+
+        monkeypatch.setattr(substring.WindowIndex, "__init__", narrow)
+    compacted = []
+    merge = substring.WindowIndex.compact
+    monkeypatch.setattr(substring.WindowIndex, "compact", lambda self: compacted.append((merge(self), len(self.runs()))))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text or "") for r in substring.deduplicate(table(spark, rows), batches=batches, bucket_windows=500, keep=["lang"]).collect()}
     assert got == substring.brute_force(rows)
+    # each batch writes its run, and three runs become one
+    assert compacted == ([(0, 1)] if batches == 1 else [(0, 1), (0, 2), (1, 1), (0, 2)])
+
+
+def test_substring_words_are_compared():
+    a, b, c = (b" ".join(b"%s%d" % (x, i) for i in range(15)) for x in (b"a", b"b", b"c"))
+    docs, repeat = np.array([1, 5, 7, 9, 3]), np.array([False, True, True, True, True])
+    found = substring._compared([a, a, b, b, c], docs, repeat, 13)
+    assert sorted(set(d for d, _ in found)) == [3, 7] and all(w in (b if d == 7 else c) for d, w in found)
+    assert len(found) == 6
 
 
 def test_substring_index_over_tables_and_compaction(spark, rows, tmp_path):
     path = f"file://{tmp_path}/index"
-    first, second = rows[:20], [(i + 1000, t) for i, t in rows[:20]]
-    substring.deduplicate(table(spark, first), batches=2, index_path=path)
-    index = substring.WindowIndex(spark, path, 16, fanout=2)
-    found = substring.repeats(table(spark, second), index)
-    out = substring.apply_repeats(table(spark, second), found)
-    assert all(r.n_removed == r.n_words for r in out.collect() if r.n_words >= 13)
-    assert any(level > 0 for level, _, _ in index.runs())
+    tables = [[(i + 1000 * k, t) for i, t in rows[:20]] + [(1000 * k + 500, rows[20 + k][1])] for k in range(4)]
+    seen = None
+    for k, own in enumerate(tables):
+        docs = table(spark, own)
+        out = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.deduplicate(docs, batches=1, index_path=path, history=seen).collect()}
+        want = substring.brute_force([x for t in tables[: k + 1] for x in t])
+        assert out == {i: want[i] for i, _ in own}
+        seen = docs if seen is None else seen.unionByName(docs)
+    index = substring.WindowIndex(spark, path, 50, 16)
+    assert any(level > 0 for level, _, _ in index.runs()) and len(index.runs()) == 2 and index.largest_id() == 3500
+    with pytest.raises(ValueError, match="history"):
+        substring.deduplicate(docs, index_path=path)
+    with pytest.raises(ValueError, match="larger"):
+        substring.deduplicate(docs, index_path=path, history=seen)
 
 
 def test_substring_empty_and_null_ids(spark, words):
@@ -136,6 +164,9 @@ def test_substring_empty_and_null_ids(spark, words):
     t = words(30, 1)
     got = substring.deduplicate(table(spark, [(None, t), (5, t), (5, t), (None, t)])).collect()
     assert all(r.n_removed == 0 for r in got) and len(got) == 4
+    odd = spark.createDataFrame([(1, t, "a", 1, "x"), (2, t + " more", "b", 2, "y"), (3, t, None, None, None), (4, None, None, None, None)], "doc_id long, text string, kept_text string, doc long, _sets string")
+    out = {r.doc_id: r for r in substring.remove(odd).collect()}
+    assert set(out) == {1, 2, 4} and out[2].text == "more" and out[2].kept_text == "b" and out[2].doc == 2 and out[2]["_sets"] == "y" and out[4].text is None
 
 
 def test_packed_hashes_round_trip():
