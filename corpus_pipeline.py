@@ -21,7 +21,6 @@ handled as the operators say.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, packing, quality, simhash, substring
 from gridloom.llm._common import written
@@ -42,12 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stood in an earlier document."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = substring.deduplicate(docs, keep=["text", "n_chars", *others])
-    found = found.where("not (n_removed > 0 and n_removed = n_words)")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": text, "n_chars": size}).select(docs.columns)
+    return substring.remove(docs, size_col="n_chars")
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
