@@ -14,17 +14,22 @@ where the search is exact).  A query whose leaves hold too few vectors goes on
 until they hold ``k`` besides its own, or no leaf is left.
 
 Vectors are stored by ranges of (leaf, hash), so a leaf that holds a third of
-all vectors is many tasks.  Queries go to the tasks in blocks of about
-``query_block``; a task keeps the best ``k`` of each query among its rows in
-the leaves that the query visits, and a query's lists are merged.
+all vectors is many tasks.  Each query walks the tree once, on the executors.
+Queries then go to the tasks in blocks of about ``query_block``, one block after
+the other, so that the driver and a task hold one block; a task keeps the best
+``k`` of each query among its rows in the leaves that the query visits, and a
+query's lists are merged by a sort, of which each task first keeps ``k`` rows.
+
+The tree does not grow with the table beyond its sample, so a leaf does: the
+work of a query is in proportion to the rows of the leaves it visits.
 
 Scores are double-precision sums of products, summed in one fixed order, so
 equal vectors have equal scores wherever they are stored.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components, and those with a null id or of another length than most, take no
-part; ties go to the smaller id; a row is no candidate of a query with its own
-id; an id repeated among the queries is searched once, with the least of its
+part; other columns may have any names; ties go to the smaller id; a row is no
+candidate of a query with its own id; an id repeated among the queries is searched once, with the least of its
 vectors, and repeated candidates all count; an empty table gives no rows.
 """
 
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import shuffle_partitions, written
+from gridloom.llm._common import drop_written, fresh_path, shuffle_partitions, written
 
 
 class KMeansTree:
@@ -160,27 +165,39 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     sizes = np.zeros(tree.n_leaves, np.int64)
     for r in placed.groupBy("leaf").count().collect():  # a row for each leaf
         sizes[r.leaf] = r["count"]
-    lists = None
-    for part in sorted(counts):
-        own = queries.where(F.col("part") == part).select("id", "e", "own").toPandas()  # about ``query_block`` rows
-        asked = spark.sparkContext.broadcast((own.id.to_numpy(), np.stack(own.e.to_numpy()).astype(np.float64), k + own.own.to_numpy()))
-        found = placed.mapInArrow(_searcher(held, asked, limit, k, sizes), "query_id long, ids array<long>, scores array<double>")
-        lists = found if lists is None else lists.unionByName(found)
-    hits = F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "scores"), lambda h: F.struct((-h["scores"]).alias("s"), h["ids"].alias("i"))))))
-    merged = lists.groupBy("query_id").agg(F.slice(hits, 1, k).alias("hits"))
-    return merged.select("query_id", F.posexplode("hits").alias("p", "h")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.i").alias("vec_id"), (-F.col("h.s")).alias("score"))
 
-
-def _searcher(held, asked, limit: int, k: int, sizes: np.ndarray):
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                leaves = [held.value.visits(q, limit, sizes, k + n) for q, n in zip(x, b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(leaves, pa.list_(pa.int32()))], names=["id", "e", "part", "leaves"])
+
+    # each query walks the tree once
+    planned = written(queries.mapInArrow(traverse, "id long, e array<double>, part int, leaves array<int>"), "visits")
+    drop_written(queries)
+    # the blocks go one after the other: the driver holds the queries of one
+    lists = fresh_path(spark, "lists")
+    for part in sorted(counts):
+        own = planned.where(F.col("part") == part).select("id", "e", "leaves").toPandas()  # about ``query_block`` rows
+        leaves = np.concatenate(own.leaves.to_numpy()), np.repeat(np.arange(len(own)), [len(x) for x in own.leaves])
+        asked = spark.sparkContext.broadcast((own.id.to_numpy(), np.stack(own.e.to_numpy()).astype(np.float64), *leaves))
+        placed.mapInArrow(_searcher(asked, k), "query_id long, ids array<long>, scores array<double>").write.parquet(f"{lists}/part={part}")
+        asked.destroy()
+    drop_written(planned)
+    drop_written(placed)
+    hits = spark.read.schema("query_id long, ids array<long>, scores array<double>").parquet(lists).select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("h")).select("query_id", F.col("h.ids").alias("vec_id"), F.col("h.scores").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _searcher(asked, k: int):
     """A task's part of the search: the best ``k`` of each query among its rows in leaves that the query visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, qx, need = asked.value
-        tree = held.value
-        visiting: dict[int, list[int]] = {}
-        for i, q in enumerate(qx):
-            for leaf in tree.visits(q, limit, sizes, int(need[i])):
-                visiting.setdefault(leaf, []).append(i)
+        ids, qx, leaves, of = asked.value
+        by = np.argsort(leaves, kind="stable")
+        leaves, of = leaves[by], of[by]
         best_s = np.full((len(ids), k), -np.inf)
         best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
         for b in batches:
@@ -189,7 +206,7 @@ def _searcher(held, asked, limit: int, k: int, sizes: np.ndarray):
             vec, leaf = b.column(0).to_numpy(), b.column(2).to_numpy()
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
             for number in np.unique(leaf):
-                who = np.array(visiting.get(int(number), []), np.int64)
+                who = of[np.searchsorted(leaves, number) : np.searchsorted(leaves, number, side="right")]
                 rows = np.flatnonzero(leaf == number)
                 for r in range(0, len(rows), 256) if len(who) else ():
                     part = rows[r : r + 256]
