@@ -6,8 +6,10 @@ is hash-joined to the digests of known licences, which are made the same way.
 So is each single line that starts as a known text does, to find notices inside
 texts; no spelling rule touches the first three letters of a text.
 
-The registry is a DataFrame of ``license_id, text``; :func:`builtin_registry`
-gives short public licences and usual notices.  A registry of at most
+The registry is a DataFrame of ``license_id, text``, and maybe ``digest, starts``
+where a text is known by its digest and first letters only;
+:func:`builtin_registry` gives short public licences, usual notices and the
+digests of long licences.  A registry of at most
 ``broadcast_rows`` rows (its digests are 64 bytes each) is broadcast after that
 check; a larger one is joined by shuffle.
 
@@ -90,8 +92,27 @@ _REGISTRY = [
 ]
 
 
+#: Digests, and first letters, of the canonical whole texts of long licences.
+_WHOLE = [
+    ("Apache-2.0", "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3", "apa"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe", "apa"),  # without its appendix
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702", "the"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "cre"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60", "gnu"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826", "gnu"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "gnu"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "gnu"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", "gnu"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "gnu"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "gnu"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "gnu"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b", "moz"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d", "moz"),
+]
+
+
 def builtin_registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_REGISTRY, "license_id string, text string")
+    return spark.createDataFrame([(i, t, None, None) for i, t in _REGISTRY] + [(i, None, d, p) for i, d, p in _WHOLE], "license_id string, text string, digest string, starts string")
 
 
 def canonical(text: Column) -> Column:
@@ -108,11 +129,14 @@ def digest(text: Column) -> Column:
 
 def known_digests(registry: DataFrame) -> DataFrame:
     """``_d, _l, _p``: a row for each digest, with up to three letters that its text starts with."""
-    rows = registry.select(canonical(F.col("text").cast("string")).alias("c"), F.col("license_id").cast("string").alias("l")).where("c <> ''")
-    return rows.groupBy(F.sha2("c", 256).alias("_d")).agg(F.min("l").alias("_l"), F.min(F.regexp_extract("c", "^[^ ]{1,3}", 0)).alias("_p"))
+    ready = {"digest", "starts"} <= set(registry.columns)
+    given = [F.col(c).cast("string").alias(a) if ready else F.lit(None).cast("string").alias(a) for c, a in (("digest", "d"), ("starts", "p"))]
+    rows = registry.select(canonical(F.col("text").cast("string")).alias("c"), F.col("license_id").cast("string").alias("l"), *given).where("c <> '' or d is not null")
+    rows = rows.select(F.coalesce("d", F.sha2("c", 256)).alias("_d"), "l", F.coalesce("p", F.regexp_extract("c", "^[^ ]{1,3}", 0)).alias("p"))
+    return rows.groupBy("_d").agg(F.min("l").alias("_l"), F.min("p").alias("_p"))
 
 
-def scan(docs: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 20_000) -> DataFrame:
+def scan(docs: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500) -> DataFrame:
     """``id_col, digest, license_id, notices`` of each row.
 
     ``license_id`` is the licence that the whole text is; ``notices`` are the
@@ -158,9 +182,11 @@ def oracle_sql() -> str:
     """DuckDB SQL for :func:`query`."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in _REGISTRY)
+    ready = ", ".join(f"('{d}', '{i}')" for i, d, _ in _WHOLE)
     return f"""
 with registry(license_id, t) as (values {values}),
-known as (select sha256({_canonical_sql('t')}) as d, min(license_id) as l from registry group by 1),
+every as (select sha256({_canonical_sql('t')}) as d, license_id as i from registry union all select * from (values {ready})),
+known as (select d, min(i) as l from every group by 1),
 lines as (select doc_id, unnest(string_split(text, chr(10))) as x from documents),
 hits as (select doc_id, string_agg(distinct l, ',' order by l) as notices
          from (select doc_id, sha256({_canonical_sql('x')}) as d from lines where regexp_matches(x, '{MENTION}')) join known using (d) group by 1)

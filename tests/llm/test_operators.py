@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy on small fixtures with awkward rows."""
 
 import hashlib
+import os
 import struct
 import zlib
 
@@ -190,6 +191,17 @@ def test_ann_recall_ties_and_bad_vectors(spark):
     assert np.mean([len({i for i, _ in want[q]} & {v[0] for v in got[q].values()}) / 20 for q in want]) >= 0.9
     assert [v[0] for _, v in sorted(got[200].items())] == [i for i, _ in want[200]]
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
+    assert ann.search(df, F.col("id") == 7_000_000).count() == 0
+
+
+def test_ann_in_blocks_with_clashing_columns(spark):
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    rows = [(i, x[i].tolist(), 1, 2, 3.0, [4]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, leaf int, e double, leaves array<int>")
+    one = sorted(map(tuple, ann.search(df, F.col("id") % 20 == 0, 20, recall=1.0).collect()))
+    assert one == sorted(map(tuple, ann.search(df, F.col("id") % 20 == 0, 20, recall=1.0, query_block=4).collect()))
+    want = ann.brute_force([r[:2] for r in rows])
+    assert [(q, n, v) for q, n, v, _ in one] == [(q, n, v) for q in sorted(want) for n, (v, _) in enumerate(want[q], 1)]
 
 
 def test_ann_lists_are_full_where_leaves_are_small(spark, monkeypatch):
@@ -269,12 +281,33 @@ def test_licenses_wrapped_commented_and_without_their_words(spark):
     marked = "# Copyright 2021 Some One\n// (c) 2020 Another\n * © A Third\n" + license_scan.ISC
     bsd = " ".join((license_scan._BSD_HEAD + license_scan._BSD_TAIL).split())
     docs = table(spark, [(1, wrapped), (2, marked), (3, f"prose\n  * {bsd}\nmore"), (4, "x\nSPDX: Z-1\ny"), (5, license_scan.ISC.replace("copyright notice", "\nnotice"))])
-    known = license_scan.builtin_registry(spark).unionByName(spark.createDataFrame([("Z-1", "SPDX: Z-1")], "license_id string, text string"))
+    known = license_scan.builtin_registry(spark).unionByName(spark.createDataFrame([("Z-1", "SPDX: Z-1")], "license_id string, text string"), allowMissingColumns=True)
     for limit in (20_000, 1):
         got = sorted((r.doc_id, r.license_id, r.notices) for r in license_scan.scan(docs, known, broadcast_rows=limit).collect())
         assert got == [(1, "ISC", ""), (2, "ISC", ""), (3, None, "BSD-2-Clause"), (4, None, "Z-1"), (5, None, "")]
 
 
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/MPL-2.0"), reason="no whole licence texts here")
+def test_whole_licenses(spark):
+    rows = []
+    for name, n in (("Apache-2.0", 1), ("GPL-3", 2), ("GPL-2", 3), ("LGPL-2.1", 4), ("MPL-2.0", 5), ("CC0-1.0", 6)):
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8", errors="replace") as f:
+            text = f.read()
+        rows += [(n, text), (10 + n, "Copyright (c) 2024 Someone\n" + text.upper().replace("\n", "\r\n  ")), (20 + n, text[:-300])]
+    got = {r.doc_id: r.license_id for r in license_scan.scan(table(spark, rows), license_scan.builtin_registry(spark)).collect()}
+    want = dict(enumerate(["Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"], 1))
+    assert got == {**want, **{10 + n: i for n, i in want.items()}, **{20 + n: None for n in want}}
+
+
+def test_licenses_of_empty_tables_and_long_texts(spark, words):
+    known = license_scan.builtin_registry(spark)
+    assert license_scan.scan(table(spark, []), known).count() == 0
+    docs = table(spark, [(1, words(40_000, 3) + "\nReleased under the MIT License.\n" + words(40_000, 4)), (None, license_scan.MIT)])
+    for registry in (known, known.limit(0)):
+        got = {r.doc_id: (r.license_id, r.notices) for r in license_scan.scan(docs, registry).collect()}
+        assert got == ({1: (None, "MIT"), None: ("MIT", "")} if registry is known else {1: (None, ""), None: (None, "")})
+
+
 def test_license_sql(spark, sf):
     import duckdb
 
