@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -260,6 +261,46 @@ def polar_stereographic(lon: Column, lat: Column, lon0: float = -45.0, lat_ts: f
     return rho * F.sin(d), -sign * rho * F.cos(d)
 
 
+def from_polar_stereographic(x: Column, y: Column, lon0: float = -45.0, lat_ts: float = 70.0, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude; the inverse of :func:`polar_stereographic`."""
+    sign = -1.0 if south else 1.0
+    e = math.sqrt(E2)
+    sc = math.sin(math.radians(lat_ts))
+    tc = math.tan(math.pi / 4 - math.radians(lat_ts) / 2) / ((1 - e * sc) / (1 + e * sc)) ** (e / 2)
+    mc = math.cos(math.radians(lat_ts)) / math.sqrt(1 - E2 * sc * sc)
+    chi = math.pi / 2 - 2 * F.atan(F.sqrt(x * x + y * y) * tc / (A * mc))
+    k = [E2 / 2 + 5 * E2**2 / 24 + E2**3 / 12 + 13 * E2**4 / 360, 7 * E2**2 / 48 + 29 * E2**3 / 240 + 811 * E2**4 / 11520, 7 * E2**3 / 120 + 81 * E2**4 / 1120, 4279 * E2**4 / 161280]
+    phi = chi
+    for j, a in enumerate(k, 1):
+        phi = phi + a * F.sin(2 * j * chi)
+    return lon_180(lon0 + F.degrees(F.atan2(x, -sign * y))), sign * F.degrees(phi)
+
+
+Move = Callable[[Column, Column], tuple[Column, Column]]
+
+
+def _of_system(srs: str) -> tuple[Move, Move]:
+    """(to, from) longitude and latitude for EPSG codes of WGS84: lon/lat, UTM zones and the two polar grids."""
+    code = srs.upper().removeprefix("EPSG:")
+    if code == "4326":
+        return (lambda x, y: (x, y)), (lambda x, y: (x, y))
+    if code in ("3413", "3031"):
+        own = {"lon0": -45.0, "lat_ts": 70.0} if code == "3413" else {"lon0": 0.0, "lat_ts": 71.0, "south": True}
+        return (lambda x, y: from_polar_stereographic(x, y, **own)), (lambda x, y: polar_stereographic(x, y, **own))
+    if re.fullmatch(r"32[67]\d\d", code) and 1 <= int(code[3:]) <= 60:
+        zone, y0 = F.lit(int(code[3:])), F.lit(0.0 if code[2] == "6" else 1e7)
+        return (lambda x, y: _tmerc_inverse(x, y, zone * 6.0 - 183.0, 0.9996, 500000.0, y0)), (lambda x, y: _tmerc(x, y, zone * 6.0 - 183.0, 0.9996, 500000.0, y0))
+    raise ValueError(f"no transformation is known for {srs!r}")
+
+
+def transform(source: str, target: str) -> Move:
+    """Maps coordinates of one reference system to another; raises for systems it does not know."""
+    if source == target:
+        return lambda x, y: (x, y)
+    (to_lonlat, _), (_, from_lonlat) = _of_system(source), _of_system(target)
+    return lambda x, y: from_lonlat(*to_lonlat(x, y))
+
+
 def polar_scale(lat: Column) -> Column:
     """Area scale of the polar stereographic grids with true scale at 70 N or 71 S."""
     e2 = 0.006694379990141

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,35 +121,49 @@ def local_time(c: Column, tz: Column) -> Column:
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
+def datetimes_in_name(fn: Column) -> Column:
+    """Array of the dates in a file's base name, without its extension: all stamps of the first kind that occurs.
+
+    Kinds, in order: date and clock (``20180101_1200``, ``20180101T1200``), the
+    same without a separator, a date, a decimal year, a year (which means January
+    1st), and ``03jul67`` in lower case.  All but the last must follow the start,
+    ``_`` or ``-``; a date, decimal year or year must also end the name or be
+    followed by one of these.  So catalogue numbers are not taken for dates.
+    """
+    base = F.regexp_replace(F.element_at(F.split(fn, "/"), -1), r"^(\.*[^.].*)\.[^.]*$", "$1")
+    date = r"(?:19|20)\d\d(?:0[1-9]|1[012])(?:0[1-9]|[12]\d|3[01])"
+    clock = r"(?:[01]\d|2[0-3])[0-5]\d"
+    begin, end = "(?:^|_|-)", "(?:$|_|-)"
+
+    def found(pattern: str) -> Column:
+        return F.regexp_extract_all(base, F.lit(pattern), F.lit(0))
+
+    def stamps(pattern: str, suffix: str) -> tuple[Column, Callable[[Column], Column]]:
+        return found(pattern), lambda x: F.try_to_timestamp(F.concat(F.regexp_replace(x, r"\D", ""), F.lit(suffix)), F.lit("yyyyMMddHHmm")).cast("timestamp_ntz")
+
+    def worded(x: Column) -> Column:
+        month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(x, 3, 3))
+        two = F.substring(x, 6, 2)
+        century = F.when(two <= "68", F.lit("20")).otherwise(F.lit("19"))
+        return F.when(month > 0, F.try_to_timestamp(F.concat(century, two, F.lpad(month.cast("string"), 2, "0"), F.substring(x, 1, 2)), F.lit("yyyyMMdd")).cast("timestamp_ntz"))
+
+    kinds = [
+        stamps(f"{begin}{date}[_T]{clock}", ""),
+        stamps(f"{begin}{date}{clock}", ""),
+        stamps(f"{begin}{date}{end}", "0000"),
+        (found(f"{begin}(?:19|20)\\d\\d\\.\\d\\d+{end}"), lambda x: from_decimal_year(F.regexp_replace(x, "[_-]", "").cast("double"))),
+        stamps(f"{begin}(?:19|20)\\d\\d{end}", "01010000"),
+        (found(r"[0-3]\d[a-z]{3}\d\d"), worded),
+    ]
+    out = F.array().cast("array<timestamp_ntz>")
+    for texts, read in reversed(kinds):
+        out = F.when(F.size(texts) > 0, F.transform(texts, read)).otherwise(out)
+    return out
+
+
 def datetime_in_name(fn: Column) -> Column:
-    """The first date in a file's base name: the first kind of stamp that occurs wins, year-only names mean January 1st."""
-    base = F.lower(F.element_at(F.split(fn, "/"), -1))
-    date = r"((?:19|20)\d\d(?:0[1-9]|1[012])(?:0[1-9]|[12]\d|3[01]))"
-    clock = r"((?:[01]\d|2[0-3])[0-5]\d)"
-
-    def first(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(base, pattern, group), F.lit(""))
-
-    def ts(day: Column, hm: Column | None = None) -> Column:
-        return F.try_to_timestamp(F.concat(day, F.lit(" "), hm) if hm is not None else F.concat(day, F.lit(" 0000")), F.lit("yyyyMMdd HHmm")).cast("timestamp_ntz")
-
-    p1 = date + r"[_t]" + clock
-    p2 = date + clock
-    decimal = first(r"((?:19|20)\d\d\.\d+)", 1)
-    year = first(r"((?:19|20)\d\d)", 1)
-    words = r"(\d\d)(" + "|".join(_MONTHS) + r")(\d\d)"
-    month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.regexp_extract(base, words, 2)).cast("string")
-    two = F.regexp_extract(base, words, 3)
-    century = F.when(two <= "68", F.lit("20")).otherwise(F.lit("19"))
-    worded = F.when(first(words, 1).isNotNull(), ts(F.concat(century, two, F.lpad(month, 2, "0"), first(words, 1))))
-    return F.coalesce(
-        F.when(first(p1, 1).isNotNull(), ts(first(p1, 1), first(p1, 2))),
-        F.when(first(p2, 1).isNotNull(), ts(first(p2, 1), first(p2, 2))),
-        F.when(first(date, 1).isNotNull(), ts(first(date, 1))),
-        F.when(decimal.isNotNull(), from_decimal_year(decimal.cast("double"))),
-        F.when(year.isNotNull(), ts(F.concat(year, F.lit("0101")))),
-        worded,
-    )
+    """The first of :func:`datetimes_in_name`, or NULL."""
+    return F.try_element_at(datetimes_in_name(fn), F.lit(1))
 
 
 # --- tables of dates --------------------------------------------------------
@@ -156,30 +172,33 @@ def datetime_in_name(fn: Column) -> Column:
 def nearest(queries: DataFrame, candidates: DataFrame, q: str = "ts", c: str = "cts", value: str = "idx", bucket_days: int | None = None) -> DataFrame:
     """For each query row the candidate nearest in time; ties to the smaller ``value``.
 
-    An as-of union: candidates and queries are sorted by time together and the
+    An as-of union: candidates and queries are sorted by time together, and the
     last candidate before and the first after are carried over, so the work is
-    a sort rather than a cross join.  ``bucket_days`` splits the sort into
-    independent ranges: each range also gets the last candidate before and the first after it.
+    one shuffle rather than a cross join.  A query's row travels as a struct.
+    ``bucket_days`` splits the sort into independent ranges; each also gets the
+    last candidate before it and the first after it.  Queries without a time, or
+    of an empty table of candidates, have a NULL ``value``.
     """
-    cand = candidates.select(F.col(c).alias("_t"), F.col(value).alias("_v")).groupBy("_t").agg(F.min("_v").alias("_v"))
-    own = queries.withColumn("_q", F.monotonically_increasing_id())
-    t = micros(F.col("_t"))
-    rows = own.select(F.col(q).alias("_t"), F.col("_q"), F.lit(None).cast(cand.schema["_v"].dataType).alias("_v")).unionByName(cand.select("_t", F.lit(None).cast("long").alias("_q"), "_v"))
+    cand = candidates.where(F.col(c).isNotNull()).select(F.col(c).alias("_t"), F.col(value).alias("_v")).groupBy("_t").agg(F.min("_v").alias("_v"))
+    kind = cand.schema["_v"].dataType
+    row = F.struct(*[F.col(f"`{n}`") for n in queries.columns]).alias("_row")
+    asked = queries.select(F.col(q).alias("_t"), row)
+    rows = asked.select("_t", "_row", F.lit(None).cast(kind).alias("_v")).unionByName(cand.select("_t", F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), "_v"))
     size = (bucket_days or 3650) * DAY
-    rows = rows.withColumn("_m", t).withColumn("_b", F.floor(F.col("_m") / size))
-    c_only = F.when(F.col("_q").isNull(), F.struct("_m", "_v"))
-    # edges of ranges: the extreme candidates of each, carried across ranges; one row for each range
-    edge = rows.where("_q is null").groupBy("_b").agg(F.min(F.struct("_m", "_v")).alias("_lo"), F.max(F.struct("_m", "_v")).alias("_hi"))
-    spans = rows.select("_b").distinct().join(edge, "_b", "left")
+    rows = rows.withColumn("_m", micros(F.col("_t"))).withColumn("_b", F.floor(F.col("_m") / size))
+    mine = F.when(F.col("_row").isNull(), F.struct("_m", "_v"))
+    # the extreme candidates of each range, carried to the ranges around it: one row for each range
+    edge = cand.withColumn("_m", micros(F.col("_t"))).groupBy(F.floor(F.col("_m") / size).alias("_b")).agg(F.min(F.struct("_m", "_v")).alias("_lo"), F.max(F.struct("_m", "_v")).alias("_hi"))
+    ranges = asked.select(F.floor(micros(F.col("_t")) / size).alias("_b")).where("_b is not null").distinct().unionByName(edge.select("_b")).distinct()
     order = Window.orderBy("_b")
-    spans = spans.select("_b", F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    w = Window.partitionBy("_b").orderBy("_m", F.col("_q").asc_nulls_first())
-    up = Window.partitionBy("_b").orderBy(F.desc("_m"), F.col("_q").asc_nulls_first())
-    seen = rows.withColumn("_p", F.last(c_only, True).over(w)).withColumn("_n", F.last(c_only, True).over(up)).where("_q is not null").join(spans, "_b")
+    spans = ranges.join(edge, "_b", "left").select("_b", F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    forward = Window.partitionBy("_b").orderBy("_m", F.col("_row").isNotNull())
+    back = Window.partitionBy("_b").orderBy(F.desc("_m"), F.col("_row").isNotNull())
+    seen = rows.withColumn("_p", F.last(mine, True).over(forward)).withColumn("_n", F.last(mine, True).over(back)).where("_row is not null").join(spans, "_b", "left")
     p, n = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
     gap = lambda s: F.abs(F.col("_m") - s["_m"])
     best = F.when(n.isNull() | (gap(p) < gap(n)) | ((gap(p) == gap(n)) & (p["_v"] <= n["_v"])), p["_v"]).otherwise(n["_v"])
-    return own.join(seen.select("_q", F.coalesce(best, p["_v"], n["_v"]).alias(value)), "_q").drop("_q")
+    return seen.select("_row.*", F.coalesce(best, p["_v"], n["_v"]).alias(value))
 
 
 def within(queries: DataFrame, candidates: DataFrame, pad_days: float, q: str = "ts", c: str = "cts") -> DataFrame:
@@ -229,8 +248,12 @@ def in_bounds(times: DataFrame, bounds: DataFrame, ts: str = "ts") -> DataFrame:
 
 def date_summary(times: DataFrame, ts: str = "ts") -> DataFrame:
     """Mean, middle and median date and the span in days."""
+    from gridloom.operators.stats import percentiles
+
     m = micros(F.col(ts))
-    return times.agg(from_micros(F.rint(F.avg(m))).alias("mean_date"), from_micros(F.rint((F.min(m) + F.max(m)) / 2)).alias("mid_date"), from_micros(F.rint(F.median(m))).alias("median_date"), ((F.max(m) - F.min(m)) / float(DAY)).alias("span_days"))
+    rest = times.agg(from_micros(F.rint(F.avg(m))).alias("mean_date"), from_micros(F.rint((F.min(m) + F.max(m)) / 2)).alias("mid_date"), ((F.max(m) - F.min(m)) / float(DAY)).alias("span_days"))
+    middle = percentiles(times.select(m.alias("v")), (50,)).select(from_micros(F.rint(F.col("p")[0])).alias("median_date"))
+    return rest.crossJoin(middle).select("mean_date", "mid_date", "median_date", "span_days")
 
 
 def first_of_day(times: DataFrame, ts: str = "ts", idx: str = "idx") -> DataFrame:

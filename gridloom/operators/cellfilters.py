@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.geo import pixel_to_map
 from gridloom.operators.stats import _with, median_nmad, percentiles
 
 
@@ -57,7 +58,7 @@ def by_reference_difference(cells: DataFrame, reference: DataFrame, perc: tuple[
     dz = cells.join(reference.select(*keys, "r", "c", F.col("v").alias("_ref")), [*keys, "r", "c"], "left").withColumn("_dz", F.col("_ref") - F.col("v"))
     bad = (F.abs("_dz") < limits[0]) | (F.abs("_dz") > limits[1])
     if perc:
-        p = dz.groupBy(*keys).agg(F.percentile("_dz", F.array(F.lit(perc[0] / 100), F.lit(perc[1] / 100))).alias("_p"))
+        p = percentiles(dz.select(*keys, F.col("_dz").alias("v")), perc, keys).withColumnRenamed("p", "_p")
         dz = _with(dz, p, keys)
         bad = bad | ~F.col("_dz").between(F.col("_p")[0], F.col("_p")[1])
     return dz.withColumn("v", F.when(~F.coalesce(bad, F.lit(False)), F.col("v"))).select(*keys, "r", "c", "v")
@@ -88,8 +89,18 @@ def by_mask(cells: DataFrame, mask: DataFrame, mask_value: float | None = None,
     return both.withColumn("v", F.when(out if invert else ~out, F.col("v"))).select("r", "c", "v")
 
 
-def valid_xyz(cells: DataFrame) -> DataFrame:
-    return cells.where("v is not null").select(F.col("c").alias("x"), F.col("r").alias("y"), F.col("v").alias("z"))
+def valid_xyz(cells: DataFrame, gt: Sequence[float] | None = None) -> DataFrame:
+    """``x, y, z`` of valid cells: map coordinates of their centres, or columns and rows without a geotransform."""
+    x, y = (F.col("c"), F.col("r")) if gt is None else pixel_to_map(list(gt), F.col("c"), F.col("r"))
+    return cells.where("v is not null").select(x.alias("x"), y.alias("y"), F.col("v").alias("z"))
+
+
+def by_slope(cells: DataFrame, res: float, limits: tuple[float, float] = (0.0, 40.0)) -> DataFrame:
+    """Keeps cells whose slope in degrees is within the limits; cells without a slope (edges, beside holes) go."""
+    from gridloom.operators.neighbourhood import slope
+
+    lim = slope(cells, res).where(F.col("v").between(*limits)).select("r", "c")
+    return cells.join(lim.withColumn("_ok", F.lit(True)), ["r", "c"], "left").withColumn("v", F.when(F.col("_ok"), F.col("v"))).select("r", "c", "v")
 
 
 def random_fill(cells: DataFrame, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geo import map_to_pixel, pixel_to_map
 from gridloom.operators.neighbourhood import _pairs
-from gridloom.operators.stats import NMAD
+from gridloom.operators.stats import NMAD, _with, percentiles
 
 STATS: dict[str, Callable[[str], Column]] = {"median": F.median, "mean": F.avg, "max": F.max, "min": F.min, "count": F.count, "sum": F.sum, "std": F.stddev_pop}
 
@@ -88,7 +88,7 @@ def fit_polynomial(points: DataFrame, order: int = 1, tensor: bool = False, perc
     """
     p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(z).cast("double").alias("z"))
     if perc:
-        lim = p.agg(F.percentile("z", F.array(F.lit(perc[0] / 100), F.lit(perc[1] / 100))).alias("_p"))
+        lim = percentiles(p.select(F.col("z").alias("v")), perc).withColumnRenamed("p", "_p")
         p = p.crossJoin(F.broadcast(lim)).where(F.col("z").between(F.col("_p")[0], F.col("_p")[1])).select("x", "y", "z")
     c = p.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")).first()
     sx, sy = c.sx or 1.0, c.sy or 1.0
@@ -116,9 +116,19 @@ def polynomial(coefficients: dict[tuple[int, int], float], x: Column, y: Column)
     return out
 
 
-def plane_fit(points: DataFrame, keys: Sequence[str] = (), x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
-    """``a, b, c, n`` of z = a x + b y + c for each key, wholly as one aggregate and expressions."""
+def plane_residuals(points: DataFrame, plane: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """The points with ``fit`` (the plane's value, for all of them) and ``residual`` (z minus it)."""
+    fit = F.col("_a") * F.col(x) + F.col("_b") * F.col(y) + F.col("_c")
+    one = plane.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("c").alias("_c"))
+    return points.crossJoin(F.broadcast(one)).withColumn("fit", fit).withColumn("residual", F.col(z) - F.col("fit")).drop("_a", "_b", "_c")
+
+
+def plane_fit(points: DataFrame, keys: Sequence[str] = (), x: str = "x", y: str = "y", z: str = "z", perc: tuple[float, float] | None = (2, 98)) -> DataFrame:
+    """``a, b, c, n`` of z = a x + b y + c for each key, as one aggregate and expressions; z outside the percentiles is left out."""
     p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
+    if perc:
+        lim = percentiles(p.select(*keys, F.col(z).alias("v")), perc, keys).withColumnRenamed("p", "_p")
+        p = _with(p, lim, keys).where(F.col(z).between(F.col("_p")[0], F.col("_p")[1])).drop("_p")
     x, y, z = (F.col(n).cast("double") for n in (x, y, z))
     m = p.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(z).alias("mz"), F.covar_pop(x, x).alias("xx"), F.covar_pop(y, y).alias("yy"), F.covar_pop(x, y).alias("xy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"))
     det = F.nullif(F.col("xx") * F.col("yy") - F.col("xy") ** 2, F.lit(0.0))

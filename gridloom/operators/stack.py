@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.timefns import ordinal
-from gridloom.operators.stats import NMAD
+from gridloom.operators.stats import NMAD, percentiles
 
 CELL = ["r", "c"]
 
@@ -49,7 +49,7 @@ def date_stats(cells: DataFrame, layers: DataFrame) -> DataFrame:
 
 def default_min_span(date_stats_: DataFrame, factor: float = 0.20) -> DataFrame:
     """``min_span``: a share of the 96th percentile of the cells' date spans."""
-    return date_stats_.agg((F.percentile("dt_ptp", F.lit(0.96)) * factor).alias("min_span"))
+    return percentiles(date_stats_.select(F.col("dt_ptp").alias("v")), (96,)).select((F.col("p")[0] * factor).alias("min_span"))
 
 
 def trend(cells: DataFrame, layers: DataFrame, min_n: int = 2, min_span: float | None = None, remove_outliers: bool = False) -> DataFrame:
@@ -101,16 +101,25 @@ def theil_sen(cells: DataFrame, layers: DataFrame) -> DataFrame:
     return got.select(*CELL, F.size("p").cast("long").alias("n"), (F.col("_b") * 365.25).alias("slope"), _array_median(left).alias("intercept"))
 
 
-#: Two-sided 95 % points of Student's t by degrees of freedom; 1.96 beyond.
-T95 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042]
+#: Two-sided 95 % points of Student's t by degrees of freedom.
+T95 = [12.7062, 4.30265, 3.18245, 2.77645, 2.57058, 2.44691, 2.36462, 2.30600, 2.26216, 2.22814, 2.20099, 2.17881, 2.16037, 2.14479, 2.13145, 2.11991, 2.10982, 2.10092, 2.09302, 2.08596, 2.07961, 2.07387, 2.06866, 2.06390, 2.05954, 2.05553, 2.05183, 2.04841, 2.04523, 2.04227]
+
+
+def t_limit(df: Column) -> Column:
+    """The two-sided 95 % point: a table up to 30 degrees of freedom, beyond it the expansion about the normal quantile (within 1e-5)."""
+    z = 1.959963984540054
+    more = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    far = F.lit(z)
+    for k, a in enumerate(more, 1):
+        far = far + a / F.pow(df, F.lit(float(k)))
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, T95)), F.when(df >= 1, df.cast("int")).otherwise(F.lit(1))), far)
 
 
 def significant(trends: DataFrame) -> DataFrame:
     """Trends whose slope differs from zero at the 95 % level."""
     df = F.col("n") - 2
     t = F.sqrt(F.col("rsq") * df / F.nullif(1 - F.col("rsq"), F.lit(0.0)))
-    limit = F.coalesce(F.try_element_at(F.array(*map(F.lit, T95)), df.cast("int")), F.lit(1.96))
-    return trends.where((df > 0) & (F.coalesce(t, F.lit(float("inf"))) > limit))
+    return trends.where((df > 0) & (F.coalesce(t, F.lit(float("inf"))) > t_limit(df)))
 
 
 def subset(cells: DataFrame, layers: list[int]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NMAD = 1.4826
@@ -21,12 +21,43 @@ def basic_stats(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return cells.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("vmin"), F.max(v).alias("vmax"), (F.max(v) - F.min(v)).alias("ptp"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.sqrt(F.avg(v * v)).alias("rmse"))
 
 
+#: Relative accuracy of the sketches that bracket an order statistic: a bracket holds some 1 / 2,500 of the values.
+ACCURACY = 10_000
+
+
 def percentiles(cells: DataFrame, at: Sequence[float], keys: Sequence[str] = (), empty: float | None = None) -> DataFrame:
-    """``p`` array of exact, linearly interpolated percentiles (0 to 100)."""
-    p = F.percentile("v", F.array(*[F.lit(a / 100.0) for a in at]))
-    if empty is not None:
-        p = F.coalesce(p, F.array(*[F.lit(float(empty))] * len(at)))
-    return cells.groupBy(*keys).agg(p.alias("p"))
+    """``keys, p``: array of exact, linearly interpolated percentiles (0 to 100), NULL (or ``empty``) without values.
+
+    Exact without any task that sees all values of a key: mergeable sketches
+    bracket each percentile, all values below a bracket are only counted, and
+    just the distinct values inside are sorted.  A hot value is one row there.
+    """
+    keys = list(keys)
+    values = cells.select(*keys, F.col("v").cast("double").alias("v"))
+    eps = 2.0 / ACCURACY
+    around = [min(1.0, max(0.0, a / 100 + e)) for a in at for e in (-eps, eps)]
+    first = values.groupBy(*keys).agg(F.count("v").alias("_n"), F.percentile_approx("v", F.array(*map(F.lit, around)), F.lit(ACCURACY)).alias("_q"))
+    spans = [F.struct(F.lit(i).alias("_t"), F.col("_q")[2 * i].alias("lo"), F.col("_q")[2 * i + 1].alias("hi")) for i in range(len(at))]
+    known = _with(values.where("v is not null"), first.drop("_n"), keys)
+    sides = known.groupBy(*keys).agg(*[x for i in range(len(at)) for x in (F.count_if(F.col("v") < F.col("_q")[2 * i]).alias(f"_b{i}"), F.max(F.when(F.col("v") < F.col("_q")[2 * i], F.col("v"))).alias(f"_l{i}"), F.min(F.when(F.col("v") > F.col("_q")[2 * i + 1], F.col("v"))).alias(f"_h{i}"))])
+    inside = known.select(*keys, "v", F.explode(F.filter(F.array(*spans), lambda s: F.col("v").between(s["lo"], s["hi"]))).alias("_s"))
+    counts = inside.groupBy(*keys, F.col("_s._t").alias("_t"), "v").agg(F.count("*").alias("_k"))
+    run = Window.partitionBy(*keys, "_t").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_upto", F.sum("_k").over(run))
+    base = first.join(sides, keys, "left") if keys else first.crossJoin(sides)
+    want = base.select(*keys, "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("_t"), ((F.col("_n") - 1) * (a / 100)).alias("_h"), F.col(f"_b{i}").alias("_b"), F.col(f"_l{i}").alias("_l"), F.col(f"_h{i}").alias("_n")) for i, a in enumerate(at)])).alias("_s")).select(*keys, "_s.*")
+    # of the values inside, those at the two ranks around the percentile
+    low = F.floor("_h")
+    on = [*keys, "_t"]
+    near = ranked.join(want, on).where((F.col("_upto") > low - F.col("_b")) & (F.col("_upto") - F.col("_k") <= low + 1 - F.col("_b")))
+    picked = near.groupBy(*on).agg(F.min(F.when((F.col("_upto") > low - F.col("_b")) & (low >= F.col("_b")), F.col("v"))).alias("_v0"), F.min(F.when(F.col("_upto") > low + 1 - F.col("_b"), F.col("v"))).alias("_v1"))
+    got = want.join(picked, on, "left")
+    v0 = F.when(low < F.col("_b"), F.col("_l")).otherwise(F.col("_v0"))
+    v1 = F.when(low + 1 < F.col("_b"), F.col("_l")).otherwise(F.coalesce("_v1", "_n", v0))
+    value = v0 + (v1 - v0) * (F.col("_h") - low)
+    out = got.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_t", value.alias("x")))), lambda s: s["x"]).alias("p"))
+    fallback = F.lit(None).cast("double") if empty is None else F.lit(float(empty))
+    return out.select(*keys, F.when(F.exists("p", lambda x: x.isNotNull()), F.col("p")).otherwise(F.lit(None) if empty is None else F.array(*[fallback] * len(at))).alias("p"))
 
 
 def symmetric_limit(cells: DataFrame, at: Sequence[float] = (0.1, 99.9), keys: Sequence[str] = ()) -> DataFrame:
@@ -36,24 +67,42 @@ def symmetric_limit(cells: DataFrame, at: Sequence[float] = (0.1, 99.9), keys: S
 
 
 def median_nmad(cells: DataFrame, keys: Sequence[str] = (), factor: float = NMAD) -> DataFrame:
-    """``n, med, nmad``: the median and the scaled median absolute deviation from it."""
-    med = cells.where("v is not null").groupBy(*keys).agg(F.median("v").alias("med"))
-    away = _with(cells.where("v is not null"), med, keys)
-    return away.groupBy(*keys).agg(F.count("v").alias("n"), F.first("med").alias("med"), (F.median(F.abs(F.col("v") - F.col("med"))) * factor).alias("nmad"))
+    """``n, med, nmad``: the median and the scaled median absolute deviation from it.
+
+    Keys are few and may be hot; where each key has a handful of values,
+    :func:`gridloom.operators.stack.stack_stats` is the way.
+    """
+    keys = list(keys)
+    own = cells.where("v is not null").select(*keys, "v")
+    med = percentiles(own, (50,), keys).select(*keys, F.col("p")[0].alias("med"))
+    away = _with(own, med, keys)
+    size = away.groupBy(*keys).agg(F.count("v").alias("n"), F.first("med").alias("med"))
+    dev = percentiles(away.select(*keys, F.abs(F.col("v") - F.col("med")).alias("v")), (50,), keys).select(*keys, (F.col("p")[0] * factor).alias("nmad"))
+    return (size.join(dev, keys, "left") if keys else size.crossJoin(dev)).select(*keys, "n", "med", "nmad")
+
+
+def mode(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, mode``: the most frequent value, the smallest of several."""
+    counts = cells.where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("k"))
+    return counts.groupBy(*keys).agg(F.min(F.struct((-F.col("k")).alias("k"), "v"))["v"].alias("mode"))
 
 
 def full_stats(cells: DataFrame, keys: Sequence[str] = (), approximate: bool = False) -> DataFrame:
-    """All statistics of one raster: two passes, one for the median and one for deviations from it.
+    """All statistics of rasters, without a task that sees all values of one.
 
-    ``approximate`` replaces exact percentiles by sketches, for very large rasters.
+    ``approximate`` replaces exact percentiles by sketches alone.
     """
-    q = (0.16, 0.25, 0.5, 0.75, 0.84)
-    at = F.array(*map(F.lit, q))
-    p = F.percentile_approx("v", at, 10_000) if approximate else F.percentile("v", at)
-    first = cells.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.mode("v", True).alias("mode"), p.alias("_p"))
-    med = first.select(*keys, F.col("_p")[2].alias("_med"))
-    dev = _with(cells.where("v is not null"), med, keys).groupBy(*keys).agg((F.median(F.abs(F.col("v") - F.col("_med"))) * NMAD).alias("nmad"))
-    both = first.join(dev, list(keys), "left") if keys else first.crossJoin(dev)
+    keys = list(keys)
+    q = (16, 25, 50, 75, 84)
+    first = cells.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    sketch = lambda df, at: df.groupBy(*keys).agg(F.percentile_approx("v", F.array(*[F.lit(a / 100) for a in at]), F.lit(ACCURACY)).alias("p"))
+    of = sketch if approximate else lambda df, at: percentiles(df, at, keys)
+    p = of(cells, q).select(*keys, F.col("p").alias("_p"))
+    away = _with(cells.where("v is not null"), p.select(*keys, F.col("_p")[2].alias("_med")), keys)
+    dev = of(away.select(*keys, F.abs(F.col("v") - F.col("_med")).alias("v")), (50,)).select(*keys, (F.col("p")[0] * NMAD).alias("nmad"))
+    both = first
+    for other in (p, dev, mode(cells, keys)):
+        both = both.join(other, keys, "left") if keys else both.crossJoin(other)
     x = F.col("_p")
     return both.select(*keys, "n", "vmin", "vmax", (F.col("vmax") - F.col("vmin")).alias("ptp"), "mean", "std", "nmad", x[2].alias("med"), x[1].alias("q1"), x[3].alias("q3"), (x[3] - x[1]).alias("iqr"), x[0].alias("p16"), x[4].alias("p84"), (F.abs(x[4] - x[0]) / 2).alias("spread"), "mode")
 
@@ -111,8 +160,10 @@ def hist2d(points: DataFrame, x: str, y: str, nx: int = 128, ny: int = 128, limi
     """``bx, by, n``: counts of non-empty bins; limits default to the 0.1 and 99.9 percentiles of both."""
     p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     if limits is None:
-        at = F.array(F.lit(0.001), F.lit(0.999))
-        lim = p.agg(F.percentile("x", at).alias("px"), F.percentile("y", at).alias("py")).select(F.col("px")[0].alias("x0"), F.col("px")[1].alias("x1"), F.col("py")[0].alias("y0"), F.col("py")[1].alias("y1"))
+        lim = None
+        for n in ("x", "y"):
+            own = percentiles(p.select(F.col(n).alias("v")), (0.1, 99.9)).select(F.col("p")[0].alias(f"{n}0"), F.col("p")[1].alias(f"{n}1"))
+            lim = own if lim is None else lim.crossJoin(own)
         p = p.crossJoin(F.broadcast(lim))
     else:
         p = p.select("*", *[F.lit(float(v)).alias(n) for v, n in zip(limits, ("x0", "x1", "y0", "y1"))])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import apply_gt, map_to_pixel
+from gridloom.functions.geo import transform as move
 from gridloom.model import lattice
 
 ALGORITHMS = {"near": 1, "nearest": 1, "bilinear": 2, "cubic": 4, "cubicspline": 4, "lanczos": 6, "average": 0, "mode": 0}
@@ -91,18 +93,24 @@ def _weight(d: Column, algorithm: str) -> Column:
 def warp(cells: DataFrame, src: Grid, dst: Grid, algorithm: str = "cubic", transform: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
     """``r, c, v`` on ``dst``; cells without a valid source are left out.
 
-    ``transform`` maps destination x, y to source x, y where the systems
-    differ.  Weights are renormalised over valid source cells.  The same grid
-    is passed through, so its cells are not shuffled.
+    ``transform`` maps destination x, y to source x, y; without one it follows
+    from the two reference systems, and unknown ones are an error (systems that
+    are not named count as the same).  Weights are renormalised over valid source
+    cells.  The same grid is passed through, so its cells are not shuffled.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm}")
+    forward = None
+    if transform is None and src.srs and dst.srs and src.srs != dst.srs:
+        transform, forward = move(dst.srs, src.srs), move(src.srs, dst.srs)
     if transform is None and same_grid(src, dst) and (src.nrows, src.ncols) == (dst.nrows, dst.ncols):
         return cells.where("v is not null").select("r", "c", "v")
     if algorithm in ("average", "mode"):
-        if transform is not None:
-            raise ValueError("average and mode need one reference system")
+        if transform is not None and forward is None:
+            raise ValueError("average and mode need to know the reference systems")
         x, y = apply_gt(list(src.gt), F.col("c") + 0.5, F.col("r") + 0.5)
+        if forward is not None:
+            x, y = forward(x, y)
         px, py = map_to_pixel(list(dst.gt), x, y)
         at = cells.where("v is not null").select(F.rint(py).cast("int").alias("r"), F.rint(px).cast("int").alias("c"), "v")
         at = at.where(F.col("r").between(0, dst.nrows - 1) & F.col("c").between(0, dst.ncols - 1))
@@ -125,8 +133,24 @@ def warp(cells: DataFrame, src: Grid, dst: Grid, algorithm: str = "cubic", trans
     return got.groupBy("r", "c").agg((F.sum(F.col("_w") * F.col("v")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("v"))
 
 
+def reprojected(spark: SparkSession, grid: Grid, srs: str, along: int = 20) -> Grid:
+    """The extent of a grid, by points along its edges, and its resolution, by its diagonal, in another system.  Metadata only."""
+    if not grid.srs or not srs or grid.srs == srs:
+        return grid
+    x0, y0, x1, y1 = grid.extent
+    edge = [(x0 + (x1 - x0) * i / along, y0 + (y1 - y0) * j / along) for i in range(along + 1) for j in range(along + 1) if {i, j} & {0, along}]
+    x, y = move(grid.srs, srs)(F.col("x"), F.col("y"))
+    got = [(r.x, r.y) for r in spark.createDataFrame([*edge, (x0, y1), (x1, y0)], "x double, y double").coalesce(1).select(x.alias("x"), y.alias("y")).collect()]
+    xs, ys = [p[0] for p in got], [p[1] for p in got]
+    (ax, ay), (bx, by) = got[-2:]
+    res = math.hypot(bx - ax, by - ay) / math.hypot(grid.ncols, grid.nrows)
+    out = min(xs), min(ys), max(xs), max(ys)
+    return Grid(max(1, round((out[3] - out[1]) / res)), max(1, round((out[2] - out[0]) / res)), (out[0], res, 0.0, out[3], 0.0, -res), srs)
+
+
 def warp_multi(rasters: list[tuple[DataFrame, Grid]], res: str | float = "first", extent: str | tuple = "intersection", srs: str = "first", algorithm: str = "cubic") -> tuple[list[DataFrame], Grid]:
-    """All rasters on one grid that keywords over their metadata decide."""
-    grids = [g for _, g in rasters]
-    dst = grid_for(parse_extent(extent, grids), parse_res(res, grids), parse_srs(srs, grids))
+    """All rasters on one grid that keywords over their metadata decide; extents and resolutions are compared in its system."""
+    srs = parse_srs(srs, [g for _, g in rasters])
+    grids = [reprojected(c.sparkSession, g, srs) for c, g in rasters]
+    dst = grid_for(parse_extent(extent, grids), parse_res(res, grids), srs)
     return [warp(c, g, dst, algorithm) for c, g in rasters], dst

@@ -181,9 +181,9 @@ def bin_x_by_z(spark, sf):
     return rnd(stats.bin_x_by_z(fx.points(spark, sf), "z", "y", 10.0), 4)
 
 
-@query(f"with {fx.POINTS}, l as (select min(x) as lo, max(x) as hi from points) select least(cast(floor((x - lo) / (hi - lo) * 128) as bigint) + 1, 128) as bin, count(z) as n, round(avg(z), 4) as stat from points, l group by 1")
+@query(f"with {fx.POINTS}, l as (select min(x) as lo, max(x) as hi from points) select least(cast(floor((x - lo) / (hi - lo) * 128) as bigint) + 1, 128) as bin, count(z) as n, round(avg(z), 6) as stat from points, l group by 1")
 def equal_bin_stats(spark, sf):
-    return rnd(stats.equal_bins(fx.points(spark, sf), "x", "z"), 4)
+    return rnd(stats.equal_bins(fx.points(spark, sf), "x", "z"), 6)
 
 
 @query(f"with {fx.POINTS}, q as (select * from points where x between 0 and 2048 and y between 0 and 128) select least(cast(floor(x / 64) as bigint) + 1, 32) as bx, least(cast(floor(y / 8) as bigint) + 1, 16) as by, count(*) as n from q group by all")
@@ -236,6 +236,35 @@ def stack_trend(spark, sf):
     return rnd(stack.trend(fx.stack(spark, sf), fx.layers(spark, sf), 3, 1000.0), 3, intercept=0, rsq=5)
 
 
+@query(f"""with {fx.STACK}, o as (select r, c, v, {fx.ORD} - 728000 as t from stack),
+f as (select r, c, count(v) as n, regr_slope(v, t) as b, regr_r2(v, t) as r2 from o group by r, c having count(v) >= 3),
+x as (select *, sqrt(r2 * (n - 2) / (1 - r2)) as stat, [{', '.join(map(str, stack.T95))}][n - 2] as lim from f)
+select r, c, n, round(b * 365.25::double, 3) as slope from x where stat > lim""")
+def significant_trends(spark, sf):
+    found = stack.significant(stack.trend(fx.stack(spark, sf), fx.layers(spark, sf), 3))
+    return rnd(found.select("r", "c", "n", "slope"), 3)
+
+
+@query("select * from (values (1, 500000.0::double, 4982950.4::double), (2, 833978.557::double, 0.0::double), (3, 166021.443::double, 0.0::double), (4, 500000.0::double, 10000000.0 - 4982950.4::double)) t(id, x, y)")
+def utm_known_points(spark, sf):
+    """Published values: the meridian arc to 45 degrees, and both edges of a zone on the equator."""
+    p = spark.createDataFrame([(1, 3.0, 45.0), (2, 6.0, 0.0), (3, 0.0, 0.0), (4, 3.0, -45.0)], "id int, lon double, lat double")
+    x, y = geo.to_utm(F.col("lon"), F.col("lat"), F.lit(31))
+    return p.select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(f"with {fx.LONLAT}, p as (select * from lonlat where abs(lat) between 60 and 89) select id, round(((lon + 180) - 360 * floor((lon + 180) / 360)) - 180, 7) as lon, round(lat, 7) as lat from p")
+def polar_round_trip(spark, sf):
+    """Through both polar grids and back by way of UTM-free inverses."""
+    p = fx.lonlat(spark, sf).where("abs(lat) between 60 and 89")
+    back = []
+    for code, own in (("EPSG:3413", F.col("lat") > 0), ("EPSG:3031", F.col("lat") < 0)):
+        x, y = geo.transform("EPSG:4326", code)(F.col("lon"), F.col("lat"))
+        lon, lat = geo.transform(code, "EPSG:4326")(F.col("x"), F.col("y"))
+        back.append(p.where(own).select("id", x.alias("x"), y.alias("y")).select("id", geo.lon_180(F.round(lon, 7)).alias("lon"), lat.alias("lat")))
+    return rnd(back[0].unionByName(back[1]), 7)
+
+
 @query()
 def stack_trend_without_outliers(spark, sf):
     return stack.trend(fx.stack(spark, sf), fx.layers(spark, sf), 3, remove_outliers=True)
@@ -284,7 +313,7 @@ def rolling_median(spark, sf):
     return rnd(neighbourhood.rolling(fx.raster(spark, sf)), 8)
 
 
-@query(f"with {fx.RASTER}, {NEAR.format(n=2, m=5)}, s as (select r - i as r, c - j as c, v from raster, off where v is not null and i * i + j * j <= 4) select s.r, s.c, max(s.v) as v from s where s.r between 0 and 499 and s.c between 0 and 63 group by all")
+@query(f"with {fx.RASTER}, {NEAR.format(n=2, m=5)}, s as (select r - i as r, c - j as c, v from raster, off where v is not null and i * i + j * j <= 4) select s.r, s.c, max(s.v) as v from s where s.r between 0 and (select max(r) from raster) and s.c between 0 and (select max(c) from raster) group by all")
 def rolling_max_disc(spark, sf):
     return neighbourhood.rolling(fx.raster(spark, sf), F.max, 5, circular=True, keep_mask=False, shape=fx.raster_shape(spark, sf))
 
@@ -415,6 +444,23 @@ def fn_datetime(spark, sf):
     return fx.names(spark, sf).select("event_id", T.datetime_in_name(F.col("fn")).alias("dt"))
 
 
+# Forms of names, by the event's number modulo six, and the date that each holds; four digits behind a date pass as a clock.
+@query("""select event_id, case event_id % 6 when 0 then date_trunc('day', ts) + interval 630 minute when 1 then null when 2 then null when 3 then date_trunc('minute', ts) when 4 then date_trunc('year', ts) else date_trunc('day', ts) end::timestamp as dt from events""")
+def catalogue_names(spark, sf):
+    e, day = fx.events(spark, sf), F.date_format("ts", "yyyyMMdd")
+    number = F.col("event_id").cast("string")
+    form = F.expr("event_id % 6")
+    fn = (
+        F.when(form == 0, F.concat(F.lit("/data/v1_2020/dem_"), day, F.lit("_10300100207D5600-DEM.tif")))
+        .when(form == 1, F.concat(F.lit("WV02_1030010020"), day, F.lit("-DEM.tif")))
+        .when(form == 2, F.concat(F.lit("run1"), day, F.lit("x"), number, F.lit(".tif")))
+        .when(form == 3, F.concat(F.lit("x-"), F.date_format("ts", "yyyyMMdd'T'HHmm"), F.lit("_20010101.tif")))
+        .when(form == 4, F.concat(F.lit("dem_"), F.date_format("ts", "yyyy"), F.lit("_1x"), number, F.lit(".v2.tif")))
+        .otherwise(F.concat(F.lower(F.date_format("ts", "ddMMMyy")), F.lit(".tif")))
+    )
+    return e.select("event_id", T.datetime_in_name(fn).alias("dt"))
+
+
 @query("select event_id, round(year(ts) + epoch_us(ts - make_timestamp(year(ts), 1, 1, 0, 0, 0.0)::timestamp::timestamp)::double / 1 / 86400000000.0 / 366, 9) as decyear from (select event_id, ts from events)".replace("epoch_us(ts - make_timestamp(year(ts), 1, 1, 0, 0, 0.0)::timestamp::timestamp)::double / 1", "(epoch_us(ts) - epoch_us(make_timestamp(year(ts), 1, 1, 0, 0, 0.0)))::double"))
 def dec_year(spark, sf):
     return fx.events(spark, sf).select("event_id", F.round(T.decimal_year("ts"), 9).alias("decyear"))
@@ -438,19 +484,19 @@ def gps_round_trip(spark, sf):
     return o.select("o_orderkey", T.gps_to_timestamp(F.floor(F.col("_ms") / 604800000), F.pmod(F.col("_ms"), F.lit(604800000))).alias("gps"))
 
 
-@query("""with q as (select o_orderkey as id, o_orderdate - interval '3' hour as qts from orders), c as (select distinct cast(o_orderdate as timestamp) as cts from orders where o_orderkey % 7 = 0), n as (select cts, epoch_us(cts) as idx from c)
+@query("""with q as (select o_orderkey as id, o_orderdate - interval '3' hour as qts from orders), c as (select distinct cast(o_orderdate as timestamp) as cts from orders), n as (select cts, epoch_us(cts) as idx from c)
 select id, arg_min(idx, (abs(epoch_us(qts) - epoch_us(cts)), idx)) as idx from q, n group by id""")
 def nearest_date(spark, sf):
     o = fx.table(spark, sf, "orders")
     q = o.select(F.col("o_orderkey").alias("id"), F.expr("o_orderdate - interval '3' hour").alias("ts"))
-    c = o.where("o_orderkey % 7 = 0").select(F.col("o_orderdate").alias("cts"), T.micros("o_orderdate").alias("idx")).distinct()
+    c = o.select(F.col("o_orderdate").alias("cts"), T.micros("o_orderdate").alias("idx")).distinct()
     return T.nearest(q, c, bucket_days=400).select("id", "idx")
 
 
-@query("select a.event_id as id, b.event_id as other from events a join events b on abs(epoch_us(a.ts) - epoch_us(b.ts)) < 600000000 where a.event_id % 20 = 0 and b.event_type = 'purchase'")
+@query("select a.event_id as id, b.event_id as other from events a join events b on a.ts > b.ts - interval 10 minute and a.ts < b.ts + interval 10 minute where b.event_type = 'purchase'")
 def padded_dates(spark, sf):
     e = fx.events(spark, sf)
-    q = e.where("event_id % 20 = 0").select(F.col("event_id").alias("id"), "ts")
+    q = e.select(F.col("event_id").alias("id"), "ts")
     c = e.where("event_type = 'purchase'").select(F.col("event_id").alias("other"), F.col("ts").alias("cts"))
     return T.within(q, c, 10 / 1440).select("id", "other")
 
@@ -576,8 +622,17 @@ def utm_round_trip(spark, sf):
     return rnd(m.select("id", geo.lon_180(F.round(lon, 9)).alias("lon"), back.alias("lat")))
 
 
-@query(f"with {fx.POINTS}, m as (select count(*) as n, avg(x) as mx, avg(y) as my, avg(z) as mz, var_pop(x) as xx, var_pop(y) as yy, covar_pop(x, y) as xy, covar_pop(x, z) as xz, covar_pop(y, z) as yz from points) select n, round((xz * yy - yz * xy) / (xx * yy - xy * xy), 5) as a, round((yz * xx - xz * xy) / (xx * yy - xy * xy), 5) as b, round(mz - (xz * yy - yz * xy) / (xx * yy - xy * xy) * mx - (yz * xx - xz * xy) / (xx * yy - xy * xy) * my, 3) as c from m")
+def _plane(cut: str) -> str:
+    return f"with {fx.POINTS}, l as (select quantile_cont(z, 0.02) as lo, quantile_cont(z, 0.98) as hi from points), m as (select count(*) as n, avg(x) as mx, avg(y) as my, avg(z) as mz, var_pop(x) as xx, var_pop(y) as yy, covar_pop(x, y) as xy, covar_pop(x, z) as xz, covar_pop(y, z) as yz from points, l where {cut}) select n, round((xz * yy - yz * xy) / (xx * yy - xy * xy), 5) as a, round((yz * xx - xz * xy) / (xx * yy - xy * xy), 5) as b, round(mz - (xz * yy - yz * xy) / (xx * yy - xy * xy) * mx - (yz * xx - xz * xy) / (xx * yy - xy * xy) * my, 3) as c from m"
+
+
+@query(_plane("true"))
 def plane_fit(spark, sf):
+    return rnd(points.plane_fit(fx.points(spark, sf), perc=None), 5, c=3)
+
+
+@query(_plane("z between lo and hi"))
+def plane_fit_within_percentiles(spark, sf):
     return rnd(points.plane_fit(fx.points(spark, sf)), 5, c=3)
 
 

@@ -115,12 +115,53 @@ NAMES = {
     "dem_2018.tif": dt.datetime(2018, 1, 1),
     "03jul67.tif": dt.datetime(2067, 7, 3),
     "nodate.tif": None,
+    "WV02_1030010020121105-DEM.tif": None,
+    "run12018x.tif": None,
+    "WV01_12JUN152223255-P1BS.tif": None,
+    "dem_2018.5_x.tif": None,
+    "dem_2018.50_x.tif": dt.datetime(2018, 7, 2, 12),
+    "a_20180101.tif": dt.datetime(2018, 1, 1),
+    "a_20180101b.tif": None,
+    "31xyz67.tif": None,
 }
 
 
 def test_dates_in_names(spark):
     df = spark.createDataFrame([(n,) for n in NAMES], "fn string")
     assert {r.fn: r.d for r in df.select("fn", T.datetime_in_name(F.col("fn")).alias("d")).collect()} == NAMES
+    two = spark.createDataFrame([("a_20180101_1200__20190203_0405_x.tif",)], "fn string").select(T.datetimes_in_name(F.col("fn")).alias("d")).first().d
+    assert two == [dt.datetime(2018, 1, 1, 12), dt.datetime(2019, 2, 3, 4, 5)]
+
+
+def test_t_limit_beyond_the_table(spark):
+    df = spark.createDataFrame([(float(n),) for n in (1, 5, 30, 31, 60, 120, 100_000)], "n double")
+    got = [r.t for r in df.select(stack.t_limit(F.col("n")).alias("t")).collect()]
+    assert np.allclose(got, [12.7062, 2.57058, 2.04227, 2.03951, 2.00030, 1.97993, 1.95999], atol=2e-5)
+
+
+def test_warp_between_reference_systems(spark):
+    src = warp.Grid(60, 60, (480000.0, 1000.0, 0.0, 5240000.0, 0.0, -1000.0), "EPSG:32610")
+    cells = spark.range(3600).select((F.col("id") / 60).cast("int").alias("r"), (F.col("id") % 60).cast("int").alias("c"))
+    # the value is the cell's longitude, so it must be the longitude of where it lands
+    x, y = geo.pixel_to_map(list(src.gt), F.col("c"), F.col("r"))
+    lon, lat = geo.transform("EPSG:32610", "EPSG:4326")(x, y)
+    cells = cells.select("r", "c", lon.alias("v"))
+    utm11 = warp.Grid(50, 50, (20000.0, 1000.0, 0.0, 5240000.0, 0.0, -1000.0), "EPSG:32611")
+    flat = spark.range(2500).select((F.col("id") / 50).cast("int").alias("r"), (F.col("id") % 50).cast("int").alias("c"), F.lit(1.0).alias("v"))
+    (a, b), grid_ = warp.warp_multi([(cells, src), (flat, utm11)], extent="union", srs="EPSG:4326", algorithm="bilinear")
+    assert grid_.srs == "EPSG:4326" and -124 < grid_.gt[0] < -120 and 46 < grid_.gt[3] < 48
+    got = a.withColumn("want", F.lit(grid_.gt[0]) + (F.col("c") + 0.5) * grid_.gt[1])
+    off = got.agg(F.count("*"), F.max(F.abs(F.col("v") - F.col("want"))), F.avg(F.abs(F.col("v") - F.col("want")))).first()
+    assert off[0] > 1000 and off[1] < 0.0135 and off[2] < 0.0005  # at the border a source cell's width, 1,000 m
+    assert b.count() > 500
+    with pytest.raises(ValueError, match="transformation"):
+        warp.warp(flat, warp.Grid(5, 5, (0, 1, 0, 5, 0, -1), "EPSG:2193"), grid_)
+
+
+def test_plane_residuals(spark):
+    p = spark.createDataFrame([(float(i % 10), float(i // 10), 2.0 * (i % 10) - (i // 10) + 5 + (1000.0 if i == 7 else 0.0)) for i in range(100)], "x double, y double, z double")
+    out = points.plane_residuals(p, points.plane_fit(p))
+    assert out.where("abs(residual) > 1e-6").count() == 1 and out.count() == 100
 
 
 def test_time_round_trips(spark):
