@@ -53,6 +53,8 @@ from pyspark.sql import functions as F
 from gridloom.llm._common import delete_path, drop_written, fresh_path, release, shuffle_partitions, written
 
 WINDOW = 13
+#: Parts of the verification; how many there are does not hang on the number of tasks.
+_STRETCH_PARTS = 4096
 #: Bits of a hash beyond those that number all windows.
 SPARE_BITS = 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -394,14 +396,13 @@ def _of_documents(rows: DataFrame, parts: int) -> DataFrame:
     return _by_key(rows, work, parts, _ASKED, batch)
 
 
-def candidates(docs: DataFrame, index: WindowIndex, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_windows: int = 1_000_000, most: int = 500_000) -> DataFrame:
-    """Candidates of one batch of documents and their holders (by document, written); adds the batch's run to the index.
+def candidates(docs: DataFrame, index: WindowIndex, parts: int, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_windows: int = 1_000_000, most: int = 500_000) -> DataFrame:
+    """Candidates of one batch of documents and their holders (by document, in ``parts`` parts, written); adds the batch's run to the index.
 
     The batch's ids must be larger than those the index has seen.
     """
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
-    parts = 4 * tasks
     entries = _entries(docs, id_col, text_col, index, window, chunk_windows, parts)
     history = index.history()
     buckets = index.buckets
@@ -493,10 +494,47 @@ def _compared(texts: list[bytes], docs: np.ndarray, repeat: np.ndarray, window:
     return [(int(docs[of[k]]), b" ".join(words[at[k] : at[k] + window])) for k in false]
 
 
-def false_candidates(tagged: DataFrame, window: int, bits: int, flush_bytes: int = 24 << 20) -> DataFrame:
-    """``doc, words`` of candidates that no earlier document confirms, from rows ``doc, _text, _sets``."""
-    tasks = shuffle_partitions(tagged.sparkSession)
-    parts = 8 * tasks
+def _runs(flags: np.ndarray) -> list[int]:
+    """Where true stretches start and end, flat."""
+    edge = np.r_[False, flags, False]
+    return np.flatnonzero(edge[1:] != edge[:-1]).tolist()
+
+
+def _marked(joined: DataFrame, window: int, bits: int) -> DataFrame:
+    """``_hits`` and ``_held``: runs of windows of each text that are candidates, or held for others, in place of ``_sets``."""
+    names = [c for c in joined.columns if c != "_sets"]
+    rows = joined.select(*names, "_sets")
+    schema = rows.select(*names, F.lit(None).cast("array<int>").alias("_hits"), F.lit(None).cast("array<int>").alias("_held")).schema
+    text_at = names.index("_text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = pa.list_(pa.int32())
+        for batch in batches:
+            hits, held = [], []
+            for text, sets in zip(batch.column(text_at), batch.column(len(names))):
+                sets = sets.as_py()
+                h = window_hashes(word_hashes(text.as_py()), window, bits) if sets else ()
+                if not len(h):
+                    hits.append(None)
+                    held.append(None)
+                    continue
+                hits.append(_runs(_among(h, _united(sets, "n", "repeats"))))
+                held.append(_runs(_among(h, _united(sets, "n_held", "held"))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(hits, runs), pa.array(held, runs)], names=[*names, "_hits", "_held"])
+
+    return rows.mapInArrow(mark, schema)
+
+
+def _flags(n: int, runs: list[int] | None) -> np.ndarray:
+    out = np.zeros(n, bool)
+    for a, b in zip((runs or ())[::2], (runs or ())[1::2]):
+        out[a:b] = True
+    return out
+
+
+def false_candidates(marked: DataFrame, window: int, flush_bytes: int = 24 << 20) -> DataFrame:
+    """``doc, words`` of candidates that no earlier document confirms, from rows ``doc, _text, _hits, _held``."""
+    tasks = shuffle_partitions(marked.sparkSession)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[tuple[int, bool, bytes], int] = {}
@@ -516,28 +554,25 @@ def false_candidates(tagged: DataFrame, window: int, bits: int, flush_bytes: int
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 500], pa.int32()), pa.array([pack(b"\n".join(t for t, _, _ in x)) for x in own], pa.binary()), pa.array([[d for _, d, _ in x] for x in own], pa.list_(pa.int64())), pa.array([[r for _, _, r in x] for x in own], pa.list_(pa.bool_()))], names=["part", "texts", "docs", "repeat"])
 
         for batch in batches:
-            for doc, text, sets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                text, sets = text.as_py(), sets.as_py()
-                hashed = word_hashes(text)
-                h = window_hashes(hashed, window, bits)
-                if not len(h):
-                    continue
-                repeat = _among(h, _united(sets, "n", "repeats"))
-                asked = np.flatnonzero(repeat | _among(h, _united(sets, "n_held", "held")))
-                if not len(asked):
-                    continue
-                gram, repeat = _least_grams(hashed, window)[asked], repeat[asked]
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                cut = np.flatnonzero((np.diff(asked) != 1) | (gram[1:] != gram[:-1]) | (repeat[1:] != repeat[:-1])) + 1
-                part = (gram % np.uint64(parts)).astype(np.int64)
-                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(asked)]):
-                    key = (int(part[a]), bool(repeat[a]), b" ".join(words[asked[a] : asked[b - 1] + window]))
-                    before = least.get(key)
-                    if before is None:
-                        least[key] = doc
-                        size += len(key[2]) + 200
-                    elif doc < before:
-                        least[key] = doc
+            for doc, text, hits, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                n = len(words) - window + 1
+                repeat = _flags(n, hits)
+                asked = _runs(repeat | _flags(n, held))
+                for a, b in zip(asked[::2], asked[1::2]):
+                    own = words[a : b + window - 1]
+                    gram = _least_grams(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), window)
+                    kind = repeat[a:b]
+                    cut = (np.flatnonzero((gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist()
+                    part = (gram % np.uint64(_STRETCH_PARTS)).tolist()
+                    for x, y in zip([0, *cut], [*cut, b - a]):
+                        key = (part[x], bool(kind[x]), b" ".join(own[x : y - 1 + window]))
+                        before = least.get(key)
+                        if before is None:
+                            least[key] = doc
+                            size += len(key[2]) + 200
+                        elif doc < before:
+                            least[key] = doc
                 if size >= flush_bytes:
                     yield from flush()
         yield from flush()
@@ -566,7 +601,7 @@ def false_candidates(tagged: DataFrame, window: int, bits: int, flush_bytes: int
         if texts:
             yield out()
 
-    base = tagged.where("_sets is not null").select("doc", "_text", "_sets")
+    base = marked.where("size(_hits) > 0 or size(_held) > 0").select("doc", "_text", "_hits", "_held")
     dealt = base.mapInArrow(stretches, "part int, texts binary, docs array<long>, repeat array<boolean>")
     return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(compare, "doc long, words binary")
 
@@ -577,34 +612,32 @@ def _tagged(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, keep:
     return base.join(sets, "doc", how)
 
 
-def _cut(tagged: DataFrame, false: DataFrame | None, window: int, bits: int) -> DataFrame:
-    """``_id, _row, _text, _n, _removed, _spans, _kept`` of each row of ``tagged``."""
+def _cut(marked: DataFrame, false: DataFrame | None, window: int) -> DataFrame:
+    """``_id, _row, _text, _n, _removed, _spans, _kept`` of each row of ``marked``."""
     if false is None:
-        rows = tagged.withColumn("_false", F.lit(None).cast("array<binary>"))
+        rows = marked.withColumn("_false", F.lit(None).cast("array<binary>"))
     else:
-        rows = tagged.join(false.groupBy("doc").agg(F.collect_set("words").alias("_false")), "doc", "left")
-    rows = rows.select("_id", "_row", "_text", "_sets", "_false")
+        rows = marked.join(false.groupBy("doc").agg(F.collect_set("words").alias("_false")), "doc", "left")
+    rows = rows.select("_id", "_row", "_text", "_hits", "_false")
     out_schema = rows.select("_id", "_row", "_text", F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_removed"), F.array().cast("array<int>").alias("_spans"), F.col("_text").alias("_kept")).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, spans, texts = [], [], [], []
-            for text, sets, false in zip(batch.column(2), batch.column(3), batch.column(4)):
-                text, sets, false = text.as_py(), sets.as_py(), false.as_py()
+            for text, hits, false in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4)):
+                text, false = text.as_py(), false.as_py()
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 counts.append(len(words))
                 own: list[int] = []
-                repeats = _united(sets, "n", "repeats") if sets else ()
-                if len(repeats) and len(words) >= window:
-                    hit = _among(window_hashes(word_hashes(text), window, bits), repeats)
+                if hits:
+                    hit = _flags(len(words) - window + 1, hits)
                     for k in np.flatnonzero(hit).tolist() if false else ():
                         if b" ".join(words[k : k + window]) in false:
                             hit[k] = False
                     edge = np.zeros(len(words) + 1, np.int32)
                     edge[: len(hit)] += hit
                     edge[window : window + len(hit)] -= hit
-                    gone = np.r_[False, np.cumsum(edge[:-1]) > 0, False]
-                    own = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+                    own = _runs(np.cumsum(edge[:-1]) > 0)
                     left, at = [], 0
                     for a, b in zip(own[::2], own[1::2]):
                         left += words[at:a]
@@ -624,7 +657,9 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, window: int, batc
     quantiles = [i / batches for i in range(1, batches)]
     r = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes"), F.min(key).alias("least"), F.max(key).alias("most"), F.percentile_approx(key, F.array(*map(F.lit, quantiles)), 10_000).alias("cuts") if quantiles else F.lit(None).alias("cuts")).first()
     windows = (r["bytes"] or 0) // 6 + 1
-    buckets = min(1 << max(2 * shuffle_partitions(spark) - 1, windows // bucket_windows).bit_length(), 1 << 20)
+    # by the size of the data alone: a chunk makes a row for each, however many tasks there are
+    buckets = min(1 << max(15, windows // bucket_windows).bit_length(), 1 << 20)
+    parts = min(1 << max(15, windows // bucket_windows // 2).bit_length(), 1 << 16)
     bits = max(40, min(63, windows.bit_length() + SPARE_BITS))
     index = WindowIndex(spark, index_path or fresh_path(spark, "windows"), bits, buckets, fanout)
     before = index.largest_id()
@@ -641,7 +676,7 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, window: int, batc
             part = part.where(key > low)
         if high is not None:
             part = part.where(key <= high)
-        asked.append(candidates(part, index, id_col, text_col, window))
+        asked.append(candidates(part, index, parts, id_col, text_col, window))
         release(spark)  # the batch's shuffle files; its plans are out of reach by now
     bits = index.bits
     if index_path:
@@ -650,17 +685,19 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, window: int, batc
     else:
         delete_path(spark, index.path)
     sets = _sets(asked)
-    tagged = written(_tagged(docs, sets, id_col, text_col, keep), "tagged")
-    rows = tagged.select("doc", "_text", "_sets")
+    marked = written(_marked(_tagged(docs, sets, id_col, text_col, keep), window, bits), "marked")
+    names = ["doc", "_text", "_hits", "_held"]
+    rows = marked.select(names)
     if history is not None:
-        rows = rows.unionByName(_tagged(history, sets, id_col, text_col, [], "inner").select("doc", "_text", "_sets"))
-    false = written(false_candidates(rows, window, bits), "false")
+        rows = rows.unionByName(_marked(_tagged(history, sets, id_col, text_col, [], "inner"), window, bits).select(names))
+    release(spark)
+    false = written(false_candidates(rows, window), "false")
     for a in asked:
         drop_written(a)
-    return _cut(tagged, false if false.head(1) else None, window, bits)
+    return _cut(marked, false if false.head(1) else None, window)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = 4, index_path: str | None = None, history: DataFrame | None = None, bucket_windows: int = 2_000_000, fanout: int = 3, keep: list[str] | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = 4, index_path: str | None = None, history: DataFrame | None = None, bucket_windows: int = 400_000, fanout: int = 3, keep: list[str] | None = None) -> DataFrame:
     """A whole table, as ``batches`` ranges of ascending ids over one index.
 
     Returns ``id, n_words, n_removed, spans, kept_text`` and, if any are given,
@@ -681,7 +718,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     ``size_col`` is set to the characters of a text that was cut.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    found = _deduplicated(docs, id_col, text_col, window, batches, None, None, 2_000_000, 3, others).where("not (_removed > 0 and _removed = _n)")
+    found = _deduplicated(docs, id_col, text_col, window, batches, None, None, 400_000, 3, others).where("not (_removed > 0 and _removed = _n)")
 
     def value(c: str):
         if c == id_col:
