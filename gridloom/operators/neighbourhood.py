@@ -1,8 +1,9 @@
 """Neighbourhood filters.  Sparse tables of cells in, holes inside reach filled unless told otherwise.
 
-Separable kernels take two Window passes over sorted rows and columns (no
-copies of cells); rank filters scatter each cell to the cells it serves, whose
-number is the window's area.
+Windows and kernels work on tiles with a border (:mod:`gridloom.operators.tiles`),
+so cells are shuffled about once however large the window is; a box mean is two
+range windows.  Only a statistic that is not known there, an aggregate of the
+caller's own, scatters each cell to the cells it serves.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import tiles
+
 
 def _offsets(radius: int, circular: bool) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if not circular or i * i + j * j <= radius * radius]
@@ -40,7 +43,10 @@ def rolling(cells: DataFrame, stat=F.median, size: int = 3, circular: bool = Fal
     within ``shape`` (rows, columns).
     """
     rad = size // 2
-    served = scatter(cells, _offsets(rad, circular and size > 3), keys)
+    offsets = _offsets(rad, circular and size > 3)
+    if stat in tiles.WINDOW_STATS and rad < tiles.SIZE:
+        return tiles.by_tile(cells, rad, tiles.windows_of(stat, offsets, rad), keep_mask, shape, keys)
+    served = scatter(cells, offsets, keys)
     if shape:
         served = served.where(F.col("r").between(0, shape[0] - 1) & F.col("c").between(0, shape[1] - 1))
     out = served.groupBy(*keys, "r", "c").agg(stat("v").alias("v"))
@@ -77,31 +83,12 @@ def sigma_of(size: int) -> float:
     return (max(3, size | 1) - 1) / 6
 
 
-def _convolve_line(df: DataFrame, kernel: list[float], keys: Sequence[str], fixed: str, along: str) -> DataFrame:
-    """Weighted sums of ``_s`` and ``_w`` along one axis, at all places in reach."""
-    half = len(kernel) // 2
-    taps = F.array(*[F.struct(F.lit(o - half).alias("o"), F.lit(k).alias("k")) for o, k in enumerate(kernel)])
-    out = df.select(*keys, "r", "c", "_s", "_w", F.explode(taps).alias("t"))
-    out = out.select(*keys, fixed, (F.col(along) + F.col("t.o")).alias(along), (F.col("_s") * F.col("t.k")).alias("_s"), (F.col("_w") * F.col("t.k")).alias("_w"))
-    return out.groupBy(*keys, "r", "c").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w"))
-
-
 def gaussian(cells: DataFrame, sigma: float | None = None, size: int | None = None, keep_mask: bool = True, shape: tuple[int, int] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Nodata-aware Gaussian: weights of missing cells are shared among valid ones; separable, 3 sigma each side."""
     if sigma is None:
         sigma = sigma_of(size) if size else 1.0
     kernel = gauss_kernel(sigma, (size | 1) if size else None)
-    start = cells.where("v is not null").select(*keys, "r", "c", F.col("v").alias("_s"), F.lit(1.0).alias("_w"))
-    out = _convolve_line(start, kernel, keys, "r", "c")
-    if shape:
-        out = out.where(F.col("c").between(0, shape[1] - 1))
-    out = _convolve_line(out, kernel, keys, "c", "r")
-    if shape:
-        out = out.where(F.col("r").between(0, shape[0] - 1))
-    out = out.select(*keys, "r", "c", (F.col("_s") / F.col("_w")).alias("v"))
-    if keep_mask:
-        out = out.join(cells.where("v is not null").select(*keys, "r", "c"), [*keys, "r", "c"], "left_semi")
-    return out
+    return tiles.by_tile(cells, len(kernel) // 2, tiles.gaussian_of(kernel), keep_mask, shape, keys)
 
 
 def gaussian_fill(cells: DataFrame, sigma: float = 1.0, shape: tuple[int, int] | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -146,6 +133,10 @@ def block_view(cells: DataFrame, h: int, w: int, stat=F.avg, keys: Sequence[str]
 def sliding(cells: DataFrame, h: int, w: int, step: int = 1, stat=F.avg, keys: Sequence[str] = ()) -> DataFrame:
     """``stat`` of full windows whose upper-left cell is a multiple of ``step``."""
     off = [(i, j) for i in range(h) for j in range(w)]
+    if stat in tiles.WINDOW_STATS and max(h, w) <= tiles.SIZE:
+        halo = max(h, w) - 1
+        full = tiles.by_tile(cells, halo, tiles.windows_of(stat, off, halo, whole=True), keep_mask=False, keys=keys)
+        return full.where((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") % step == 0) & (F.col("c") % step == 0))
     got = cells.select(*keys, "r", "c", "v", F.explode(_pairs(off)).alias("o")).select(*keys, (F.col("r") - F.col("o.i")).alias("r"), (F.col("c") - F.col("o.j")).alias("c"), "v").where((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") % step == 0) & (F.col("c") % step == 0))
     return got.groupBy(*keys, "r", "c").agg(F.count("*").alias("_n"), stat("v").alias("v")).where(F.col("_n") == h * w).drop("_n")
 

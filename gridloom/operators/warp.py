@@ -6,12 +6,15 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import apply_gt, map_to_pixel
 from gridloom.functions.geo import transform as move
 from gridloom.model import lattice
+from gridloom.operators import tiles
 
 ALGORITHMS = {"near": 1, "nearest": 1, "bilinear": 2, "cubic": 4, "cubicspline": 4, "lanczos": 6, "average": 0, "mode": 0}
 
@@ -78,16 +81,15 @@ def same_grid(a: Grid, b: Grid, step: float = 1e-3) -> bool:
     return a.srs == b.srs and near(a.res, b.res) and all(map(near, a.extent, b.extent))
 
 
-def _weight(d: Column, algorithm: str) -> Column:
-    a = F.abs(d)
+def _weights(d: np.ndarray, algorithm: str) -> np.ndarray:
+    a = np.abs(d)
     if algorithm == "bilinear":
-        return F.greatest(1 - a, F.lit(0.0))
+        return np.maximum(1 - a, 0.0)
     if algorithm == "lanczos":
-        pi = 3.141592653589793
-        return F.when(a < 1e-12, 1.0).when(a < 3, 3 * F.sin(pi * a) * F.sin(pi * a / 3) / (pi * pi * a * a)).otherwise(0.0)
+        return np.where(a < 3, np.sinc(a) * np.sinc(a / 3), 0.0)
     if algorithm == "cubicspline":
-        return F.when(a < 1, 2 / 3 - a * a + a * a * a / 2).when(a < 2, (2 - a) ** 3 / 6).otherwise(0.0)
-    return F.when(a < 1, 1.5 * a**3 - 2.5 * a**2 + 1).when(a < 2, -0.5 * a**3 + 2.5 * a**2 - 4 * a + 2).otherwise(0.0)
+        return np.where(a < 1, 2 / 3 - a * a + a**3 / 2, np.where(a < 2, (2 - a) ** 3 / 6, 0.0))
+    return np.where(a < 1, 1.5 * a**3 - 2.5 * a**2 + 1, np.where(a < 2, -0.5 * a**3 + 2.5 * a**2 - 4 * a + 2, 0.0))
 
 
 def warp(cells: DataFrame, src: Grid, dst: Grid, algorithm: str = "cubic", transform: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
@@ -125,12 +127,37 @@ def warp(cells: DataFrame, src: Grid, dst: Grid, algorithm: str = "cubic", trans
     if taps == 1:
         near = at.select("r", "c", F.rint("_y").cast("int").alias("_r"), F.rint("_x").cast("int").alias("_c"))
         return near.join(s, ["_r", "_c"]).select("r", "c", "v")
-    half = taps // 2
-    span = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(1 - half, half + 1) for j in range(1 - half, half + 1)])
-    keyed = at.select("r", "c", "_x", "_y", F.explode(span).alias("o")).select("r", "c", "_x", "_y", (F.floor("_y") + F.col("o.i")).cast("int").alias("_r"), (F.floor("_x") + F.col("o.j")).cast("int").alias("_c"))
-    w = _weight(F.col("_x") - F.col("_c"), algorithm) * _weight(F.col("_y") - F.col("_r"), algorithm)
-    got = keyed.withColumn("_w", w).where("_w <> 0").join(s, ["_r", "_c"])
-    return got.groupBy("r", "c").agg((F.sum(F.col("_w") * F.col("v")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("v"))
+    # a destination cell goes to the tile of the source cell before it, a source cell to its tile and those it borders
+    half, size = taps // 2, tiles.SIZE
+    ty, tx = F.floor("_y").cast("int"), F.floor("_x").cast("int")
+    reach = at.where((ty >= -half) & (ty < src.nrows + half) & (tx >= -half) & (tx < src.ncols + half))
+    asked = reach.select(F.floor(ty / size).cast("int").alias("tr"), F.floor(tx / size).cast("int").alias("tc"), "r", "c", "_y", "_x")
+    held = tiles.spread(cells.where("v is not null"), half, (), size)
+
+    def gather(wanted: pa.Table, given: pa.Table) -> pa.Table:
+        r, c = wanted.column("r").to_numpy(), wanted.column("c").to_numpy()
+        out = np.full(len(r), np.nan)
+        if given.num_rows and len(r):
+            tr, tc = given.column("tr")[0].as_py(), given.column("tc")[0].as_py()
+            v, _ = tiles.dense(given, tr, tc, half, size)
+            y, x = wanted.column("_y").to_numpy() - (tr * size - half), wanted.column("_x").to_numpy() - (tc * size - half)
+            i, j = np.floor(y).astype(int), np.floor(x).astype(int)
+            s, w = np.zeros(len(r)), np.zeros(len(r))
+            for di in range(1 - half, half + 1):
+                wi = _weights(y - (i + di), algorithm)
+                for dj in range(1 - half, half + 1):
+                    own = v[i + di, j + dj]
+                    k = np.where(np.isnan(own), 0.0, wi * _weights(x - (j + dj), algorithm))
+                    s += k * np.where(np.isnan(own), 0.0, own)
+                    w += k
+                    some = k != 0
+                    out[some] = 0.0  # a weight that counts
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out = np.where(np.isnan(out) | (w == 0), np.nan, s / w)
+        keep = ~np.isnan(out)
+        return pa.table({"r": pa.array(r[keep]), "c": pa.array(c[keep]), "v": pa.array(out[keep])})
+
+    return asked.groupBy("tr", "tc").cogroup(held.groupBy("tr", "tc")).applyInArrow(gather, "r int, c int, v double")
 
 
 def reprojected(spark: SparkSession, grid: Grid, srs: str, along: int = 20) -> Grid:
