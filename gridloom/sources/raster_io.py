@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -69,118 +66,6 @@ def features_to_dicts(features: DataFrame) -> DataFrame:
     return features.select(F.create_map(*[x for c, v in zip(features.columns, cols) for x in (F.lit(c), v)]).alias("fields"))
 
 
-# --- a minimal GeoTIFF source ---------------------------------------------------
-
-_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8, 16: 8}
-_CODES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
-
-
-def parse_tiff(data: bytes) -> dict:
-    """Tags of the first image of a classic TIFF."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("not a classic TIFF")
-    at = struct.unpack(order + "I", data[4:8])[0]
-    n = struct.unpack_from(order + "H", data, at)[0]
-    tags: dict = {"order": order}
-    for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        size = _SIZES.get(kind, 1) * count
-        place = at + 2 + 12 * i + 8
-        if size > 4:
-            place = struct.unpack_from(order + "I", data, place)[0]
-        if kind == 2:
-            tags[tag] = data[place : place + count].rstrip(b"\0").decode("latin-1")
-        elif kind in _CODES:
-            tags[tag] = list(struct.unpack_from(f"{order}{count}{_CODES[kind]}", data, place))
-    return tags
-
-
-def tiff_cells(data: bytes) -> tuple[dict, Iterator[tuple[int, int, float | None]]]:
-    """Metadata and cells of an uncompressed, single-band, striped or tiled TIFF; nodata and NaN are None."""
-    import numpy as np
-
-    t = parse_tiff(data)
-    one = lambda tag, d=None: t[tag][0] if tag in t else d
-    if one(259, 1) != 1 or one(277, 1) != 1:
-        raise ValueError("only uncompressed single-band images can be read")
-    ncols, nrows = one(256), one(257)
-    kind = {1: "u", 2: "i", 3: "f"}[one(339, 1)]
-    dtype = np.dtype(f"{t['order']}{kind}{one(258, 8) // 8}")
-    grid = np.zeros((nrows, ncols), dtype)
-    if 322 in t:
-        tw, th = one(322), one(323)
-        across = -(-ncols // tw)
-        for k, place in enumerate(t[324]):
-            tile = np.frombuffer(data, dtype, tw * th, place).reshape(th, tw)
-            r, c = k // across * th, k % across * tw
-            part = grid[r : r + th, c : c + tw]
-            part[:] = tile[: part.shape[0], : part.shape[1]]
-    else:
-        per = one(278, nrows)
-        for k, place in enumerate(t[273]):
-            rows = min(per, nrows - k * per)
-            grid[k * per : k * per + rows] = np.frombuffer(data, dtype, rows * ncols, place).reshape(rows, ncols)
-    scale, tie = t.get(33550), t.get(33922)
-    gt = [tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1]] if scale and tie else [0.0, 1.0, 0.0, 0.0, 0.0, -1.0]
-    text = t.get(42113, "").strip()
-    ndv = float(text) if text else None
-    meta = {"nrows": nrows, "ncols": ncols, "gt": gt, "ndv": ndv, "dtype": dtype.name}
-
-    def cells() -> Iterator[tuple[int, int, float | None]]:
-        for r in range(nrows):
-            row = grid[r].astype(np.float64)
-            bad = ~np.isfinite(row)
-            if ndv is not None:
-                bad |= np.abs(row - ndv) <= 1e-8 + 1e-5 * abs(ndv)
-            for c in range(ncols):
-                yield r, c, None if bad[c] else float(row[c])
-
-    return meta, cells()
-
-
-def make_tiff(rows: list[list[float | None]], gt: list[float], ndv: float = -9999.0) -> bytes:
-    """An uncompressed Float64 GeoTIFF with one strip."""
-    import numpy as np
-
-    a = np.array([[ndv if v is None else v for v in row] for row in rows], "<f8")
-    text = f"{ndv:g}".encode() + b"\0"
-    entries = [(256, 4, [a.shape[1]]), (257, 4, [a.shape[0]]), (258, 3, [64]), (259, 3, [1]), (262, 3, [1]), (273, 4, None), (277, 3, [1]), (278, 4, [a.shape[0]]), (279, 4, [a.nbytes]), (339, 3, [3]), (33550, 12, [gt[1], -gt[5], 0.0]), (33922, 12, [0.0, 0.0, 0.0, gt[0], gt[3], 0.0]), (42113, 2, text)]
-    head = 8 + 2 + 12 * len(entries) + 4
-    extra, fields = b"", []
-    values: list[tuple[int, int, int, bytes]] = []
-    for tag, kind, v in entries:
-        raw = b"" if v is None else v if isinstance(v, bytes) else struct.pack(f"<{len(v)}{_CODES[kind]}", *v)
-        values.append((tag, kind, 1 if v is None else len(v), raw))
-    extra_size = sum(len(raw) + len(raw) % 2 for _, _, _, raw in values if len(raw) > 4)
-    for tag, kind, count, raw in values:
-        if tag == 273:
-            raw = struct.pack("<I", head + extra_size)
-        if len(raw) > 4:
-            field = struct.pack("<I", head + len(extra))
-            extra += raw + b"\0" * (len(raw) % 2)
-        else:
-            field = raw.ljust(4, b"\0")
-        fields.append(struct.pack("<HHI", tag, kind, count) + field)
-    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(fields)) + b"".join(fields) + b"\0\0\0\0" + extra + a.tobytes()
-
-
-def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
-    """``path, r, c, v`` of GeoTIFF files on any file system; a task reads whole files."""
-
-    def read(batches):
-        import pandas as pd
-
-        for frame in batches:
-            for p, content in zip(frame["path"], frame["content"]):
-                _, cells = tiff_cells(content)
-                out = pd.DataFrame(cells, columns=["r", "c", "v"])
-                out.insert(0, "path", p)
-                yield out
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, r int, c int, v double")
-
-
 class LatticeSource(DataSource):
     """``spark.read.format("lattice")``: empty grids of ``nrows`` by ``ncols``, a partition for each band of rows."""
 
@@ -204,10 +89,15 @@ class _LatticeReader(DataSourceReader):
         return [InputPartition((a, min(a + step, self.nrows))) for a in range(0, self.nrows, step)]
 
     def read(self, partition):
+        import numpy as np
+        import pyarrow as pa
+
         a, b = partition.value
-        for r in range(a, b):
-            for c in range(self.ncols):
-                yield r, c, None
+        step = max(1, 100_000 // max(1, self.ncols))
+        for r in range(a, b, step):
+            rows = np.arange(r, min(b, r + step), dtype=np.int32)
+            n = len(rows) * self.ncols
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, self.ncols)), pa.array(np.tile(np.arange(self.ncols, dtype=np.int32), len(rows))), pa.nulls(n, pa.float64())], names=["r", "c", "v"])
 
 
 def register(spark: SparkSession) -> None:

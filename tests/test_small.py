@@ -247,12 +247,6 @@ def test_trend_drops_an_outlier(spark):
 
 
 def test_storage(spark, tmp_path):
-    a = [[1.0, None], [3.5, 4.0]]
-    (tmp_path / "a.tif").write_bytes(raster_io.make_tiff(a, [10.0, 2.0, 0.0, 20.0, 0.0, -2.0]))
-    meta, _ = raster_io.tiff_cells((tmp_path / "a.tif").read_bytes())
-    assert meta["gt"] == [10.0, 2.0, 0.0, 20.0, 0.0, -2.0] and meta["ndv"] == -9999
-    got = raster_io.read_geotiff(spark, str(tmp_path / "a.tif"))
-    assert sorted((r.r, r.c, r.v) for r in got.where("v is not null").collect()) == [(0, 0, 1.0), (1, 0, 3.5), (1, 1, 4.0)]
     raster_io.register(spark)
     assert spark.read.format("lattice").option("nrows", 3).option("ncols", 2).load().count() == 6
     cells = spark.createDataFrame([(0, 0, 0, 1.0), (1, 0, 0, 3.0)], "layer int, r int, c int, v double")
