@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import pixel_to_map
+from gridloom.functions.geo import transform as move
 from gridloom.model import lattice
 
 
@@ -58,6 +61,56 @@ def clip_by_polygons(cells: DataFrame, vertices: DataFrame, nrows: int, ncols: i
     return cells.join(inside, ["r", "c"], "left_anti" if invert else "left_semi")
 
 
+def crop(cells: DataFrame, vertices: DataFrame, gt: list[float], pad: float = 0.0) -> DataFrame:
+    """Cells whose centres are in the extent of all vertices, widened by ``pad``; rows and columns stay as they are."""
+    e = vertices.agg(*[(f(a) + s * pad).alias(f"_{n}{a}") for a in ("x", "y") for n, f, s in (("lo", F.min, -1), ("hi", F.max, 1))])
+    x, y = pixel_to_map(gt, F.col("c"), F.col("r"))
+    return cells.crossJoin(F.broadcast(e)).where(x.between(F.col("_lox"), F.col("_hix")) & y.between(F.col("_loy"), F.col("_hiy"))).select(cells.columns)
+
+
+def reproject(vertices: DataFrame, source: str, target: str) -> DataFrame:
+    """Vertices in another reference system; other columns stay."""
+    x, y = move(source, target)(F.col("x"), F.col("y"))
+    return vertices.withColumns({"x": x, "y": y})
+
+
+def simplify(vertices: DataFrame, tolerance: float, keys: tuple[str, ...] = ("fid", "ring")) -> DataFrame:
+    """Each line without the vertices that lie within ``tolerance`` of the line through those kept (Douglas and Peucker); ends stay.
+
+    A line is one group: its vertices meet in one task.
+    """
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        p = np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], axis=1)
+        keep = np.zeros(len(p), bool)
+        keep[[0, -1]] = True
+        todo = [(0, len(p) - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < 2:
+                continue
+            d, q = p[b] - p[a], p[a + 1 : b] - p[a]
+            length = np.hypot(*d)
+            far = np.abs(d[0] * q[:, 1] - d[1] * q[:, 0]) / length if length else np.hypot(q[:, 0], q[:, 1])
+            k = int(far.argmax())
+            if far[k] > tolerance:
+                keep[a + 1 + k] = True
+                todo += [(a, a + 1 + k), (a + 1 + k, b)]
+        return table.filter(pa.array(keep))
+
+    return vertices.groupBy(*keys).applyInArrow(one, vertices.schema)
+
+
+def profile(cells: DataFrame, line: DataFrame, gt: list[float], step: float, key: str = "fid") -> DataFrame:
+    """``key, d, x, y, v``: bilinear values each ``step`` along a polyline."""
+    from gridloom.operators.points import bilinear
+
+    at = line_points(line, step, key)
+    found = bilinear(cells, at.select(F.struct(key, "d", "x", "y").alias("pid"), "x", "y"), gt)
+    return found.select("pid.*", "v")
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Pairs of points and closed boxes that hold them; equi-joined on grid buckets of ``size``."""
     b = lambda v: F.floor(v / size)

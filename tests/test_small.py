@@ -282,6 +282,43 @@ def test_streams(spark, tmp_path):
     assert live.live_clusters(e, "10 minutes").count() == 2
 
 
+def test_features_as_json(spark, tmp_path):
+    from gridloom.sources import geojson
+
+    (tmp_path / "a.geojson").write_text('''{"type": "FeatureCollection", "features": [
+      {"type": "Feature", "properties": {"name": "p", "n": 3}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 0]], [[1, 0.5], [2, 0.5], [2, 1], [1, 0.5]]]}},
+      {"type": "Feature", "properties": {"name": "m"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]}},
+      {"type": "Feature", "properties": null, "geometry": {"type": "LineString", "coordinates": [[0, 0], [3, 4], [6, 4]]}},
+      {"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": [7, 8]}},
+      {"type": "Feature", "properties": {}, "geometry": null}]}''')
+    v = geojson.read_geojson(spark, str(tmp_path / "a.geojson"))
+    count = {(r.fid, r.kind, r.ring): r["count"] for r in v.groupBy("fid", "kind", "ring").count().collect()}
+    assert count == {(0, "Polygon", 0): 3, (0, "Polygon", 1): 3, (1, "MultiPolygon", 0): 3, (1, "MultiPolygon", 1): 3, (2, "LineString", 0): 3, (3, "Point", 0): 1}
+    assert v.where("fid = 0").first().properties == {"name": "p", "n": "3"}
+    polygons = v.where("fid < 2").withColumn("name", F.col("properties")["name"])
+    geojson.write_geojson(polygons, str(tmp_path / "out"), properties=["name"])
+    back = geojson.read_geojson(spark, str(tmp_path / "out/*.txt"))
+    of = lambda df, name: sorted((name(r), r.ring, r.idx, r.x, r.y) for r in df.collect())
+    assert of(back, lambda r: r.properties["name"]) == of(polygons, lambda r: r.name)
+    line = vector.line_points(v.where("fid = 2"), 1.0)
+    assert line.count() == 8
+    lonlat = vector.reproject(spark.createDataFrame([(1, 3.0, 45.0)], "fid int, x double, y double"), "EPSG:4326", "EPSG:32631").first()
+    assert (round(lonlat.x, 2), round(lonlat.y, 2)) == (500000.0, 4982950.4)
+
+
+def test_simplified_lines_profiles_and_crops(spark):
+    bent = [(0, 0, i, float(i), 0.05 * (i % 2) if i != 5 else 3.0) for i in range(11)]
+    got = vector.simplify(spark.createDataFrame(bent, "fid int, ring int, idx int, x double, y double"), 0.2)
+    assert sorted(r.idx for r in got.collect()) == [0, 4, 5, 6, 10]
+    cells = raster(spark, [[float(r + 10 * c) for c in range(10)] for r in range(10)])
+    gt = [0.0, 1.0, 0.0, 10.0, 0.0, -1.0]
+    along = spark.createDataFrame([(1, 0, 1.5, 5.5), (1, 1, 8.5, 5.5)], "fid int, idx int, x double, y double")
+    values = [r.v for r in vector.profile(cells, along, gt, 1.0).orderBy("d").collect()]
+    assert np.allclose(values, [4 + 10 * k for k in range(1, 1 + len(values))]) and len(values) >= 7
+    box = spark.createDataFrame([(1, 0, 0, 3.0, 3.0), (1, 0, 1, 5.0, 6.0)], "fid int, ring int, idx int, x double, y double")
+    assert vector.crop(cells, box, gt).count() == 6 and vector.crop(cells, box, gt, 1.0).count() == 20
+
+
 def test_command_line(spark, tmp_path):
     from gridloom import cli
 
@@ -290,3 +327,15 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["filter", cells, "-filt", "range", "-param", "0", "2", "--out", out]).where("v is not null").count() == 19
     assert cli.run(spark, ["proj_select", "--", "49", "-123"]).first().epsg == 32610
     assert cli.run(spark, ["warp", cells, "-src", "5,5,0,5,1", "-dst", "5,5,0,5,1", "-r", "near", "--out", out + "2"]).count() == 19
+    assert cli.run(spark, ["warp", cells, "-src", "5,5,0,5,1", "-tr", "2.5", "-r", "average", "--out", out + "3"]).count() == 4
+    assert "count" in cli.run(spark, ["filter", cells, "-filt", "mad", "-stats", "--out", out + "4"]).first().line
+    box = str(tmp_path / "box")
+    spark.createDataFrame([(1, 0, i, x, y) for i, (x, y) in enumerate([(1.0, 1.0), (3.0, 1.0), (3.0, 4.0), (1.0, 4.0)])], "fid int, ring int, idx int, x double, y double").write.parquet(box)
+    assert cli.run(spark, ["clip", cells, box, "-grid", "5,5,0,5,1", "-bbox", "--out", out + "5"]).count() == 6
+    from gridloom.sources import geotiff
+
+    geotiff.write_geotiff(raster(spark, RING), f"file://{tmp_path}/tif", 5, 5, [0.0, 1.0, 0.0, 5.0, 0.0, -1.0], "EPSG:32610", name=None)
+    geotiff.write_geotiff(raster(spark, RING), f"file://{tmp_path}/other", 5, 5, [7.0, 2.0, 0.0, 9.0, 0.0, -2.0], "EPSG:3413", name=None)
+    cli.run(spark, ["copyproj", str(tmp_path / "other/raster.tif"), str(tmp_path / "tif/raster.tif"), "--out", f"file://{tmp_path}/done"])
+    info = geotiff.geotiff_info(spark, str(tmp_path / "done/raster.tif")).first()
+    assert info.srs == "EPSG:3413" and info.gt == [7.0, 2.0, 0.0, 9.0, 0.0, -2.0]
