@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from gridloom.catalog import ORACLE, QUERIES
+from gridloom.operators import warp
 from gridloom.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.1"
@@ -46,8 +47,11 @@ def test_whole_tables(spark, duck, name):
         assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=0, atol=2e-4 if name.startswith("block") else 2e-8, equal_nan=True), c
 
 
-def test_cubic_reaches_the_last_row(spark):
-    assert QUERIES["warp_cubic"](spark, SF).agg({"r": "max"}).first()[0] == 2999
+@pytest.mark.parametrize("name", ["cubic", "lanczos"])
+def test_kernels_reach_the_last_row(spark, name):
+    src = warp.Grid(2000, 64, tuple(fx.GT), "EPSG:32610")
+    dst = warp.Grid(3000, 96, (fx.GT[0], 20.0, 0.0, fx.GT[3], 0.0, -20.0), "EPSG:32610")
+    assert warp.warp(fx.raster(spark, SF), src, dst, name).agg({"r": "max"}).first()[0] == 2999
 
 
 def test_enclosed_holes_of_all_rows(spark):
