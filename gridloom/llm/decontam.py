@@ -326,6 +326,22 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(scan(docs, benchmark)).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def oracle_sql() -> str:
+    """DuckDB SQL for :func:`query`."""
+    words = lambda x: f"regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with items as (select cast(item_id as varchar) as item, {words("text")} as w from benchmark where item_id is not null and text is not null),
+cut as (select item, w, least(len(w), {WINDOW}) as m from items where len(w) > 0),
+patterns as (select distinct item, m, array_to_string(w[i + 1 : i + m], ' ') as k from (select *, unnest(range(len(w) - m + 1)) as i from cut)),
+docs as (select row_number() over () as rid, doc_id, coalesce({words("text")}, []) as w from documents),
+windows as (select rid, i, m, array_to_string(w[i + 1 : i + m], ' ') as k from (select rid, w, m, unnest(range(len(w) - m + 1)) as i from docs, (select distinct m from patterns) where len(w) >= m)),
+hits as (select distinct rid, i, m, item from windows join patterns using (m, k)),
+covered as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + m)) as p from (select distinct rid, i, m from hits)) group by rid),
+found as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as list from (select distinct rid, item from hits) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+from docs left join covered using (rid) left join found using (rid)"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
     """Rows of the contract by looking every run of words up among all windows; for tests."""
     windows: dict[tuple, set] = {}

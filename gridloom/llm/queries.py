@@ -17,4 +17,8 @@ QUERIES = {
     "op10_quality_pu": quality.query,
 }
 
-ORACLE: dict[str, str] = {"op7_license_scan": license_scan.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op2_decontaminate": decontam.oracle_sql(),
+    "op3_substring_dedup": substring.oracle_sql(),
+    "op7_license_scan": license_scan.oracle_sql(),
+}

@@ -739,6 +739,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def oracle_sql() -> str:
+    """DuckDB SQL for :func:`query`."""
+    return f"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+windows as (select rid, doc_id, i, array_to_string(w[i + 1 : i + {WINDOW}], ' ') as k from (select *, unnest(range(len(w) - {WINDOW - 1})) as i from docs where len(w) >= {WINDOW} and doc_id is not null)),
+firsts as (select k, min(doc_id) as least from windows group by k),
+gone as (select distinct rid, i + o as p from windows join firsts using (k), (select unnest(range({WINDOW})) as o) where least < doc_id),
+kept as (select rid, count(*) as n, string_agg(x, ' ' order by p) as words from (select rid, unnest(w) as x, unnest(range(len(w))) as p from docs) anti join gone using (rid, p) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(words, '')) as kept_sha256
+from docs left join kept using (rid)"""
+
+
 def brute_force(rows: list[tuple], window: int = WINDOW) -> dict:
     """id -> (words, removed, kept text) by comparing whole windows; for tests, with distinct ids."""
     words = {i: (t or "").encode("utf-8", "surrogatepass").split() for i, t in rows}

@@ -308,6 +308,19 @@ def test_licenses_of_empty_tables_and_long_texts(spark, words):
         assert got == ({1: (None, "MIT"), None: ("MIT", "")} if registry is known else {1: (None, ""), None: (None, "")})
 
 
+@pytest.mark.parametrize("module", [decontam, substring])
+def test_whole_tables_match_sql(spark, sf, module):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = module.query(spark, sf)
+    want = con.execute(module.oracle_sql())
+    at = [[d[0] for d in want.description].index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 def test_license_sql(spark, sf):
     import duckdb
 
