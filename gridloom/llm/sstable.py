@@ -19,8 +19,8 @@ and runs again leaves no half-written shard; the names that count are the ones
 in the rows the tasks return (the manifest), which Spark takes from one
 successful attempt only.
 
-Defined cases: a null text is empty (one end id); a null key is written too, in
-a shard of its own that precedes all others; repeated keys stay, in any order
+Defined cases: a null text is empty (one end id); a null key is written
+too, before all others; repeated keys stay, in any order
 among themselves; an empty table makes no shards; only key and text columns
 are read.
 """
@@ -28,6 +28,7 @@ are read.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
 import zlib
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import fresh_path, shuffle_partitions
@@ -186,7 +187,7 @@ class ShardReader:
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
     fs.create_dir(path, recursive=True)
     attempt = f"{path}/_{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(attempt) as f:
@@ -235,34 +236,39 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return base.mapInArrow(write, "shard long, name string, entries long, ids long")
 
 
+def _starts(manifest: DataFrame) -> DataFrame:
+    """``name, first``: how many ids stand in the files before each; sums by task first, so that only tasks' totals meet."""
+    rows = manifest.select("shard", "name", "ids", F.shiftright("shard", 32).alias("task"))
+    totals = rows.groupBy("task").agg(F.sum("ids").alias("all"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("task", F.coalesce(F.sum("all").over(before(Window.orderBy("task"))), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("ids").over(before(Window.partitionBy("task").orderBy("shard"))), F.lit(0))
+    return rows.withColumn("own", own).join(offsets, "task").select("name", (F.col("base") + F.col("own")).alias("first"))
+
+
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """``id, start, n_tokens, ids_crc32`` of every document, read back from the files.
 
-    The manifest has a row for each file and is the only thing that goes to the driver.
+    Files that the manifest does not name, left by attempts that did not count,
+    are passed over.  What a file says of its documents, not the file, is joined
+    to the manifest's running sums.
     """
-    starts, total = {}, 0
-    for r in manifest.select("shard", "name", "ids").sort("shard").toLocalIterator():
-        starts[r.name] = total
-        total += r.ids
-    schema = "id long, start long, n_tokens long, ids_crc32 long"
-    if not starts:
-        return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast(starts)
+    if not manifest.head(1):
+        return spark.createDataFrame([], "id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("path", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                start = held.value.get(path.as_py().rsplit("/", 1)[-1])
-                if start is None:  # left by an attempt that did not count
-                    continue
-                rows = []
+                name, at, rows = path.as_py().rsplit("/", 1)[-1], 0, []
                 for key, ids in ShardReader(content.as_py()):
-                    rows.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["id", "start", "n_tokens", "ids_crc32"])
+                    rows.append((key, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    at += len(ids)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["name", "id", "at", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(read, schema)
+    found = files.mapInArrow(read, "name string, id long, at long, n_tokens long, ids_crc32 long")
+    return found.join(_starts(manifest), "name").select("id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

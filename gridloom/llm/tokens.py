@@ -5,7 +5,9 @@ concatenation of its pre-tokens' ids.  Every space that stands before anything
 but white space starts a pre-token, so texts are cut there, and ids of the
 pieces are kept in a bounded two-generation cache.  A piece that is not cached is split by
 the tokenizer's own pattern and each pre-token goes to the library's BPE model.
-Texts with an added token's string in them go to ``Tokenizer.encode`` whole.
+Texts with an added token's string in them go to ``Tokenizer.encode`` whole, and
+so do all texts if the tokenizer is of another kind: with a normaliser, another
+pre-tokenizer or pattern, or dropout.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import zlib
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 #: The pattern of the library's ByteLevel pre-tokenizer.
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -48,6 +50,9 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        split = self.tokenizer.pre_tokenizer
+        #: whether ids of pre-tokens can be put together
+        self.byte_level = isinstance(self.model, models.BPE) and not self.model.dropout and self.tokenizer.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space and split.use_regex and self.tokenizer.truncation is None and self.tokenizer.padding is None
         self.typecode = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.entries = entries
         #: ids of " " + key
@@ -95,7 +100,7 @@ class CachedEncoder:
         """The ids as bytes of unsigned 16-bit (or 32-bit, for large vocabularies) numbers."""
         if not text:
             return b""
-        for s in self.special:
+        for s in self.special if self.byte_level else ("",):
             if s in text:
                 return array.array(self.typecode, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = text.split(" ")

@@ -221,6 +221,23 @@ def test_tokens_are_the_librarys(rows):
     assert e.raw(None) == b""
 
 
+def test_other_tokenizers_are_used_whole(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    assert tokens.CachedEncoder().byte_level
+    made = Tokenizer.from_file(tokens.default_path())
+    made.normalizer = normalizers.Lowercase()
+    made.save(str(tmp_path / "lower.json"))
+    plain = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    plain.pre_tokenizer = pre_tokenizers.Whitespace()
+    plain.save(str(tmp_path / "words.json"))
+    for name in ("lower", "words"):
+        e = tokens.CachedEncoder(str(tmp_path / f"{name}.json"))
+        assert not e.byte_level
+        for t in ("A b", "a  Zz b", "HELLO World", ""):
+            assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(spark, rows):
     out = packing.pack(table(spark, rows), with_ids=True)
     e = tokens.CachedEncoder()
@@ -246,6 +263,16 @@ def test_packing(spark, rows):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_null_ids_are_packed_and_judged(spark, words):
+    docs = table(spark, [(None, words(50, 1)), (None, None), (3, words(2000, 2)), (3, words(2000, 2))])
+    got = packing.pack(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in got} == {None, 3}
+    assert packing.pack(docs).where("doc_id is null").count() == 2
+    bench = spark.createDataFrame([(None, words(50, 1)), ("b", words(50, 1)), ("b", None)], "item_id string, text string")
+    judged = decontam.judge(decontam.scan(docs, bench)).where("doc_id is null").collect()
+    assert sorted(r.n_hit for r in judged) == [0, 50] and sorted(len(r["items"]) for r in judged) == [0, 1]
+
+
 def test_packing_plans_are_whole_and_tight():
     rng = np.random.default_rng(3)
     bent = np.clip(np.exp(rng.normal(5.8, 0.7, 60_000)).astype(int), 1, 1024)
@@ -338,10 +365,14 @@ def test_shards_round_trip(spark, rows, tmp_path):
     e = tokens.CachedEncoder()
     want = sorted((-1 if i is None else i, len(e.ids(t)) + 1) for i, t in docs)
     assert sorted((-1 if r.id is None else r.id, r.n_tokens) for r in got) == want
-    at = 0
+    at, texts = 0, {}
+    for i, t in docs:
+        texts.setdefault(i, []).append(zlib.crc32(struct.pack(f"<{len(e.ids(t)) + 1}I", *e.ids(t).tolist(), 2)))
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+        texts[r.id].remove(r.ids_crc32)
+    assert not any(texts.values())
     by_start = [r.id for r in sorted(got, key=lambda r: r.start)]
     assert by_start[0] is None and by_start[1:] == sorted(by_start[1:])
     none = f"file://{tmp_path}/none"
@@ -367,7 +398,11 @@ def test_language(spark, sf):
     assert (out.lang == out.lang_pred).mean() >= 0.9
     odd = langid.identify(table(spark, [(1, None), (2, ""), (3, "12 !!")]), None)
     assert {r.lang_pred for r in odd.collect()} == {"und"}
-    assert langid.fit(docs.limit(0)) is None
+    assert langid.fit(docs.limit(0)) is None and langid.identify(docs.limit(0), None).count() == 0
+    learned = langid.fit(docs)
+    long = "Der Hund und die Katze gehen in das Haus. " * 30_000
+    odd = langid.identify(table(spark, [(1, long), (1, long), (None, "und"), (5, "z")]), learned).collect()
+    assert len(odd) == 4 and odd[0].lang_pred == odd[1].lang_pred and all(0 <= r.score <= 1 and r.lang_pred in learned.languages for r in odd)
     net = langid.ByteConvNet(["a", "b"])
     net.train(*(lambda x: (x[0], np.repeat([0, 1], x[1])))(langid.windows_of(["aaa bbb " * 40, "zzz yyy " * 40])), steps=60)
     assert net.predict(["bbb aaa aaa", "1", None, "yyy zzz"])[0] == ["a", "und", "und", "b"]

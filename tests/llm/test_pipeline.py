@@ -80,3 +80,20 @@ def test_benchmark_is_cut_out_of_long_documents(spark, words):
 
 def test_packing_takes_all(kept):
     assert {r.doc_id for r in kept["best-fit packing"].select("doc_id").collect()} == {i for i, _ in pairs(kept["benchmark decontamination"])}
+
+
+def test_stages_take_empty_tables_nulls_and_clashing_names(spark, tmp_path, words):
+    own = "doc_id long, text string, lang string, source string, n_chars int, items array<string>, spans string, n_words long, n_removed int, kept_text string, row string, score double, _sets int"
+    rest = (["i"], "s", 7, 8, "k", "r", 0.1, 3)
+    rows = [(i, words(60, i) + ".", "en", "web", 5, *rest) for i in range(12)] + [(None, words(60, 3), "en", "web", 1, *rest), (50, None, None, None, None, *rest), (51, "", "en", "x", 0, *rest)]
+    for name, kept in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(kept, own)
+        for i, (_, stage) in enumerate(cp.STAGES):
+            path = str(tmp_path / f"{name}{i}")
+            stage(spark, docs, SF).write.parquet(path)
+            after = spark.read.parquet(path)
+            if i < 4:
+                assert after.columns == docs.columns
+                assert after.where("row is null or _sets <> 3 or kept_text <> 'k'").count() == 0
+                docs = after
+        assert (after.count() > 0) == bool(kept)
