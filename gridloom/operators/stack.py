@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,44 +56,98 @@ def default_min_span(date_stats_: DataFrame, factor: float = 0.20) -> DataFrame:
     return percentiles(date_stats_.select(F.col("dt_ptp").alias("v")), (96,)).select((F.col("p")[0] * factor).alias("min_span"))
 
 
+def _observed(cells: DataFrame, layers: DataFrame, *aggs: Column) -> DataFrame:
+    """Per cell ``p``: an array of (t, v) by time, of dated layers; and other aggregates of all values in the same shuffle."""
+    dated = cells.where("v is not null").join(layers.select("layer", ordinal(F.col("dt")).alias("o")), "layer", "left")
+    pairs = F.array_sort(F.collect_list(F.when(F.col("o").isNotNull(), F.struct(F.col("o").alias("t"), "v"))))
+    return dated.groupBy(*CELL).agg(pairs.alias("p"), *aggs)
+
+
+def _fitted(df: DataFrame) -> DataFrame:
+    """The line through ``p`` by least squares: ``t0, _n, _mt, _mv, _sxx, _sxy, _syy, _b, _res, _nmad``."""
+    t = lambda s: s["t"] - F.col("t0")
+    add = lambda f: F.aggregate("p", F.lit(0.0), lambda a, s: a + f(s))
+    df = df.withColumn("t0", F.get("p", F.lit(0))["t"])
+    df = df.withColumns({"_n": F.size("p").cast("double"), "_st": add(t), "_sv": add(lambda s: s["v"])})
+    df = df.withColumns({"_mt": F.col("_st") / F.nullif("_n", F.lit(0.0)), "_mv": F.col("_sv") / F.nullif("_n", F.lit(0.0))})
+    df = df.withColumns({"_sxx": add(lambda s: (t(s) - F.col("_mt")) ** 2), "_sxy": add(lambda s: (t(s) - F.col("_mt")) * (s["v"] - F.col("_mv"))), "_syy": add(lambda s: (s["v"] - F.col("_mv")) ** 2)})
+    df = df.withColumn("_b", F.col("_sxy") / F.nullif(F.col("_sxx"), F.lit(0.0)))
+    df = df.withColumn("_res", F.transform("p", lambda s: s["v"] - F.col("_mv") - F.col("_b") * (t(s) - F.col("_mt"))))
+    df = df.withColumn("_med", _array_median(F.array_sort("_res")))
+    return df.withColumn("_nmad", _array_median(F.array_sort(F.transform("_res", lambda x: F.abs(x - F.col("_med"))))) * NMAD)
+
+
+def _enough(min_n: int, min_span: float | None) -> Column:
+    ok = (F.size("p") >= min_n) & (F.size("p") >= 2)
+    if min_span is not None:
+        ok = ok & (F.try_element_at("p", F.lit(-1))["t"] - F.get("p", F.lit(0))["t"] >= min_span)
+    return ok
+
+
+def _line() -> list[Column]:
+    slope = F.col("_b") * 365.25
+    intercept = F.col("_mv") - F.col("_b") * (F.col("_mt") + F.col("t0"))
+    r2 = F.col("_sxy") * F.col("_sxy") / F.nullif(F.col("_sxx") * F.col("_syy"), F.lit(0.0))
+    return [slope.alias("slope"), intercept.alias("intercept"), F.col("_nmad").alias("detrended_std"), r2.alias("rsq")]
+
+
+def _without_outliers(obs: DataFrame, min_n: int, min_span: float | None, rounds: int = 2, factor: float = 3.0) -> DataFrame:
+    """``p`` without values that lie ``factor`` NMAD or more from the line, in each round; cells without a line go."""
+
+    def kept(t: np.ndarray, v: np.ndarray) -> np.ndarray | None:
+        own = np.arange(len(t))
+        for _ in range(rounds):
+            x, y = t[own], v[own]
+            if len(own) < min_n or (min_span is not None and x[-1] - x[0] < min_span) or x[0] == x[-1]:
+                return None
+            x = x - x[0]
+            x, y = x - x.mean(), y - y.mean()
+            res = y - (x @ y) / (x @ x) * x
+            nmad = np.median(np.abs(res - np.median(res))) * NMAD
+            if nmad > 1e-9 * np.abs(v[own]).max():  # else the middle residuals are the same but for rounding
+                own = own[np.abs(res) < factor * nmad]
+        return own
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(batch.num_columns - 1)
+            ends, flat = p.offsets.to_numpy(), p.values
+            t, v = flat.field("t").to_numpy(), flat.field("v").to_numpy()
+            rows, take, sizes = [], [], [0]
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                own = kept(t[a:b], v[a:b]) if b > a else None
+                if own is not None:
+                    rows.append(i)
+                    take.append(a + own)
+                    sizes.append(len(own))
+            values = flat.take(pa.array(np.concatenate(take) if take else np.empty(0, np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]), lists], names=batch.schema.names)
+
+    return obs.mapInArrow(each, obs.schema)
+
+
 def trend(cells: DataFrame, layers: DataFrame, min_n: int = 2, min_span: float | None = None, remove_outliers: bool = False) -> DataFrame:
     """Per cell: n, slope per year of 365.25 days, intercept at ordinal zero, NMAD of residuals, R squared.
 
     All layers of a cell meet in one shuffle, as an array of at most as many
     entries as there are layers.  ``remove_outliers`` drops |residual| >= 3 NMAD
-    and fits again, twice; each round joins the fits back to the cells.
+    and fits again, twice, inside that array (Arrow batches of arrays in NumPy:
+    as nested expressions the rounds would grow the plan beyond use).
     """
-    for _ in range(2 if remove_outliers else 0):
-        line = trend(cells, layers, min_n, min_span).select(*CELL, F.col("slope").alias("_m"), F.col("intercept").alias("_k"), F.col("detrended_std").alias("_d"))
-        dated = cells.join(layers.where("dt is not null").select("layer", ordinal(F.col("dt")).alias("_o")), "layer").join(line, CELL)
-        away = F.abs(F.col("v") - F.col("_k") - F.col("_m") / 365.25 * F.col("_o"))
-        cells = dated.where((F.col("_d") == 0) | (away < 3 * F.col("_d"))).select(*cells.columns)
-    o = ordinal(F.col("dt"))
-    obs = cells.where("v is not null").join(layers.where("dt is not null").select("layer", o.alias("o")), "layer").groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct(F.col("o").alias("t"), "v"))).alias("p"))
-    obs = obs.withColumn("t0", F.col("p")[0]["t"]).withColumn("_all", F.size("p"))
-
-    def fit(df: DataFrame) -> DataFrame:
-        t = lambda s: s["t"] - F.col("t0")
-        add = lambda f: F.aggregate("p", F.lit(0.0), lambda a, s: a + f(s))
-        n = F.size("p").cast("double")
-        df = df.withColumns({"_n": n, "_st": add(t), "_sv": add(lambda s: s["v"])})
-        mt, mv = F.col("_st") / F.col("_n"), F.col("_sv") / F.col("_n")
-        df = df.withColumns({"_mt": mt, "_mv": mv})
-        df = df.withColumns({"_sxx": add(lambda s: (t(s) - F.col("_mt")) ** 2), "_sxy": add(lambda s: (t(s) - F.col("_mt")) * (s["v"] - F.col("_mv"))), "_syy": add(lambda s: (s["v"] - F.col("_mv")) ** 2)})
-        df = df.withColumn("_b", F.col("_sxy") / F.nullif(F.col("_sxx"), F.lit(0.0)))
-        res = F.transform("p", lambda s: s["v"] - F.col("_mv") - F.col("_b") * (t(s) - F.col("_mt")))
-        df = df.withColumn("_res", res)
-        df = df.withColumn("_med", _array_median(F.array_sort("_res")))
-        return df.withColumn("_nmad", _array_median(F.array_sort(F.transform("_res", lambda x: F.abs(x - F.col("_med"))))) * NMAD)
-
-    ok = F.size("p") >= min_n
-    if min_span is not None:
-        ok = ok & (F.element_at("p", -1)["t"] - F.col("t0") >= min_span)
-    obs = fit(obs.where(ok & (F.size("p") >= 2)))
-    slope = F.col("_b") * 365.25
-    intercept = F.col("_mv") - F.col("_b") * (F.col("_mt") + F.col("t0"))
-    r2 = F.col("_sxy") * F.col("_sxy") / F.nullif(F.col("_sxx") * F.col("_syy"), F.lit(0.0))
-    return obs.where("_b is not null").select(*CELL, F.size("p").cast("long").alias("n"), slope.alias("slope"), intercept.alias("intercept"), F.col("_nmad").alias("detrended_std"), r2.alias("rsq"))
+    obs = _observed(cells, layers)
+    if remove_outliers:
+        obs = _without_outliers(obs.select(*CELL, "p"), max(2, min_n), min_span)
+    fit = _fitted(obs.where(_enough(min_n, min_span)))
+    return fit.where("_b is not null").select(*CELL, F.size("p").cast("long").alias("n"), *_line())
+
+
+def stats_and_trend(cells: DataFrame, layers: DataFrame, min_n: int = 2) -> DataFrame:
+    """Statistics and trend of each cell from one shuffle; cells without a trend have none of its columns set."""
+    v = F.col("v")
+    obs = _observed(cells, layers, F.count(v).alias("n"), F.avg(v).alias("mean"), F.when(F.count(v) > 1, F.stddev_pop(v)).alias("std"), F.min(v).alias("vmin"), F.max(v).alias("vmax"))
+    fit = _fitted(obs.withColumn("p", F.when(_enough(min_n, None), F.col("p"))))
+    return fit.select(*CELL, "n", "mean", "std", "vmin", "vmax", *_line())
 
 
 def theil_sen(cells: DataFrame, layers: DataFrame) -> DataFrame:

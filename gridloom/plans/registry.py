@@ -203,8 +203,7 @@ def bin_edges(spark, sf):
 
 @query(f"with {fx.STACK}, o as (select r, c, v, {fx.ORD} as t from stack) select r, c, count(v) as n, round(avg(v), 6) as mean, round(case when count(v) > 1 then stddev_pop(v) end, 6) as std, round(min(v), 6) as vmin, round(max(v), 6) as vmax, round(regr_slope(v, t - 728000) * 365.25::double, 3) as slope from o group by r, c having count(v) > 1")
 def stack_stats_trend(spark, sf):
-    cells = fx.stack(spark, sf)
-    s = stack.stack_stats(cells).join(stack.trend(cells, fx.layers(spark, sf)).select("r", "c", "slope"), ["r", "c"])
+    s = stack.stats_and_trend(fx.stack(spark, sf), fx.layers(spark, sf)).where("slope is not null")
     return rnd(s.select("r", "c", "n", "mean", "std", "vmin", "vmax", "slope"), 6, slope=3)
 
 
@@ -265,9 +264,17 @@ def polar_round_trip(spark, sf):
     return rnd(back[0].unionByName(back[1]), 7)
 
 
-@query()
+def _round_sql(k: int) -> str:
+    """CTEs that fit the lines of observations o{k} and keep, as o{k+1}, what is within three deviations."""
+    return f"""f{k} as (select r, c, regr_slope(v, t) as b, regr_intercept(v, t) as a from o{k} group by r, c having count(v) >= 3 and max(t) > min(t)),
+e{k} as (select r, c, v, t, v - a - b * t as res from o{k} join f{k} using (r, c)), m{k} as (select r, c, quantile_cont(res, 0.5) as med from e{k} group by r, c),
+d{k} as (select r, c, quantile_cont(abs(res - med), 0.5) * 1.4826::double as nmad from e{k} join m{k} using (r, c) group by r, c), o{k + 1} as (select r, c, v, t from e{k} join d{k} using (r, c) where nmad < 1e-5 or abs(res) < 3 * nmad)"""
+
+
+@query(f"with {fx.STACK}, o0 as (select r, c, v, {fx.ORD} - 728000 as t from stack), {_round_sql(0)}, {_round_sql(1)} select r, c, count(v) as n, round(regr_slope(v, t) * 365.25::double, 3) as slope, round(regr_r2(v, t), 5) as rsq from o2 group by r, c having count(v) >= 3 and max(t) > min(t)")
 def stack_trend_without_outliers(spark, sf):
-    return stack.trend(fx.stack(spark, sf), fx.layers(spark, sf), 3, remove_outliers=True)
+    found = stack.trend(fx.stack(spark, sf), fx.layers(spark, sf), 3, remove_outliers=True)
+    return rnd(found.select("r", "c", "n", "slope", "rsq"), 3, rsq=5)
 
 
 @query(f"""with {fx.STACK}, o as (select r, c, v, {fx.ORD} as t from stack), s as (select a.r, a.c, quantile_cont((b.v - a.v) / (b.t - a.t), 0.5) as m from o a join o b on a.r = b.r and a.c = b.c and b.t > a.t group by all)
