@@ -14,8 +14,11 @@ one's ``docs``.  All but the last return the columns of ``documents``.
    is brought up to date,
 5. packing: what is left becomes sequences of at most 1024 tokens.
 
-Rows with a null id pass the stages that need ids to compare; null texts are
-handled as the operators say.
+Defined cases: rows with a null id pass the stages that need ids to compare;
+null and empty texts are handled as the operators say (they are near duplicates
+of each other, so one of them stays); empty tables pass all stages; other columns
+of ``documents`` may have any names and stay as they are, but ``n_chars``, where
+there is one, follows the text.
 """
 
 from __future__ import annotations
