@@ -112,11 +112,19 @@ def profile(cells: DataFrame, line: DataFrame, gt: list[float], step: float, key
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs of points and closed boxes that hold them; equi-joined on grid buckets of ``size``."""
-    b = lambda v: F.floor(v / size)
-    cover = boxes.withColumn("_bx", F.explode(F.sequence(b(F.col("xmin")), b(F.col("xmax"))))).withColumn("_by", F.explode(F.sequence(b(F.col("ymin")), b(F.col("ymax")))))
-    own = points.withColumns({"_bx": b(F.col(x)), "_by": b(F.col(y))})
-    return own.join(cover, ["_bx", "_by"]).where(F.col(x).between(F.col("xmin"), F.col("xmax")) & F.col(y).between(F.col("ymin"), F.col("ymax"))).drop("_bx", "_by")
+    """Pairs of points and closed boxes that hold them; equi-joined on grid buckets.
+
+    A box goes to buckets of ``size`` times the power of two that lets four of
+    them cover it, so a large box is four rows too; a point looks in its bucket of
+    each power that some box needs.
+    """
+    b = lambda v: F.floor(v / (size * F.pow(F.lit(2.0), F.col("_p"))))
+    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-300))
+    sized = boxes.where("xmin <= xmax and ymin <= ymax").withColumn("_p", F.greatest(F.ceil(F.log2(extent / size)), F.lit(0)).cast("int"))
+    powers = sorted(r._p for r in sized.select("_p").distinct().collect())  # some tens at most
+    cover = sized.withColumn("_bx", F.explode(F.sequence(b(F.col("xmin")), b(F.col("xmax"))))).withColumn("_by", F.explode(F.sequence(b(F.col("ymin")), b(F.col("ymax")))))
+    own = points.withColumn("_p", F.explode(F.array(*map(F.lit, powers)).cast("array<int>"))).withColumns({"_bx": b(F.col(x)), "_by": b(F.col(y))})
+    return own.join(cover, ["_p", "_bx", "_by"]).where(F.col(x).between(F.col("xmin"), F.col("xmax")) & F.col(y).between(F.col("ymin"), F.col("ymax"))).drop("_p", "_bx", "_by")
 
 
 def outline(cells: DataFrame, gt: list[float], keys: tuple[str, ...] = ()) -> DataFrame:

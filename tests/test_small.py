@@ -339,3 +339,15 @@ def test_command_line(spark, tmp_path):
     cli.run(spark, ["copyproj", str(tmp_path / "other/raster.tif"), str(tmp_path / "tif/raster.tif"), "--out", f"file://{tmp_path}/done"])
     info = geotiff.geotiff_info(spark, str(tmp_path / "done/raster.tif")).first()
     assert info.srs == "EPSG:3413" and info.gt == [7.0, 2.0, 0.0, 9.0, 0.0, -2.0]
+
+
+def test_points_in_boxes_of_all_sizes(spark):
+    rng = np.random.default_rng(7)
+    p = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-50, 50, (200, 2)))]
+    boxes = [(j, a, b, a + w, b + h) for j, (a, b, w, h) in enumerate(np.c_[rng.uniform(-50, 40, (30, 2)), np.exp(rng.uniform(-3, 6, (30, 2)))].tolist())] + [(90, 1.0, 1.0, 1.0, 1.0), (91, 5.0, 0.0, 4.0, 1.0), (92, -1e6, -1e6, 1e6, 1e6)]
+    p.append((900, 1.0, 1.0))
+    got = vector.points_in_boxes(spark.createDataFrame(p, "pid int, x double, y double"), spark.createDataFrame(boxes, "fid int, xmin double, ymin double, xmax double, ymax double"), 0.5)
+    want = sorted((i, j) for i, x, y in p for j, a, b, c, d in boxes if a <= x <= c and b <= y <= d)
+    assert sorted((r.pid, r.fid) for r in got.collect()) == want
+    none = spark.createDataFrame([], "fid int, xmin double, ymin double, xmax double, ymax double")
+    assert vector.points_in_boxes(spark.createDataFrame(p, "pid int, x double, y double"), none, 0.5).count() == 0
