@@ -258,3 +258,9 @@ def date_summary(times: DataFrame, ts: str = "ts") -> DataFrame:
 
 def first_of_day(times: DataFrame, ts: str = "ts", idx: str = "idx") -> DataFrame:
     return times.groupBy(F.to_date(ts).alias("day")).agg(F.min(idx).alias(idx))
+
+
+def date_raster(cells: DataFrame, date: Column, reference: Column | None = None) -> DataFrame:
+    """Valid cells with their raster's date in place of the value: the ordinal, or days since ``reference``."""
+    value = ordinal(date) if reference is None else ordinal(date) - ordinal(reference)
+    return cells.withColumn("v", F.when(F.col("v").isNotNull(), value))

@@ -159,6 +159,53 @@ def theil_sen(cells: DataFrame, layers: DataFrame) -> DataFrame:
     return got.select(*CELL, F.size("p").cast("long").alias("n"), (F.col("_b") * 365.25).alias("slope"), _array_median(left).alias("intercept"))
 
 
+def ransac(cells: DataFrame, layers: DataFrame, min_n: int = 3, trials: int = 200, seed: int = 0) -> DataFrame:
+    """Per cell: n, slope per year and intercept of the line that most values agree with, and how many do.
+
+    Lines through pairs of values are tried: all pairs where there are no more
+    than ``trials``, else as many drawn with a fixed seed.  A value agrees within
+    the median absolute deviation of the cell's values; of lines with equally many,
+    that with the least sum of residuals counts.  The line is then fitted to those
+    that agree.  Cells with fewer than ``min_n`` values or one date only have no row.
+    """
+
+    def line(t: np.ndarray, v: np.ndarray) -> tuple[float, float, int] | None:
+        if len(t) < min_n or t[0] == t[-1]:
+            return None
+        i, j = np.triu_indices(len(t), 1)
+        if len(i) > trials:
+            some = np.random.default_rng(seed).choice(len(i), trials, replace=False)
+            i, j = i[some], j[some]
+        i, j = i[t[i] != t[j]], j[t[i] != t[j]]
+        if not len(i):
+            return None
+        x = t - t[0]
+        b = (v[j] - v[i]) / (x[j] - x[i])
+        off = np.abs(v[None, :] - v[i][:, None] - b[:, None] * (x[None, :] - x[i][:, None]))
+        near = off <= np.median(np.abs(v - np.median(v))) + 1e-9 * np.abs(v).max()
+        best = np.lexsort((np.where(near, off, 0).sum(axis=1), -near.sum(axis=1)))[0]
+        own = near[best]
+        xo, vo = x[own] - x[own].mean(), v[own] - v[own].mean()
+        if not (xo @ xo):
+            return None
+        slope = (xo @ vo) / (xo @ xo)
+        return slope * 365.25, v[own].mean() - slope * (x[own].mean() + t[0]), int(own.sum())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(2)
+            ends, t, v = p.offsets.to_numpy(), p.values.field("t").to_numpy(), p.values.field("v").to_numpy()
+            found = [(k, b - a, line(t[a:b], v[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
+            kept = [(k, n, *x) for k, n, x in found if x is not None]
+            at = pa.array([k for k, *_ in kept], pa.int64())
+            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([x[c + 1] for x in kept], kind) for c, kind in enumerate(kinds))], names=[*CELL, "n", "slope", "intercept", "agree"])
+
+    obs = _observed(cells, layers).select(*CELL, "p")
+    kinds = [obs.schema[c].dataType.simpleString() for c in CELL]
+    return obs.mapInArrow(each, f"r {kinds[0]}, c {kinds[1]}, n long, slope double, intercept double, agree long")
+
+
 #: Two-sided 95 % points of Student's t by degrees of freedom.
 T95 = [12.7062, 4.30265, 3.18245, 2.77645, 2.57058, 2.44691, 2.36462, 2.30600, 2.26216, 2.22814, 2.20099, 2.17881, 2.16037, 2.14479, 2.13145, 2.11991, 2.10982, 2.10092, 2.09302, 2.08596, 2.07961, 2.07387, 2.06866, 2.06390, 2.05954, 2.05553, 2.05183, 2.04841, 2.04523, 2.04227]
 

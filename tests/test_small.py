@@ -351,3 +351,22 @@ def test_points_in_boxes_of_all_sizes(spark):
     assert sorted((r.pid, r.fid) for r in got.collect()) == want
     none = spark.createDataFrame([], "fid int, xmin double, ymin double, xmax double, ymax double")
     assert vector.points_in_boxes(spark.createDataFrame(p, "pid int, x double, y double"), none, 0.5).count() == 0
+
+
+def test_ransac_agrees_with_the_line_without_outliers(spark):
+    years = list(range(2000, 2012))
+    layers = spark.createDataFrame([(k, dt.datetime(y, 7, 1)) for k, y in enumerate(years)], "layer int, dt timestamp_ntz")
+    days = np.array([dt.datetime(y, 7, 1).toordinal() for y in years], float)
+    rows = [(k, 0, 0, float(5.0 + 0.01 * (days[k] - days[0]) + (500.0 if k in (3, 9) else 0.01 * (k % 3)))) for k in range(12)]
+    rows += [(k, 0, 1, None if k > 1 else 1.0) for k in range(12)] + [(k, 1, 1, 7.0) for k in range(12)]
+    got = {(r.r, r.c): r for r in stack.ransac(spark.createDataFrame(rows, "layer int, r int, c int, v double"), layers).collect()}
+    assert set(got) == {(0, 0), (1, 1)} and got[1, 1].slope == 0 and got[1, 1].agree == 12
+    assert got[0, 0].n == 12 and got[0, 0].agree == 10 and abs(got[0, 0].slope / 365.25 - 0.01) < 1e-4
+    assert stack.ransac(spark.createDataFrame(rows, "layer int, r int, c int, v double").limit(0), layers).count() == 0
+
+
+def test_date_raster(spark):
+    cells = spark.createDataFrame([("a_20180101_1200.tif", 0, 0, 3.0), ("a_20180101_1200.tif", 0, 1, None)], "fn string, r int, c int, v double")
+    day = T.datetime_in_name(F.col("fn"))
+    assert [r.v for r in T.date_raster(cells, day).orderBy("c").collect()] == [736695.5, None]
+    assert T.date_raster(cells, day, F.lit(dt.datetime(2017, 12, 31))).orderBy("c").first().v == 1.5
