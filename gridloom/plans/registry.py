@@ -170,10 +170,13 @@ def block_stats_median(spark, sf):
     return rnd(points.block_stats(p, *fx.frame(p, 20.0, 2000.0, 200.0), "median"), 4)
 
 
-@query(f"with {fx.POINTS}, g as (select cast(a.range as integer) as r, cast(b.range as integer) as c from range(20) a, range(50) b), s as (select cast(floor((200.0 - y) / 10) as integer) as r, cast(floor(x / 40) as integer) as cc, cast(floor(x / 10) as integer) as c, avg(z) as v from points group by all), t as (select r, c, avg(v) as dummy from s group by all), m as (select cast(floor((200.0 - y) / 10) as integer) as r, cast(floor(x / 10) as integer) as c, avg(z) as v from points group by all) select g.r, g.c, round(m.v, 4) as v from g left join m on g.r = m.r and g.c = m.c")
+@query(f"""with {fx.POINTS}, l as (select greatest(500, ceil(max(x) / 10) * 10) as x1, greatest(200, ceil(max(y) / 10) * 10) as y1 from points),
+rr as (select unnest(range(cast(round(y1 / 10) as bigint))) as r from l), cc as (select unnest(range(cast(round(x1 / 10) as bigint))) as c from l),
+m as (select floor((y1 - y) / 10) as r, floor(x / 10) as c, avg(z) as v from points, l group by all)
+select cast(rr.r as integer) as r, cast(cc.c as integer) as c, round(m.v, 7) as v from rr cross join cc left join m on rr.r = m.r and cc.c = m.c""")
 def block_stats_full_grid(spark, sf):
     p = fx.points(spark, sf)
-    return rnd(points.block_stats_grid(p, *fx.frame(p, 10.0, 500.0, 200.0), "mean"), 4)
+    return rnd(points.block_stats_grid(p, *fx.frame(p, 10.0, 500.0, 200.0), "mean"), 7)
 
 
 @query(f"with {fx.POINTS}, b as (select floor(y / 10) * 10 as edge, z as v from points), m as (select edge, quantile_cont(v, 0.5) as med from b group by edge), d as (select edge, quantile_cont(abs(v - med), 0.5) * 1.4826::double as nmad from b join m using (edge) group by edge) select edge, count(v) as n, round(avg(v), 4) as mean, round(stddev_pop(v), 4) as std, round(any_value(med), 4) as med, round(any_value(nmad), 4) as nmad, edge + 5 as center from b join m using (edge) join d using (edge) group by edge")
