@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import fresh_path, shuffle_partitions
-from gridloom.llm.tokens import CachedEncoder
+from gridloom.llm.tokens import kept_encoder
 
 END_ID = 2
 _MAGIC = b"GLSST1\0\0"
@@ -209,7 +209,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder = CachedEncoder(tokenizer_path)
+        encoder = kept_encoder(tokenizer_path)
         id_bytes = 2 if encoder.typecode == "H" else 4
         end = end_id.to_bytes(id_bytes, "little")
         run = uuid.uuid4().hex[:8]

@@ -3,8 +3,10 @@
 A byte-level BPE never merges across pre-tokens, so a text's ids are the
 concatenation of its pre-tokens' ids.  Every space that stands before anything
 but white space starts a pre-token, so texts are cut there, and ids of the
-pieces are kept in a bounded two-generation cache.  A piece that is not cached is split by
-the tokenizer's own pattern and each pre-token goes to the library's BPE model.
+pieces are kept in a bounded two-generation cache, which a worker's later tasks find
+again.  A piece that is not cached is split by
+the tokenizer's own pattern and each pre-token goes to the library's BPE model;
+a word with marks behind it, or with a line break before the next word, is split without it.
 Texts with an added token's string in them go to ``Tokenizer.encode`` whole, and
 so do all texts if the tokenizer is of another kind: with a normaliser, another
 pre-tokenizer or pattern, or dropout.
@@ -13,6 +15,9 @@ pre-tokenizer or pattern, or dropout.
 from __future__ import annotations
 
 import array
+import codecs
+import functools
+import os
 import zlib
 
 import numpy as np
@@ -30,7 +35,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = "".join(_byte_letters()[b] for b in range(256))
+#: Behind a word, a run of these is one pre-token; an apostrophe may be more.
+_MARKS = ".,!?;:*#$%&"
 
 
 def default_path() -> str:
@@ -49,6 +56,7 @@ class CachedEncoder:
     def __init__(self, path: str | None = None, entries: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.model = self.tokenizer.model
+        self.tokenize = self.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         split = self.tokenizer.pre_tokenizer
         #: whether ids of pre-tokens can be put together
@@ -72,24 +80,34 @@ class CachedEncoder:
         return found
 
     def _model(self, pre_token: str) -> bytes:
-        letters = pre_token.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS)
-        return array.array(self.typecode, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        letters = codecs.charmap_decode(pre_token.encode("utf-8", "surrogatepass"), "strict", _LETTERS)[0]
+        return array.array(self.typecode, [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def _bare(self, s: str) -> bytes:
+        """ids of s, with no space before it."""
+        word = s.rstrip(_MARKS)
+        if word.isalpha():
+            return self._encode(word) + self._encode(s[len(word) :]) if len(word) < len(s) else self._encode(s)
+        return b"".join([self._encode(p) for p in _PATTERN.findall(s)])
 
     def _piece(self, s: str) -> bytes | None:
         """ids of " " + s; None if no pre-token starts at that space."""
         found = self.old.get(s)
         if found is None:
-            if not s or s[0].isspace():
-                return None
             if s.isalpha():
                 found = self._model(" " + s)
-            elif s[-1] in ".,!" and s[:-1].isalpha():
-                word = s[:-1]
-                found = (self.young.get(word) or self._piece(word)) + self._encode(s[-1])
+            elif not s or s[0].isspace():
+                return None
+            elif (word := s.rstrip(_MARKS)).isalpha():
+                found = (self.young.get(word) or self._piece(word)) + self._encode(s[len(word) :])
             else:
-                first, *rest = _PATTERN.findall(" " + s)
-                word = first[1:]
-                found = ((self.young.get(word) or self._piece(word)) if word.isalpha() and rest else self._model(first)) + b"".join([self._encode(p) for p in rest])
+                line, _, rest = s.partition("\n")
+                if rest[:1].isalpha() and line.rstrip(_MARKS).isalpha():
+                    found = (self.young.get(line) or self._piece(line)) + self._encode("\n") + self._bare(rest)
+                else:
+                    first, *others = _PATTERN.findall(" " + s)
+                    word = first[1:]
+                    found = ((self.young.get(word) or self._piece(word)) if word.isalpha() and others else self._model(first)) + b"".join([self._encode(p) for p in others])
         if len(self.young) >= self.entries:
             self.old, self.young = self.young, {}
         if len(s) <= 64:
@@ -107,7 +125,7 @@ class CachedEncoder:
         head = pieces[0]
         pieces[0] = "a"
         out = list(map(self.young.get, pieces))
-        out[0] = b"".join([self._encode(p) for p in _PATTERN.findall(head)])
+        out[0] = self._bare(head)
         if None in out:
             piece = self._piece
             for i, ids in enumerate(out):
@@ -121,5 +139,17 @@ class CachedEncoder:
         return np.frombuffer(self.raw(text), dtype=np.uint16 if self.typecode == "H" else np.uint32)
 
 
+@functools.lru_cache(maxsize=1)
+def _kept(path: str, stamp: tuple[int, int]) -> CachedEncoder:
+    return CachedEncoder(path)
+
+
+def kept_encoder(path: str | None = None) -> CachedEncoder:
+    """This process's encoder, with the cache its earlier tasks left; a file that has changed is read anew."""
+    path = path or default_path()
+    at = os.stat(path)
+    return _kept(path, (at.st_mtime_ns, at.st_size))
+
+
 def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,29 @@ def test_other_tokenizers_are_used_whole(tmp_path):
             assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_with_marks_and_line_breaks():
+    e = tokens.CachedEncoder(entries=50)
+    for head in ("the", "Éa", "日x", "ʰ", "b2", "'", ""):
+        for tail in (".", "!,", "###", ".'", "'s", "'s.", "!'ll,", "…", ".\nThe", "\nÉb.", "\n\nx", ".\n x", "\r\nx", "\n1", ".\nb's\nc", "\x85y", "\n\u0301z"):
+            for t in (head + tail, f"x {head}{tail} y", f"x  {head}{tail}\n"):
+                assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_encoders_are_kept_until_the_file_changes(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    path = str(tmp_path / "t.json")
+    made = Tokenizer.from_file(tokens.default_path())
+    made.save(path)
+    first = tokens.kept_encoder(path)
+    first.raw("kept between tasks")
+    assert tokens.kept_encoder(path) is first and "between" in first.young
+    made.normalizer = normalizers.Lowercase()
+    made.save(path)
+    assert tokens.kept_encoder(path).ids("UPPER").tolist() == made.encode("UPPER", add_special_tokens=False).ids
+    assert tokens.kept_encoder() is tokens.kept_encoder(tokens.default_path()) is not first
+
+
 def test_packing(spark, rows):
     out = packing.pack(table(spark, rows), with_ids=True)
     e = tokens.CachedEncoder()
@@ -380,6 +404,19 @@ def test_shards_round_trip(spark, rows, tmp_path):
     assert sstable.read_shards(spark, none, empty).count() == 0
 
 
+def test_shard_tasks_share_a_workers_encoder(spark, rows, tmp_path):
+    for k in range(2):
+        assert sstable.write_shards(table(spark, rows), f"file://{tmp_path}/{k}").count() > 0
+
+    def seen(batches):
+        for _ in batches:
+            info = tokens._kept.cache_info()
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "made": [info.misses], "again": [info.hits]})
+
+    workers = {r.pid: r for r in spark.range(0, 64, 1, 16).mapInArrow(seen, "pid long, made long, again long").collect()}
+    assert any(r.again for r in workers.values()) and all(r.made <= 1 for r in workers.values())
+
+
 def test_shard_lookup():
     w = sstable.ShardWriter(2, block_bytes=64)
     for i in range(-50, 500, 3):
