@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import pixel_to_map
+from gridloom.model import shuffled
 from gridloom.operators.stats import _with, median_nmad, percentiles
 
 
@@ -55,7 +56,7 @@ def by_robust_spread(cells: DataFrame, sigma: float = 3.0, keys: Sequence[str] =
 
 def by_reference_difference(cells: DataFrame, reference: DataFrame, perc: tuple[float, float] | None = None, limits: tuple[float, float] = (0.0, 30.0), keys: Sequence[str] = ()) -> DataFrame:
     """Masks where reference minus value is out of percentiles, or its size out of limits; no reference keeps the cell."""
-    dz = cells.join(reference.select(*keys, "r", "c", F.col("v").alias("_ref")), [*keys, "r", "c"], "left").withColumn("_dz", F.col("_ref") - F.col("v"))
+    dz = cells.join(shuffled(reference.select(*keys, "r", "c", F.col("v").alias("_ref"))), [*keys, "r", "c"], "left").withColumn("_dz", F.col("_ref") - F.col("v"))
     bad = (F.abs("_dz") < limits[0]) | (F.abs("_dz") > limits[1])
     if perc:
         p = percentiles(dz.select(*keys, F.col("_dz").alias("v")), perc, keys).withColumnRenamed("p", "_p")
@@ -78,7 +79,7 @@ def by_mask(cells: DataFrame, mask: DataFrame, mask_value: float | None = None,
     (missing counts as zero) if that is anywhere, or where it is not.
     """
     m = mask.select("r", "c", F.col("v").alias("_m"))
-    both = cells.join(m, ["r", "c"], "left")
+    both = cells.join(shuffled(m), ["r", "c"], "left")
     if mask_value is not None:
         out = F.coalesce(F.col("_m") != mask_value, F.lit(True))
     else:
@@ -100,7 +101,7 @@ def by_slope(cells: DataFrame, res: float, limits: tuple[float, float] = (0.0, 4
     from gridloom.operators.neighbourhood import slope
 
     lim = slope(cells, res).where(F.col("v").between(*limits)).select("r", "c")
-    return cells.join(lim.withColumn("_ok", F.lit(True)), ["r", "c"], "left").withColumn("v", F.when(F.col("_ok"), F.col("v"))).select("r", "c", "v")
+    return cells.join(shuffled(lim.withColumn("_ok", F.lit(True))), ["r", "c"], "left").withColumn("v", F.when(F.col("_ok"), F.col("v"))).select("r", "c", "v")
 
 
 def random_fill(cells: DataFrame, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
@@ -111,6 +112,6 @@ def random_fill(cells: DataFrame, seed: int = 0, keys: Sequence[str] = ()) -> Da
 
 def difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """a - b where both have a value."""
-    return a.join(b.select(*keys, "r", "c", F.col("v").alias("_b")), [*keys, "r", "c"]).select(*keys, "r", "c", (F.col("v") - F.col("_b")).alias("v"))
+    return shuffled(a).join(shuffled(b.select(*keys, "r", "c", F.col("v").alias("_b"))), [*keys, "r", "c"]).select(*keys, "r", "c", (F.col("v") - F.col("_b")).alias("v"))
 
 

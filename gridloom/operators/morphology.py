@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.model import shuffled
 from gridloom.operators.neighbourhood import _pairs
 
 
@@ -35,7 +36,7 @@ def missing(cells: DataFrame, shape: tuple[int, int], keys: Sequence[str] = ())
 
 def grow_mask(cells: DataFrame, n: int, shape: tuple[int, int], keys: Sequence[str] = ()) -> DataFrame:
     """Cells farther than n steps from every missing cell (mask_erode, erode_edge); the grid's border is not missing."""
-    return cells.where("v is not null").join(dilate(missing(cells, shape, keys), n, shape, keys), [*keys, "r", "c"], "left_anti")
+    return cells.where("v is not null").join(shuffled(dilate(missing(cells, shape, keys), n, shape, keys)), [*keys, "r", "c"], "left_anti")
 
 
 def dilate_valid(cells: DataFrame, n: int, shape: tuple[int, int], keys: Sequence[str] = ()) -> DataFrame:
@@ -46,15 +47,15 @@ def dilate_valid(cells: DataFrame, n: int, shape: tuple[int, int], keys: Sequenc
 def close_mask(cells: DataFrame, n: int, shape: tuple[int, int], keys: Sequence[str] = ()) -> DataFrame:
     """The missing places of a closing of the mask (mask_islands): it never loses a missing place, and outside counts as missing."""
     grown = dilate(missing(cells, shape, keys), n, shape, keys)
-    free = cells.where("v is not null").select(*keys, "r", "c").join(grown, [*keys, "r", "c"], "left_anti")
+    free = cells.where("v is not null").select(*keys, "r", "c").join(shuffled(grown), [*keys, "r", "c"], "left_anti")
     back = dilate(free, n, shape, keys)
     every = cells.select(*keys, "r", "c")
-    return every.join(back, [*keys, "r", "c"], "left_anti").unionByName(missing(cells, shape, keys)).distinct()
+    return every.join(shuffled(back), [*keys, "r", "c"], "left_anti").unionByName(missing(cells, shape, keys)).distinct()
 
 
 def remove_islands(cells: DataFrame, n: int, shape: tuple[int, int], keys: Sequence[str] = ()) -> DataFrame:
     """Cells that survive growing the mask by n and shrinking it back."""
-    return cells.join(close_mask(cells, n, shape, keys), [*keys, "r", "c"], "left_anti").where("v is not null")
+    return cells.join(shuffled(close_mask(cells, n, shape, keys)), [*keys, "r", "c"], "left_anti").where("v is not null")
 
 
 def bounds(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -87,7 +88,7 @@ def edges(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def mask_edges(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return cells.where("v is not null").join(edges(cells, keys), [*keys, "r", "c"], "left_anti")
+    return cells.where("v is not null").join(shuffled(edges(cells, keys)), [*keys, "r", "c"], "left_anti")
 
 
 def enclosed_by_lines(cells: DataFrame, shape: tuple[int, int], keys: Sequence[str] = ()) -> DataFrame:
@@ -150,5 +151,5 @@ def holes(cells: DataFrame, shape: tuple[int, int], keys: Sequence[str] = ()) ->
 def fill_holes(cells: DataFrame, fill: DataFrame, shape: tuple[int, int], keys: Sequence[str] = ()) -> DataFrame:
     """Cells plus the values of ``fill`` at the holes."""
     at = holes(cells, shape, keys)
-    return cells.where("v is not null").unionByName(fill.join(at, [*keys, "r", "c"], "left_semi").select(*cells.columns))
+    return cells.where("v is not null").unionByName(fill.join(shuffled(at), [*keys, "r", "c"], "left_semi").select(*cells.columns))
 

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.model import shuffled
 from gridloom.operators import tiles
 
 
@@ -52,7 +53,7 @@ def rolling(cells: DataFrame, stat=F.median, size: int = 3, circular: bool = Fal
     out = served.groupBy(*keys, "r", "c").agg(stat("v").alias("v"))
     if not keep_mask:
         return out
-    return out.join(cells.where("v is not null").select(*keys, "r", "c"), [*keys, "r", "c"], "left_semi")
+    return out.join(shuffled(cells.where("v is not null").select(*keys, "r", "c")), [*keys, "r", "c"], "left_semi")
 
 
 def _line_window(keys: Sequence[str], fixed: str, along: str, radius: int) -> Window:
@@ -94,7 +95,7 @@ def gaussian(cells: DataFrame, sigma: float | None = None, size: int | None = No
 def gaussian_fill(cells: DataFrame, sigma: float = 1.0, shape: tuple[int, int] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Smoothed values in holes only."""
     smooth = gaussian(cells, sigma, keep_mask=False, shape=shape, keys=keys).withColumnRenamed("v", "_g")
-    return cells.join(smooth, [*keys, "r", "c"], "full").select(*keys, "r", "c", F.coalesce("v", "_g").alias("v"))
+    return cells.join(shuffled(smooth), [*keys, "r", "c"], "full").select(*keys, "r", "c", F.coalesce("v", "_g").alias("v"))
 
 
 def gaussian_pyramid(cells: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -111,7 +112,7 @@ def lowpass(cells: DataFrame, sigma: float = 1.0, keys: Sequence[str] = ()) -> D
 def highpass(cells: DataFrame, sigma: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
     """Value minus its Gaussian, lifted so that nothing is below zero."""
     low = gaussian(cells, sigma, keys=keys).withColumnRenamed("v", "_g")
-    high = cells.where("v is not null").join(low, [*keys, "r", "c"]).select(*keys, "r", "c", (F.col("v") - F.col("_g")).alias("v"))
+    high = shuffled(cells.where("v is not null")).join(shuffled(low), [*keys, "r", "c"]).select(*keys, "r", "c", (F.col("v") - F.col("_g")).alias("v"))
     least = high.groupBy(*keys).agg(F.least(F.min("v"), F.lit(0.0)).alias("_m"))
     both = high.join(least, list(keys)) if keys else high.crossJoin(F.broadcast(least))
     return both.select(*keys, "r", "c", (F.col("v") - F.col("_m")).alias("v"))

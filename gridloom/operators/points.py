@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import map_to_pixel, pixel_to_map
+from gridloom.model import shuffled
 from gridloom.operators.neighbourhood import _pairs
 from gridloom.operators.stats import NMAD, _with, percentiles
 
@@ -45,17 +46,17 @@ def sample(cells: DataFrame, points: DataFrame, gt: list[float], pad: int = 0, m
     need = len(off) * min_percent / 100.0
     at = points.select(F.col(pid).alias("pid"), F.rint(py).cast("int").alias("_r"), F.rint(px).cast("int").alias("_c"))
     if len(off) == 1:
-        got = at.join(cells.select(F.col("r").alias("_r"), F.col("c").alias("_c"), "v"), ["_r", "_c"], "left")
+        got = at.join(shuffled(cells.select(F.col("r").alias("_r"), F.col("c").alias("_c"), "v")), ["_r", "_c"], "left")
         return got.select("pid", F.when(F.col("v").isNotNull(), 1).otherwise(0).cast("long").alias("n"), F.col("v").alias("med"), F.when(F.col("v").isNotNull(), 0.0).alias("nmad"))
     spread = at.select("pid", F.explode(_pairs(off)).alias("o"), "_r", "_c").select("pid", (F.col("_r") + F.col("o.i")).alias("r"), (F.col("_c") + F.col("o.j")).alias("c"))
-    got = spread.join(cells.where("v is not null").select("r", "c", "v"), ["r", "c"])
+    got = shuffled(spread).join(shuffled(cells.where("v is not null").select("r", "c", "v")), ["r", "c"])
     vs = got.groupBy("pid").agg(F.array_sort(F.collect_list("v")).alias("_v"))  # at most the window's cells
     from gridloom.operators.stack import _array_median
 
     med = vs.withColumn("n", F.size("_v").cast("long")).withColumn("med", _array_median(F.col("_v")))
     med = med.withColumn("nmad", _array_median(F.array_sort(F.transform("_v", lambda v: F.abs(v - F.col("med"))))) * NMAD)
     ok = F.coalesce(F.col("n") >= need, F.lit(False))
-    return at.select("pid").join(med, "pid", "left").select("pid", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(ok, F.col("med")).alias("med"), F.when(ok, F.col("nmad")).alias("nmad"))
+    return at.select("pid").join(shuffled(med), "pid", "left").select("pid", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(ok, F.col("med")).alias("med"), F.when(ok, F.col("nmad")).alias("nmad"))
 
 
 def bilinear(cells: DataFrame, points: DataFrame, gt: list[float], x: str = "x", y: str = "y", pid: str = "pid") -> DataFrame:
@@ -66,7 +67,7 @@ def bilinear(cells: DataFrame, points: DataFrame, gt: list[float], x: str = "x",
     fx, fy = F.col("_x") - F.col("_c0"), F.col("_y") - F.col("_r0")
     w = F.when(F.col("o.j") == 1, fx).otherwise(1 - fx) * F.when(F.col("o.i") == 1, fy).otherwise(1 - fy)
     keyed = four.select("pid", (F.col("_r0") + F.col("o.i")).alias("r"), (F.col("_c0") + F.col("o.j")).alias("c"), w.alias("w"))
-    got = keyed.join(cells.select("r", "c", "v"), ["r", "c"], "left")
+    got = keyed.join(shuffled(cells.select("r", "c", "v")), ["r", "c"], "left")
     need = F.count(F.when((F.col("w") != 0) & F.col("v").isNull(), 1))
     return got.groupBy("pid").agg(F.when(need == 0, F.sum(F.col("w") * F.coalesce("v", F.lit(0.0)))).alias("v"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.model import shuffled
+
 NMAD = 1.4826
 
 
@@ -134,7 +136,7 @@ def common_mask(cells: DataFrame, layer: str, n_layers: int) -> DataFrame:
 
 
 def apply_common_mask(cells: DataFrame, layer: str, n_layers: int) -> DataFrame:
-    return cells.join(common_mask(cells, layer, n_layers).where("not missing").select("r", "c"), ["r", "c"], "left_semi")
+    return cells.join(shuffled(common_mask(cells, layer, n_layers).where("not missing").select("r", "c")), ["r", "c"], "left_semi")
 
 
 # --- bins -----------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geo import pixel_to_map
 from gridloom.functions.geo import transform as move
-from gridloom.model import lattice
+from gridloom.model import lattice, shuffled
 
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def heatmap(vertices: DataFrame, nrows: int, ncols: int, gt: list[float]) -> Dat
 
 def clip_by_polygons(cells: DataFrame, vertices: DataFrame, nrows: int, ncols: int, gt: list[float], invert: bool = False) -> DataFrame:
     inside = rasterize(vertices, nrows, ncols, gt).select("r", "c").distinct()
-    return cells.join(inside, ["r", "c"], "left_anti" if invert else "left_semi")
+    return cells.join(shuffled(inside), ["r", "c"], "left_anti" if invert else "left_semi")
 
 
 def crop(cells: DataFrame, vertices: DataFrame, gt: list[float], pad: float = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from gridloom.catalog import ORACLE, QUERIES
-from gridloom.operators import warp
+from gridloom.operators import cellfilters, warp
 from gridloom.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.1"
@@ -72,3 +72,9 @@ def test_frames_hold_points_on_their_edges(spark):
     left, top, res, rows, cols = fx.frame(p, 20.0, 2000.0, 200.0)
     assert (left, top, res, rows, cols) == (-20.0, 220.0, 20.0, 13, 102)
     assert fx.frame(p.limit(0), 20.0, 2000.0, 200.0) == (0.0, 200.0, 20.0, 10, 100)
+
+
+@pytest.mark.parametrize("name", ["sample_points", "bilinear_samples", "erode_edge", "by_slope"])
+def test_generated_cells_are_not_broadcast(spark, name):
+    df = cellfilters.by_slope(fx.raster(spark, SF), 30.0) if name == "by_slope" else QUERIES[name](spark, SF)
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
