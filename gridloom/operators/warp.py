@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geo import apply_gt, map_to_pixel
 from gridloom.functions.geo import transform as move
-from gridloom.model import lattice
+from gridloom.model import lattice, shuffled
 from gridloom.operators import tiles
 
 ALGORITHMS = {"near": 1, "nearest": 1, "bilinear": 2, "cubic": 4, "cubicspline": 4, "lanczos": 6, "average": 0, "mode": 0}
@@ -126,7 +126,7 @@ def warp(cells: DataFrame, src: Grid, dst: Grid, algorithm: str = "cubic", trans
     taps = ALGORITHMS[algorithm]
     if taps == 1:
         near = at.select("r", "c", F.rint("_y").cast("int").alias("_r"), F.rint("_x").cast("int").alias("_c"))
-        return near.join(s, ["_r", "_c"]).select("r", "c", "v")
+        return shuffled(near).join(shuffled(s), ["_r", "_c"]).select("r", "c", "v")
     # a destination cell goes to the tile of the source cell before it, a source cell to its tile and those it borders
     half, size = taps // 2, tiles.SIZE
     ty, tx = F.floor("_y").cast("int"), F.floor("_x").cast("int")

@@ -74,7 +74,7 @@ def test_frames_hold_points_on_their_edges(spark):
     assert fx.frame(p.limit(0), 20.0, 2000.0, 200.0) == (0.0, 200.0, 20.0, 10, 100)
 
 
-@pytest.mark.parametrize("name", ["sample_points", "bilinear_samples", "erode_edge", "by_slope"])
+@pytest.mark.parametrize("name", ["sample_points", "bilinear_samples", "warp_nearest", "erode_edge", "by_slope"])
 def test_generated_cells_are_not_broadcast(spark, name):
     df = cellfilters.by_slope(fx.raster(spark, SF), 30.0) if name == "by_slope" else QUERIES[name](spark, SF)
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
