@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,32 +33,41 @@ def percentiles(cells: DataFrame, at: Sequence[float], keys: Sequence[str] = (),
     """``keys, p``: array of exact, linearly interpolated percentiles (0 to 100), NULL (or ``empty``) without values.
 
     Exact without any task that sees all values of a key: mergeable sketches
-    bracket each percentile, all values below a bracket are only counted, and
+    bracket each percentile, all values outside the brackets are only counted, and
     just the distinct values inside are sorted.  A hot value is one row there.
+    A sketch depends on the order of its rows, which is not the same each time a
+    table is read or fetched, so all is counted in one pass behind one sketch.
     """
     keys = list(keys)
     values = cells.select(*keys, F.col("v").cast("double").alias("v"))
     eps = 2.0 / ACCURACY
     around = [min(1.0, max(0.0, a / 100 + e)) for a in at for e in (-eps, eps)]
-    first = values.groupBy(*keys).agg(F.count("v").alias("_n"), F.percentile_approx("v", F.array(*map(F.lit, around)), F.lit(ACCURACY)).alias("_q"))
-    spans = [F.struct(F.lit(i).alias("_t"), F.col("_q")[2 * i].alias("lo"), F.col("_q")[2 * i + 1].alias("hi")) for i in range(len(at))]
-    known = _with(values.where("v is not null"), first.drop("_n"), keys)
-    sides = known.groupBy(*keys).agg(*[x for i in range(len(at)) for x in (F.count_if(F.col("v") < F.col("_q")[2 * i]).alias(f"_b{i}"), F.max(F.when(F.col("v") < F.col("_q")[2 * i], F.col("v"))).alias(f"_l{i}"), F.min(F.when(F.col("v") > F.col("_q")[2 * i + 1], F.col("v"))).alias(f"_h{i}"))])
-    inside = known.select(*keys, "v", F.explode(F.filter(F.array(*spans), lambda s: F.col("v").between(s["lo"], s["hi"]))).alias("_s"))
-    counts = inside.groupBy(*keys, F.col("_s._t").alias("_t"), "v").agg(F.count("*").alias("_k"))
-    run = Window.partitionBy(*keys, "_t").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_upto", F.sum("_k").over(run))
-    base = first.join(sides, keys, "left") if keys else first.crossJoin(sides)
-    want = base.select(*keys, "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("_t"), ((F.col("_n") - 1) * (a / 100)).alias("_h"), F.col(f"_b{i}").alias("_b"), F.col(f"_l{i}").alias("_l"), F.col(f"_h{i}").alias("_n")) for i, a in enumerate(at)])).alias("_s")).select(*keys, "_s.*")
-    # of the values inside, those at the two ranks around the percentile
-    low = F.floor("_h")
-    on = [*keys, "_t"]
-    near = ranked.join(want, on).where((F.col("_upto") > low - F.col("_b")) & (F.col("_upto") - F.col("_k") <= low + 1 - F.col("_b")))
-    picked = near.groupBy(*on).agg(F.min(F.when((F.col("_upto") > low - F.col("_b")) & (low >= F.col("_b")), F.col("v"))).alias("_v0"), F.min(F.when(F.col("_upto") > low + 1 - F.col("_b"), F.col("v"))).alias("_v1"))
-    got = want.join(picked, on, "left")
-    v0 = F.when(low < F.col("_b"), F.col("_l")).otherwise(F.col("_v0"))
-    v1 = F.when(low + 1 < F.col("_b"), F.col("_l")).otherwise(F.coalesce("_v1", "_n", v0))
-    value = v0 + (v1 - v0) * (F.col("_h") - low)
+    brackets = values.groupBy(*keys).agg(F.percentile_approx("v", F.array(*map(F.lit, around)), F.lit(ACCURACY)).alias("_q"))
+    if keys:
+        own = brackets.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_q")
+        known = values.join(own, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]))
+    else:
+        known = values.crossJoin(F.broadcast(brackets))
+    # where a value lies: 0 below, 1 inside, 2 above each bracket, as the digits of one number
+    v, q, every = F.col("v"), F.col("_q"), range(len(at))
+    sides = known.select(*keys, "v", *[((v >= q[2 * i]).cast("long") + (v > q[2 * i + 1]).cast("long")).alias(f"_s{i}") for i in every])
+    digits = reduce(add, [F.col(f"_s{i}") * F.lit(3**i).cast("long") for i in every])
+    inside = F.when(reduce(or_, [F.col(f"_s{i}") == 1 for i in every]), v)
+    counts = sides.groupBy(*keys, digits.alias("_d"), inside.alias("_in")).agg(F.count("v").alias("_k"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_t"), F.lit(a / 100).alias("_a"), F.expr(f"_d div {3**i} % 3").alias("_s")) for i, a in enumerate(at)])).alias("_e")
+    parts = counts.select(*keys, each, "_in", "_k", "_lo", "_hi").groupBy(*keys, "_e._t", "_e._a", "_e._s", F.when(F.col("_e._s") == 1, F.col("_in")).alias("_x")).agg(F.sum("_k").alias("_k"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    of = Window.partitionBy(*keys, "_t")
+    ranked = parts.withColumns({"_upto": F.sum("_k").over(of.orderBy("_s", "_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_n": F.sum("_k").over(of)}).withColumn("_h", (F.col("_n") - 1) * F.col("_a"))
+    low, upto, s = F.floor("_h"), F.col("_upto"), F.col("_s")
+    before = upto - F.col("_k")
+
+    def ranks(k: Column) -> Column:
+        """The value of rank k (from 0): one inside, the last below or the first above."""
+        known = F.when(s == 1, F.col("_x")).when((s == 0) & (k == upto - 1), F.col("_hi")).when((s == 2) & (k == before), F.col("_lo"))
+        return F.max(F.when((before <= k) & (k < upto), known.otherwise(F.raise_error(F.lit("a sketch is less accurate than it should be")).cast("double"))))
+
+    got = ranked.groupBy(*keys, "_t").agg(F.max("_h").alias("_h"), ranks(low).alias("_v0"), ranks(F.least(low + 1, F.col("_n") - 1)).alias("_v1"))
+    value = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - low)
     out = got.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_t", value.alias("x")))), lambda s: s["x"]).alias("p"))
     fallback = F.lit(None).cast("double") if empty is None else F.lit(float(empty))
     return out.select(*keys, F.when(F.exists("p", lambda x: x.isNotNull()), F.col("p")).otherwise(F.lit(None) if empty is None else F.array(*[fallback] * len(at))).alias("p"))

@@ -370,3 +370,27 @@ def test_date_raster(spark):
     day = T.datetime_in_name(F.col("fn"))
     assert [r.v for r in T.date_raster(cells, day).orderBy("c").collect()] == [736695.5, None]
     assert T.date_raster(cells, day, F.lit(dt.datetime(2017, 12, 31))).orderBy("c").first().v == 1.5
+
+
+def test_percentiles_are_exact_whatever_the_order_of_rows(spark):
+    """Sketches of rows in another order differ, and a table's rows are read or fetched in any order."""
+    import pandas as pd
+
+    def mixed(parts):
+        yield pd.concat(list(parts)).sample(frac=1, random_state=np.random.default_rng())
+
+    cells = spark.range(0, 400_001, 1, 4).select((F.col("id") * 7919 % 400_001).cast("double").alias("v"), F.lit(1).alias("k")).mapInPandas(mixed, "v double, k int")
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert stats.percentiles(cells, (50, 25, 99)).first().p == [200000.0, 100000.0, 396000.0]
+        assert stats.percentiles(cells, (50,), ["k"]).first().p == [200000.0]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+
+
+def test_percentiles_of_keys_without_values(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 4.0), (1, N), (2, N), (N, 7.0)], "k int, v double")
+    assert {r.k: r.p for r in stats.percentiles(df, (0, 50, 100), ["k"]).collect()} == {1: [1.0, 2.5, 4.0], 2: N, N: [7.0, 7.0, 7.0]}
+    assert stats.percentiles(df.limit(0), (50,)).first().p is N
+    assert stats.percentiles(df.limit(0), (50, 60), empty=0.0).first().p == [0.0, 0.0]
