@@ -394,3 +394,15 @@ def test_percentiles_of_keys_without_values(spark):
     assert {r.k: r.p for r in stats.percentiles(df, (0, 50, 100), ["k"]).collect()} == {1: [1.0, 2.5, 4.0], 2: N, N: [7.0, 7.0, 7.0]}
     assert stats.percentiles(df.limit(0), (50,)).first().p is N
     assert stats.percentiles(df.limit(0), (50, 60), empty=0.0).first().p == [0.0, 0.0]
+
+
+def test_pairs_of_dates_are_merged_on_numbers(spark):
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m) for m in (0, 9, 10, 11, 60)]
+    q = spark.createDataFrame(list(enumerate(times)), "id int, ts timestamp_ntz")
+    pairs = T.within(q, q.select(F.col("id").alias("other"), F.col("ts").alias("cts")), 10 / 1440)
+    assert pairs.columns == ["id", "ts", "other", "cts"]
+    near = {(i, j) for i, a in enumerate(times) for j, b in enumerate(times) if abs(a - b) < dt.timedelta(minutes=10)}
+    assert {(r.id, r.other) for r in pairs.collect()} == near
+    plan = pairs.select("id", "other")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("Broadcast" in line or "timestampdiff" in line for line in joins), joins
