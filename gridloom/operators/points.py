@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import map_to_pixel, pixel_to_map
-from gridloom.model import shuffled
+from gridloom.model import lattice, shuffled
 from gridloom.operators.neighbourhood import _pairs
 from gridloom.operators.stats import NMAD, _with, percentiles
 
 STATS: dict[str, Callable[[str], Column]] = {"median": F.median, "mean": F.avg, "max": F.max, "min": F.min, "count": F.count, "sum": F.sum, "std": F.stddev_pop}
 
+#: Columns of a grid that are filled from one start.
+STRIP = 4096
+
 
 def block_stats(points: DataFrame, x0: float, y0: float, res: float, nrows: int, ncols: int, stat: str | Callable[[str], Column] = "median", x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
     """``r, c, x, y, n, v``: a statistic of the points in each cell of a north-up grid; empty cells have no row."""
@@ -28,11 +31,18 @@ def block_stats(points: DataFrame, x0: float, y0: float, res: float, nrows: int,
 
 
 def block_stats_grid(points: DataFrame, x0: float, y0: float, res: float, nrows: int, ncols: int, stat: str = "median", **names: str) -> DataFrame:
-    """The same on every cell of the grid."""
-    from gridloom.model import lattice
+    """The same on every cell of the grid.
 
-    s = block_stats(points, x0, y0, res, nrows, ncols, stat, **names)
-    return lattice(points.sparkSession, nrows, ncols).join(s.select("r", "c", "v"), ["r", "c"], "left")
+    Cells with points and the starts of strips of a row are shuffled, the empty
+    cells behind each of them are made from it: the grid itself never moves.
+    """
+    s = block_stats(points, x0, y0, res, nrows, ncols, stat, **names).select("r", "c", "v")
+    starts = lattice(points.sparkSession, nrows, -(-ncols // STRIP)).select("r", (F.col("c") * STRIP).alias("c"), F.lit(None).cast(s.schema["v"].dataType).alias("v"))
+    both = s.withColumn("_own", F.lit(1)).unionByName(starts.withColumn("_own", F.lit(0))).withColumn("_s", F.expr(f"c div {STRIP}"))
+    after = F.lead("c").over(Window.partitionBy("r", "_s").orderBy("c", "_own"))
+    last = (F.coalesce(after, F.least((F.col("_s") + 1) * STRIP, F.lit(ncols))) - 1).cast("int")
+    runs = both.select("r", "c", "v", last.alias("_last")).where("_last >= c")
+    return runs.select("r", F.col("c").alias("_c"), "v", F.explode(F.sequence("c", "_last")).alias("c")).select("r", "c", F.when(F.col("c") == F.col("_c"), F.col("v")).alias("v"))
 
 
 def sample(cells: DataFrame, points: DataFrame, gt: list[float], pad: int = 0, min_percent: float = 50.0, circular: bool = False, x: str = "x", y: str = "y", pid: str = "pid") -> DataFrame:

@@ -406,3 +406,23 @@ def test_pairs_of_dates_are_merged_on_numbers(spark):
     plan = pairs.select("id", "other")._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and not any("Broadcast" in line or "timestampdiff" in line for line in joins), joins
+
+
+def test_a_grid_of_block_statistics_is_made_behind_the_shuffle(spark):
+    at = [(0.5, 1.5, 2.0), (0.5, 1.5, 4.0), (4095.5, 0.5, 5.0), (4096.5, 0.5, 6.0), (9999.5, 1.5, 7.0), (5000.5, 5.0, 8.0)]
+    p = spark.createDataFrame(at, "x double, y double, z double")
+    df = points.block_stats_grid(p, 0.0, 3.0, 1.0, 3, 10_000, "mean")
+    rows = df.collect()
+    assert sorted((r.r, r.c) for r in rows) == [(r, c) for r in range(3) for c in range(10_000)]
+    assert {(r.r, r.c): r.v for r in rows if r.v is not None} == {(1, 0): 3.0, (2, 4095): 5.0, (2, 4096): 6.0, (1, 9999): 7.0}
+    moved, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+        if "Adaptive" in plan.nodeName():
+            todo.append(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            todo.append(plan.plan())
+        if plan.nodeName() == "ShuffleQueryStage":
+            moved = max(moved, int(plan.getRuntimeStatistics().rowCount().get()))
+    assert 0 < moved < 100
